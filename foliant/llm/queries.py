@@ -23,6 +23,18 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfor import token_file
 
@@ -37,6 +49,8 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_retrieval_packing": op8_retrieval_packing,
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
