@@ -29,6 +29,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -50,6 +56,7 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
