@@ -280,3 +280,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     counted = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """documents -> the rows that contamination() finds clean, columns as they were.
+
+    Rows are judged by a hash of doc_id and text, so null and repeated ids need no care.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), text_bytes())
+    judged = contamination(docs.select(row.alias("doc_id"), "text"), benchmark, window, share)
+    dropped = judged.where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", row).join(dropped, "__row", "left_anti").select(*docs.columns)

@@ -53,11 +53,13 @@ def _count_of(characters: str) -> Column:
     return F.length("text") - F.length(F.translate("text", characters, ""))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id and the counts the rules read (long). Null text counts as empty."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """documents -> doc_id, carried (null unless given), and the counts the rules read (long). Null text counts as empty."""
+    carried = (F.lit(None) if carried is None else carried).alias("carried")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), carried, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     split = base.select(
         "doc_id",
+        "carried",
         F.filter(F.split("text", WHITE), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
@@ -90,7 +92,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_stops": F.col("n_stops"),
         "n_stutters": F.col("n_stutters"),
     }
-    return repeated.select("doc_id", *[c.cast("long").alias(name) for name, c in counts.items()])
+    return repeated.select("doc_id", "carried", *[c.cast("long").alias(name) for name, c in counts.items()])
 
 
 @dataclass(frozen=True)
@@ -141,6 +143,25 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, smoothing
     return LabelModel(prior, chances)
 
 
+def voted(docs: DataFrame, carried: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """features() with a vote column for each rule, and the names of those."""
+    votes = {f"vote_{name}": vote for name, vote in rules().items()}
+    return features(docs, carried).withColumns(votes), list(votes)
+
+
+def fit_votes(counted: DataFrame, names: list[str]) -> LabelModel:
+    """The label model of all rows' votes; one row per pattern of votes comes to the driver."""
+    rows = counted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    return fit([(tuple(row[name] for name in names), row["n"]) for row in rows])
+
+
+def verdicts(counted: DataFrame, names: list[str], model: LabelModel, keep_from: float) -> DataFrame:
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    good = model.posterior([F.col(name) for name in names]) if model.chances else F.lit(0.5)
+    scored = counted.withColumns({"base_failed": base_failed, "good_probability": good})
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= keep_from))
+
+
 def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """documents -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, good_probability).
 
@@ -150,12 +171,20 @@ def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     fail. An empty table gives an empty result. Windows are compared by a 64-bit hash of
     their words. Other columns are not looked at.
     """
-    votes = rules()
-    counted = stage(features(docs).withColumns({f"vote_{name}": vote for name, vote in votes.items()}), "votes")
-    names = [f"vote_{name}" for name in votes]
-    patterns = [(tuple(row[name] for name in names), row["n"]) for row in counted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
-    model = fit(patterns)
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = model.posterior([F.col(name) for name in names]) if model.chances else F.lit(0.5)
-    scored = counted.withColumns({"base_failed": base_failed, "good_probability": good})
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("good_probability") >= keep_from)).alias("kept"), "good_probability")
+    counted, names = voted(docs)
+    counted = stage(counted.drop("carried"), "votes")
+    scored = verdicts(counted, names, fit_votes(counted, names), keep_from)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good_probability")
+
+
+def kept_documents(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
+    """documents -> the rows that judge() keeps, all columns as they were.
+
+    Rows are carried through the counts, so repeated rows and null ids need no join; the counts
+    are taken twice, for the model and for the verdict.
+    """
+    model = fit_votes(*voted(docs))
+    counted, names = voted(docs, F.struct(*docs.columns))
+    # a filter is not pushed below a non-deterministic column, so the counts are not folded into it
+    marked = verdicts(counted.withColumn("mark", F.monotonically_increasing_id()), names, model, keep_from)
+    return marked.where(F.col("kept") & (F.col("mark") >= 0)).select("carried.*")

@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_bytes
@@ -232,3 +232,32 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int =
     heads = members.groupBy("label").agg(F.min("least").alias("component_id"))
     component = members.join(heads, "label").select("fp", "component_id")
     return rows.join(component, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """documents -> one document of each near-duplicate component, that of the least doc_id; columns as they were.
+
+    Of repeated rows of the kept doc_id the least text stays. Rows with a null doc_id cannot be
+    told apart and stay unless their component holds a doc_id.
+    """
+    found = near_duplicates(docs, distance)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.where("doc_id is not null").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    chosen = named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    lost = found.where("doc_id is null and component_id is not null").select("fingerprint").distinct()
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return chosen
+    coded = near_fingerprints(nameless)
+    return chosen.unionByName(coded.join(lost, "fingerprint", "left_anti").drop("fingerprint"))
+
+
+def near_fingerprints(docs: DataFrame) -> DataFrame:
+    """documents with a column of their fingerprint, as in near_duplicates."""
+
+    @F.pandas_udf("string")
+    def code(body: pd.Series) -> pd.Series:
+        return pd.Series([f"{simhash64(x):016x}" for x in body])
+
+    return docs.withColumn("fingerprint", code(text_bytes()))
