@@ -9,18 +9,32 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain, filterfalse
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept by one worker; the store is emptied beyond that.
-MAX_PIECES = 700_000
+#: Pieces kept by one worker; beyond that the older half is dropped.
+MAX_PIECES = 1_500_000
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Control separators, next line, and the Unicode spaces (fixed values).
+#: What makes a text need the pattern above: two white-space characters in a row, or a rare one.
+_DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+#: Control separators, next line, and the Unicode spaces, by their first bytes and in full (fixed values).
+_MAYBE_UNUSUAL = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _UNUSUAL = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+def unusual(text: bytes) -> bool:
+    return any(x in text for x in _MAYBE_UNUSUAL) and _UNUSUAL.search(text) is not None
+
+
+def spaced_pieces(text: bytes) -> list[bytes]:
+    """The text cut in front of white space that follows other text; byte 255 never occurs in UTF-8."""
+    if any(x in text for x in _DOUBLE):
+        return _SPACED.findall(text)
+    return text.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n").removeprefix(b"\xff").split(b"\xff") if text else []
+
+
 class PieceEncoder:
     """ids(texts) for one tokenizer file, as little-endian unsigned 16-bit ids (vocabularies up to 65,536)."""
 
@@ -32,25 +46,55 @@ class PieceEncoder:
         # a vocabulary that drops white space is cut at it; one that keeps it, in front of it
         self.drops_space = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.folds_case = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(1 << 16, bool)  # ids that begin with a space or a line feed, in byte-level spelling
+        self.opens[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.pieces: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array("H", e.ids).tobytes() for e in found]
 
+    def _encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Most pieces are encoded as one text, for which a call costs less, and told apart in its ids."""
+        if self.drops_space:  # a lone digit is a token of its own
+            joined = [p for p in pieces if b"0" not in p] if len(self.zero) == 1 else []
+            ids = np.frombuffer(self._encode([b" 0 ".join([*joined, b""])])[0], "<u2")
+            ends = np.flatnonzero(ids == self.zero[0]) if joined else np.empty(0, np.int64)
+            starts = np.concatenate([[0], ends[:-1] + 1]) if joined else ends
+        else:  # white space stands only in front, where an id shows it
+            joined = [p for p in pieces if p[:1] in b" \n" and len(p.split()) == 1 and p[1:2] not in b" \n\t\r\x0b\x0c"]
+            ids = np.frombuffer(self._encode([b"".join(joined)])[0], "<u2")
+            starts = np.flatnonzero(self.opens[ids])
+            ends = np.append(starts, len(ids))[1:]
+        if len(starts) != len(joined):
+            joined, starts, ends = [], [], []
+        data = ids.tobytes()
+        found = {p: data[2 * a : 2 * b] for p, a, b in zip(joined, np.asarray(starts).tolist(), np.asarray(ends).tolist(), strict=True)}
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._encode(rest), strict=True))
+        return found
+
+    def _pieces(self, text: bytes) -> list[bytes]:
+        if not self.drops_space:
+            return spaced_pieces(text)
+        return (text.lower() if self.folds_case else text).split()
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if _UNUSUAL.search(t)}
-        if self.drops_space:
-            cut = [[] if i in odd else (t.lower() if self.folds_case else t).split() for i, t in enumerate(texts)]
-        else:
-            cut = [[] if i in odd else _SPACED.findall(t) for i, t in enumerate(texts)]
+        odd = [i for i, t in enumerate(texts) if unusual(t)]
+        whole = dict(zip(odd, self._encode([texts[i] for i in odd]), strict=True))
+        cut = [[] if i in whole else self._pieces(t) for i, t in enumerate(texts)]
         if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        new = list(set(filterfalse(self.pieces.__contains__, chain.from_iterable(cut))))
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        for i, whole in zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)]), strict=True):
-            out[i] = whole
+            self.pieces = dict(islice(self.pieces.items(), len(self.pieces) // 2, None))
+        known = [list(map(self.pieces.get, c)) for c in cut]
+        new = list({p for c, k in zip(cut, known, strict=True) if not all(k) for p, ids in zip(c, k, strict=True) if ids is None})
+        self.pieces.update(self._encode_pieces(new))
+        out = []
+        for i, (c, k) in enumerate(zip(cut, known, strict=True)):
+            if not all(k):
+                k = [self.pieces[p] if ids is None else ids for p, ids in zip(c, k, strict=True)]
+            out.append(whole[i] if i in whole else b"".join(k))
         return out
 
 
