@@ -1,10 +1,485 @@
-"""Registered queries of the retrieval and curation operators, with DuckDB SQL for each that SQL can express."""
+"""Registered queries of the retrieval and curation operators, with DuckDB SQL for each that SQL can express.
+
+Queries run over whole tables. A query set is a stated part of a table (vectors or items whose
+number is divisible by 20) that is matched against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import text as X
+from foliant.functions import vectors as V
+from foliant.operators import chunking, clusters, curation, fulltext, models, retrieval, sessions, similarity
+from foliant.sources import catalog
+from foliant.sources.corpus import knowledge, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Parameters of the registered queries.
+NOW, WEIGHT, HALF_LIFE, QUERY_STEP = "2025-03-01 00:00:00", 0.3, 90.0, 20
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _contains(column: str, keys: list[str]) -> str:
+    return " or ".join(f"contains({column}, {_sql_text(k)})" for k in keys)
+
+
+
+
+def _words(column: str) -> str:
+    return f"list_filter(regexp_split_to_array({column}, {_sql_text(X.SPACE)}), lambda w: w <> '')"
+
+
+def _terms(column: str) -> str:
+    return f"regexp_extract_all(lower({column}), {_sql_text(X.TOKEN)})"
+
+
+_HASH = f"sha256(array_to_string({_words('lower(text)')}, ' '))"
+_PATH = (
+    "case cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 7 when 0 then 'repos/' || source || '/research/sessions/' when 1 then 'vault/archive/' || source || '/' when 2 then 'vault/library/' || source || '/' "
+    "when 3 then 'repos/' || source || '/research/' when 4 then 'repos/' || source || '/docs/' when 5 then 'vault/library/sessions/' || source || '/' else 'repos/' || source || '/notes/' end || 'doc' || doc_id || '.md'"
+)
+_TYPE = (
+    "case when contains(doc_path, '/research/sessions/') or contains(doc_path, '/vault/library/sessions/') or starts_with(doc_path, 'vault/library/sessions/') then 'session' "
+    "when contains(doc_path, '/vault/archive/') or starts_with(doc_path, 'vault/archive/') then 'archive' when contains(doc_path, '/vault/library/') or starts_with(doc_path, 'vault/library/') then 'library' "
+    "when list_contains([" + ", ".join(map(_sql_text, X.CONTEXT_FILES)) + "], split_part(doc_path, '/', -1)) then 'project' when contains(doc_path, '/research/') then 'research' "
+    "when contains(doc_path, '/docs/') or contains(doc_path, '/machines/') or contains(doc_path, '/playbooks/') then 'docs' else 'library' end"
+)
+_BOOST = "case source_type " + " ".join(f"when '{k}' then {v}::double" for k, v in X.BOOSTS.items()) + " else 1.0::double end"
+_KNOWLEDGE = f"k0 as (select doc_id, text, {_PATH} as doc_path, timestamp '2024-01-01' + to_hours(doc_id % 10000) as authored_at from documents), knowledge as (select *, {_TYPE} as source_type from k0)"
+_VECTORS = _KNOWLEDGE + ", vecs as (select e.vec_id, e.embedding::double[] as v, e.label, k.source_type, k.authored_at, k.doc_path, k.text from embeddings e join knowledge k on e.vec_id = k.doc_id)"
+_SIMILAR = "pairs as (select q.vec_id as query_id, b.vec_id as id, round(list_dot_product(q.v, b.v), 9) as similarity, b.source_type, b.authored_at from vecs q join vecs b on q.vec_id <> b.vec_id where q.vec_id % 20 = 0)"
+
+
+def query(name: str, sql: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return register
+
+
+def _vector_queries(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _base(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+# text functions
+
+
+@query("content_hash", f"select doc_id, {_HASH} as content_hash from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("token_estimate", f"select doc_id, cast(floor(len({_words('text')}) * 1.3::double) as int) as tokens from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("document_keys", f"with {_KNOWLEDGE} select doc_path, substr(md5(doc_path), 1, 12) as doc_key, sha256(doc_path || '|0|' || {_HASH}) as chunk_id from knowledge")
+def _(spark, sf):
+    path = F.col("doc_path")
+    return knowledge(spark, sf).select(path, X.document_key(path).alias("doc_key"), X.chunk_key(path, F.lit(0), X.content_hash(F.col("text"))).alias("chunk_id"))
+
+
+_CLASS = "case " + " ".join(f"when {_contains('lower(text)', keys)} then '{name}'" for name, keys in X.QUERY_CLASSES.items()) + " else 'general' end"
+_PROMPT = "case query_class " + " ".join(f"when '{k}' then {_sql_text(v)}" for k, v in X.QUERY_PROMPTS.items()) + f" else {_sql_text(X.DEFAULT_PROMPT)} end"
+
+
+@query("query_class", f"with c as (select item_id, text, {_CLASS} as query_class from benchmark) select item_id, query_class, md5({_PROMPT} || text) as prompted from c")
+def _(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "benchmark").select("item_id", X.query_class(text).alias("query_class"), F.md5(X.prompted(text)).alias("prompted"))
+
+
+@query("source_type", f"with {_KNOWLEDGE} select doc_id, doc_path, source_type, {_BOOST} as boost from knowledge")
+def _(spark, sf):
+    return knowledge(spark, sf).select("doc_id", "doc_path", "source_type", X.boost(F.col("source_type")).alias("boost"))
+
+
+_SCRUB = "text"
+for _pattern, _replacement in X.SECRETS:
+    _SCRUB = f"regexp_replace({_SCRUB}, {_sql_text(_pattern)}, {_sql_text(_replacement.replace('{1}', chr(92) + '1'))}, 'g')"
+
+
+@query("scrubbed_text", f"select doc_id, md5({_SCRUB}) as scrubbed, {_SCRUB} <> text as changed from documents")
+def _(spark, sf):
+    clean = X.scrubbed(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(clean).alias("scrubbed"), (clean != F.col("text")).alias("changed"))
+
+
+@query("slugs", "select doc_id, regexp_replace(substr(array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 8), '-'), 1, 48), '^-+|-+$', '', 'g') as slug, regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9._-]*$') as safe from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"), X.safe_name(F.col("source")).alias("safe"))
+
+
+@query("frontmatter", r"select conv_id, turn, '---' || chr(10) || 'type: note' || chr(10) || 'project: ' || role || chr(10) || 'title: ' || trim(regexp_replace(text, '\r\n|[\n\r]', ' ', 'g')) || chr(10) || '---' || chr(10) as head from conversations")
+def _(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.frontmatter(F.col("role"), project=F.col("role"), title=F.col("text")).alias("head"))
+
+
+@query("pair_text", "select doc_id, md5(substr(case when source <> '' and source <> '(no heading)' then '## ' || source || chr(10) || text else text end, 1, 3000)) as pair from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.pair_text(F.col("source"), F.col("text"))).alias("pair"))
+
+
+@query("line_spans", "with s as (select doc_id, text, length(text) // 4 as a, length(text) // 2 as b from documents) select doc_id, cast(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 as int) as line_start, cast(length(substr(text, 1, greatest(a, b - 1))) - length(replace(substr(text, 1, greatest(a, b - 1)), chr(10), '')) + 1 as int) as line_end from s")
+def _(spark, sf):
+    size = F.length("text")
+    cut = table(spark, sf, "documents").select("doc_id", X.line_span(F.col("text"), F.floor(size / 4).cast("int"), F.floor(size / 2).cast("int")).alias("s"))
+    return cut.select("doc_id", "s.line_start", "s.line_end")
+
+
+@query("canonical_body")
+def _(spark, sf):
+    note = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n_Consolidated today_\n\n"), F.col("text"), F.lit("\n\n## Sources\n- a.md\n"))
+    return table(spark, sf, "documents").select("doc_id", X.canonical_body(note).alias("body"))
+
+
+_TRIM = r"'^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$'"
+_UNITS = "list_filter(list_transform(regexp_split_to_array(text, " + _sql_text(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]") + "), lambda l: regexp_replace(regexp_replace(l, " + _sql_text(X.LIST_MARKER) + ", ''), " + _TRIM + ", '', 'g')), lambda u: length(u) >= 20 and not starts_with(u, '#'))"
+
+
+@query("fact_units", f"with u as (select doc_id, {_UNITS} as units from documents), n as (select doc_id, units, len(units) as k, unnest(range(0, least(len(units), 120))) as i from u) select doc_id, cast(i as int) as n, md5(units[1 + case when k <= 120 then i when i = 119 then k - 1 else cast(trunc(i * ((k - 1)::double / 119.0::double)) as bigint) end]) as fact from n")
+def _(spark, sf):
+    found = sessions.facts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), "n", F.md5("fact").alias("fact"))
+
+
+# search
+
+
+@query("vector_topk", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(2 - 2 * similarity, 6) as distance from pairs qualify row_number() over (partition by query_id order by similarity desc, id) <= 20")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    return similarity.similar(_base(rows), _vector_queries(rows), k=20).select("query_id", "id", F.round(2 - 2 * F.col("similarity"), 6).alias("distance"))
+
+
+@query("filtered_topk", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(2 - 2 * similarity, 6) as distance from pairs where source_type <> 'session' qualify row_number() over (partition by query_id order by similarity desc, id) <= 10")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    kept = rows.where("source_type <> 'session'")
+    return similarity.similar(_base(kept), _vector_queries(rows), k=10).select("query_id", "id", F.round(2 - 2 * F.col("similarity"), 6).alias("distance"))
+
+
+_AGE = f"(epoch(timestamp '{NOW}') - epoch(authored_at)) / 86400.0::double"
+_RECENT = f"(1.0::double - {WEIGHT}::double * pow(0.5::double, greatest({_AGE}, 0.0::double) / {HALF_LIFE}::double))"
+
+
+@query("boosted_topk", f"with {_VECTORS}, {_SIMILAR}, near as (select *, 2 - 2 * similarity as d from pairs qualify row_number() over (partition by query_id order by similarity desc, id) <= 20), b as (select query_id, id, round(d * {_BOOST} * {_RECENT}, 9) as boosted from near) select query_id, id, round(boosted, 6) as boosted, row_number() over (partition by query_id order by boosted, id) as rank from b")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    near = similarity.similar(_base(rows), _vector_queries(rows), k=20).join(rows.select(F.col("vec_id").alias("id"), "source_type", "authored_at"), "id")
+    age = (F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds(F.col("authored_at").cast("timestamp"))) / 86400.0
+    boosted = F.round((2 - 2 * F.col("similarity")) * X.boost(F.col("source_type")) * X.recency(age, WEIGHT, HALF_LIFE), 9)
+    marked = near.withColumn("b", boosted)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("b", "id"))
+    return marked.select("query_id", "id", F.round("b", 6).alias("boosted"), place.alias("rank"))
+
+
+_BM25 = (
+    "asked as (select distinct item_id as query_id, unnest(" + _terms("text") + ") as term from benchmark where item_id % 20 = 0), "
+    "listed as (select doc_id, " + _terms("text") + " as terms from documents), size as (select count(*)::double as n, avg(len(terms)) as mean from listed), "
+    "tokens as (select doc_id, len(terms) as length, unnest(terms) as term from listed), "
+    "postings as (select term, doc_id, length, count(*) as tf from tokens where term in (select term from asked) group by all), holders as (select term, count(*) as df from postings group by term), "
+    "scored as (select query_id, p.doc_id as id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))), 9) as score from asked join postings p using (term) join holders using (term) cross join size group by all)"
+)
+
+
+def _text_queries(spark, sf):
+    return table(spark, sf, "benchmark").where(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("bm25_topk", f"with {_BM25}, ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) select query_id, id, round(score, 6) as score, rank from ranked where rank <= 20")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return fulltext.search(docs, _text_queries(spark, sf), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _search_inputs(spark, sf):
+    """Vector rows with their texts; queries from the benchmark with the vectors of their numbers."""
+    rows = vectors(spark, sf).join(knowledge(spark, sf).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(F.col("vec_id").alias("id"), "text", F.col("embedding").alias("vector"), "source_type", "authored_at")
+    asked = _text_queries(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return rows, asked
+
+
+_HYBRID = (
+    _VECTORS + ", q as (select b.item_id as query_id, b.text as query, e.embedding::double[] as qv from benchmark b join embeddings e on e.vec_id = b.item_id where b.item_id % 20 = 0), "
+    "near as (select query_id, vec_id as id, 2 - 2 * round(list_dot_product(qv, v), 9) as distance, 0 as from_text, 0 as text_rank from q, vecs where source_type <> 'session' and vec_id <> query_id qualify row_number() over (partition by query_id order by round(list_dot_product(qv, v), 9) desc, vec_id) <= 20), "
+    "asked as (select distinct query_id, unnest(" + _terms("query") + ") as term from q), listed as (select vec_id, source_type, " + _terms("text") + " as terms from vecs), "
+    "size as (select count(*)::double as n, avg(len(terms)) as mean from listed), tokens as (select vec_id, source_type, len(terms) as length, unnest(terms) as term from listed), "
+    "postings as (select term, vec_id, source_type, length, count(*) as tf from tokens where term in (select term from asked) group by all), holders as (select term, count(*) as df from postings group by term), "
+    "scored as (select query_id, vec_id as id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))), 9) as score from asked join postings using (term) join holders using (term) cross join size where source_type <> 'session' group by all), "
+    "hits as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as text_rank from scored qualify text_rank <= 20), far as (select query_id, max(distance) as far from near group by 1), "
+    "both_ as (select * from near union all select h.query_id, h.id, coalesce(far * 1.01::double, 1.0), 1, h.text_rank from hits h left join far using (query_id) where not exists (select 1 from near n where n.query_id = h.query_id and n.id = h.id)), "
+    f"boosted as (select b.query_id, b.id, round(distance * {_BOOST} * {_RECENT}, 9) as boosted, from_text, text_rank, source_type, text from both_ b join vecs on vec_id = b.id), "
+    "pool as (select *, row_number() over (partition by query_id order by boosted, from_text, text_rank, id) as position from boosted qualify position <= 20), "
+    "judged as (select p.*, round(len(list_intersect(list_distinct(" + _terms("query") + "), list_distinct(" + _terms("text") + ")))::double / len(list_distinct(" + _terms("query") + ")), 9) as rerank_score from pool p join q using (query_id)), "
+    "best as (select *, row_number() over (partition by query_id order by rerank_score desc, position) as rank from judged qualify rank <= 3)"
+)
+
+
+def _hybrid(spark, sf):
+    rows, asked = _search_inputs(spark, sf)
+    return retrieval.search(rows, asked, 3, recency_weight=WEIGHT, half_life=HALF_LIFE, now=NOW), asked
+
+
+@query("hybrid_search", f"with {_HYBRID} select query_id, rank, id, source_type, substr(text, 1, 500) as preview, length(text) > 500 as truncated, round(boosted, 6) as score, round(rerank_score, 6) as rerank_score from best")
+def _(spark, sf):
+    found, _asked = _hybrid(spark, sf)
+    return found.withColumn("score", F.round("score", 6)).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
+@query("search_confidence", f"with {_HYBRID} select q.query_id, case when max(rerank_score) is null then 'none' when max(rerank_score) < 0.3 then 'low' else 'high' end as confidence from q left join best using (query_id) group by 1")
+def _(spark, sf):
+    return retrieval.confidence(*_hybrid(spark, sf))
+
+
+_EXPECTED = "expected as (select b.item_id as query_id, d.doc_id as id from benchmark b, documents d where b.item_id % 20 = 0 and contains(d.text, b.text))"
+
+
+@query("retrieval_metrics", f"with {_BM25}, ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored), {_EXPECTED}, first_ as (select r.query_id, min(rank) as rank from ranked r join expected e on r.query_id = e.query_id and r.id = e.id where rank <= 5 group by 1), e_ as (select b.item_id, rank from benchmark b left join first_ on query_id = item_id where b.item_id % 20 = 0), m as (select count(*) as n, avg(case when rank <= 1 then 1.0 else 0.0 end) as h1, avg(case when rank <= 3 then 1.0 else 0.0 end) as h3, avg(case when rank <= 5 then 1.0 else 0.0 end) as h5, avg(coalesce(1.0::double / rank, 0.0)) as mrr from e_) select n, round(h1, 6) as hit_1, round(h3, 6) as hit_3, round(h5, 6) as hit_5, round(mrr, 6) as mrr, round(h1, 6) as text_match_1, round(0.4::double * mrr + 0.3::double * h1 + 0.3::double * h1, 6) as composite from m")
+def _(spark, sf):
+    docs, asked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _text_queries(spark, sf)
+    results = fulltext.search(docs, asked, 5)
+    # which documents hold an item word for word: candidates share its first three words
+    item = asked.select("query_id", F.col("text").alias("wanted"))
+    found = docs.join(item, F.contains(docs["text"], item["wanted"])).select("query_id", "id")
+    return curation.ranked_metrics(results, found, asked)
+
+
+# deduplication
+
+
+@query("exact_dedup_donor", f"with {_KNOWLEDGE}, h as (select *, {_HASH} as content_hash from knowledge), f as (select *, min(case when source_type <> 'session' then doc_id end) over (partition by content_hash) as first_donor from h) select doc_id, content_hash, coalesce(first_donor, -1) as first_donor, first_donor is null or doc_id <= first_donor as kept from f")
+def _(spark, sf):
+    rows = knowledge(spark, sf).select("doc_id", "doc_path", "source_type", F.col("doc_id").alias("seq"), X.content_hash(F.col("text")).alias("content_hash"))
+    return curation.with_donors(rows).select("doc_id", "content_hash", F.coalesce("first_donor", F.lit(-1)).alias("first_donor"), "kept")
+
+
+@query("hash_documents", f"with {_KNOWLEDGE} select {_HASH} as content_hash, count(distinct doc_path) as n_docs, min(doc_path) as first_path, max(doc_path) as last_path from knowledge group by 1")
+def _(spark, sf):
+    return curation.hash_documents(knowledge(spark, sf).withColumn("content_hash", X.content_hash(F.col("text"))))
+
+
+@query("near_dupes", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(similarity, 6) as similarity from pairs where similarity >= 0.9")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    return similarity.similar(_base(rows), _vector_queries(rows), least=0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("nn_fact_match", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(similarity, 6) as similarity from (select * from pairs qualify row_number() over (partition by query_id order by similarity desc, id) = 1) where similarity >= 0.4")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    return similarity.nearest(_base(rows), _vector_queries(rows)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("unit_vectors", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 6) as square, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as first_axis from embeddings")
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return rows.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("square"), F.round(F.get(V.normalised(F.col("embedding")), F.lit(0)), 6).alias("first_axis"))
+
+
+@query("recent_vectors", "select vec_id, label from embeddings order by vec_id desc limit 500")
+def _(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label").orderBy(F.desc("vec_id")).limit(500)
+
+
+# catalogue
+
+
+def _manifest(spark, sf):
+    """A manifest that misses some documents, holds old hashes of others, and some files that are gone."""
+    rows = knowledge(spark, sf)
+    digest = F.when(F.col("doc_id") % 11 == 0, F.md5("doc_path")).otherwise(X.content_hash(F.col("text")))
+    held = rows.where(F.col("doc_id") % 7 != 0).select(F.col("doc_path").alias("path"), digest.alias("content_hash"))
+    gone = rows.where(F.col("doc_id") % 13 == 0).select(F.concat(F.lit("gone/"), "doc_path").alias("path"), F.lit("x").alias("content_hash"))
+    return held.unionByName(gone)
+
+
+_MANIFEST = f"manifest as (select doc_path as path, case when doc_id % 11 = 0 then md5(doc_path) else {_HASH} end as content_hash from knowledge where doc_id % 7 <> 0 union all select 'gone/' || doc_path, 'x' from knowledge where doc_id % 13 = 0)"
+_DIFF = f"{_KNOWLEDGE}, {_MANIFEST}, now_ as (select doc_path as path, {_HASH} as h from knowledge), diff as (select coalesce(n.path, m.path) as path, case when m.path is null then 'new' when n.path is null then 'deleted' when n.h <> m.content_hash then 'modified' else 'unchanged' end as status from now_ n full outer join manifest m on n.path = m.path)"
+
+
+def _diff(spark, sf):
+    files = knowledge(spark, sf).select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
+    return curation.diff(files, _manifest(spark, sf))
+
+
+@query("diff_files", f"with {_DIFF} select path, status from diff")
+def _(spark, sf):
+    return _diff(spark, sf)
+
+
+@query("ingest_counts", f"with {_DIFF} select status, count(*) as n, min(path) as first_path from diff group by status")
+def _(spark, sf):
+    return _diff(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+@query("delete_documents", f"with {_DIFF} select k.doc_id, k.doc_path from knowledge k where k.doc_path not in (select path from diff where status in ('modified', 'deleted'))")
+def _(spark, sf):
+    gone = _diff(spark, sf).where("status in ('modified', 'deleted')")
+    return curation.without_paths(knowledge(spark, sf), gone).select("doc_id", "doc_path")
+
+
+@query("index_stats", f"with {_KNOWLEDGE} select source_type, count(*) as n_rows, count(distinct doc_path) as n_docs, min(authored_at) as oldest, max(authored_at) as newest from knowledge group by source_type")
+def _(spark, sf):
+    return knowledge(spark, sf).groupBy("source_type").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_path").alias("n_docs"), F.min("authored_at").alias("oldest"), F.max("authored_at").alias("newest"))
+
+
+@query("manifest_stats", f"with {_KNOWLEDGE}, s as (select doc_path, len({_words('text')}) as n from knowledge) select count(*) as n_files, sum(n)::bigint as n_words, max(n)::bigint as longest from s")
+def _(spark, sf):
+    n = F.size(X.words(F.col("text")))
+    return knowledge(spark, sf).select(n.cast("long").alias("n")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_words"), F.max("n").alias("longest"))
+
+
+@query("top_retrieved", "select user_id, count(*) as retrievals from events group by user_id order by retrievals desc, user_id limit 10")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("retrievals")).orderBy(F.desc("retrievals"), "user_id").limit(10)
+
+
+@query("retrieval_counts", "select user_id, event_type, count(*) as retrievals, count(*) // 25 as flushes from events group by user_id, event_type")
+def _(spark, sf):
+    counted = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("retrievals"))
+    return counted.withColumn("flushes", F.floor(F.col("retrievals") / 25))
+
+
+@query("best_run", "select event_type, user_id, event_id, value from events qualify row_number() over (partition by event_type, user_id order by value desc, event_id) = 1")
+def _(spark, sf):
+    best = F.max_by(F.struct("event_id", "value"), F.struct("value", -F.col("event_id"))).alias("best")
+    return table(spark, sf, "events").groupBy("event_type", "user_id").agg(best).select("event_type", "user_id", "best.event_id", "best.value")
+
+
+@query("history_newest", "select event_id, ts, event_type from events where contains(event_type, 'c') order by ts desc, event_id desc limit 10")
+def _(spark, sf):
+    return table(spark, sf, "events").where(F.col("event_type").contains("c")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "ts", "event_type").limit(10)
+
+
+@query("result_shape", "select doc_id, substr(text, 1, 500) as preview, length(text) > 500 as truncated from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("preview"), (F.length("text") > 500).alias("truncated"))
+
+
+# sessions
+
+
+@query("pending_by_project", f"with {_KNOWLEDGE} select case when contains(doc_path, 'vault/library/sessions/') then 'library' else split_part(doc_path, '/', -4) end as project, count(*) as pending from knowledge where source_type = 'session' group by 1")
+def _(spark, sf):
+    return sessions.pending(knowledge(spark, sf))
+
+
+@query("ripe_projects", f"with {_KNOWLEDGE}, p as (select case when contains(doc_path, 'vault/library/sessions/') then 'library' else split_part(doc_path, '/', -4) end as project, count(*) as pending from knowledge where source_type = 'session' group by 1) select string_agg(project, ', ' order by project) as projects, count(*) as n from p where pending >= 5")
+def _(spark, sf):
+    ripe = sessions.pending(knowledge(spark, sf)).where("pending >= 5")
+    return ripe.agg(F.array_join(F.array_sort(F.collect_list("project")), ", ").alias("projects"), F.count("*").alias("n"))
+
+
+_NOISE = " or ".join(f"starts_with(lower(trim(text)), {_sql_text(n)})" for n in sessions.NOISE)
+
+
+@query("transcript_turns", f"with t as (select conv_id, turn, role, trim(text) as text from conversations where role in ('user', 'assistant') and trim(text) <> '' and not (role = 'user' and ({_NOISE}))) select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id, role order by turn) as a, row_number() over (partition by conv_id, role order by turn desc) as d from t) where (role = 'user' and a <= 12) or (role = 'assistant' and d <= 40)")
+def _(spark, sf):
+    return sessions.bounded_turns(table(spark, sf, "conversations"), "conv_id")
+
+
+@query("session_captures")
+def _(spark, sf):
+    return sessions.capture(table(spark, sf, "conversations"), "conv_id")
+
+
+@query("decision_lines", f"select conv_id, turn, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_sql_text(X.DECISION)}), lambda m: substr(trim(m), 1, 300)), lambda m: m <> ''))) as n_decisions, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_sql_text(X.ACTION)}), lambda m: substr(trim(m), 1, 300)), lambda m: m <> ''))) as n_actions from conversations")
+def _(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(X.first_matches(text, X.DECISION, 1 << 30)).cast("long").alias("n_decisions"), F.size(X.first_matches(text, X.ACTION, 1 << 30)).cast("long").alias("n_actions"))
+
+
+_PACKED = "l as (select conv_id, turn, length(text) as length from conversations), b as (select *, coalesce(sum(length) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as before from l)"
+
+
+@query("budget_pack", f"with {_PACKED} select conv_id, turn, least(length, greatest(1000 - before, 0))::bigint as used, case when before >= 1000 then 'pending' when length > 1000 - before then 'clamped' else 'taken' end as status from b")
+def _(spark, sf):
+    reports = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("length"))
+    return curation.within_budget(reports, "conv_id", ["turn"], 1000).select("conv_id", "turn", F.col("used").cast("long").alias("used"), "status")
+
+
+@query("bloat_guard", "with s as (select source, sum(length(text))::bigint as merged, sum(case when doc_id % 2 = 0 then length(text) else 0 end)::bigint // 4 as existing, sum(case when doc_id % 2 = 1 then length(text) else 0 end)::bigint // 4 as new_ from documents group by source) select source, merged > greatest(2 * existing, 2000) and merged > existing + new_ as bloated from s")
+def _(spark, sf):
+    size = F.length("text").cast("long")
+    sums = table(spark, sf, "documents").groupBy("source").agg(F.sum(size).alias("merged"), F.floor(F.sum(F.when(F.col("doc_id") % 2 == 0, size).otherwise(0)) / 4).alias("existing"), F.floor(F.sum(F.when(F.col("doc_id") % 2 == 1, size).otherwise(0)) / 4).alias("new"))
+    return sums.select("source", curation.bloated(F.col("merged"), F.col("existing"), F.col("new")).alias("bloated"))
+
+
+@query("consolidated_notes")
+def _(spark, sf):
+    rows = knowledge(spark, sf).where("source_type = 'session'")
+    return sessions.consolidated(rows.select(X.session_project(F.col("doc_path")).alias("project"), "doc_path", "text"))
+
+
+@query("contradictions")
+def _(spark, sf):
+    said = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100_000 + F.col("turn") * 200)
+    units = sessions.facts(said.select("id", "text")).select((F.col("id") + F.col("n")).alias("id"), "fact")
+    return sessions.contradictions(units, units.where(F.col("id") % (QUERY_STEP * 100_000) < 100_000))
+
+
+# chunks and clusters
+
+
+@query("chunk_documents")
+def _(spark, sf):
+    return chunking.chunks(knowledge(spark, sf).select("doc_id", "doc_path", "source_type", "text"))
+
+
+def _files(spark, sf):
+    return knowledge(spark, sf).withColumn("seq", F.col("doc_id"))
+
+
+@query("chunk_table")
+def _(spark, sf):
+    return catalog.chunk_rows(_files(spark, sf), NOW)
+
+
+@query("sync_index")
+def _(spark, sf):
+    return catalog.sync(_files(spark, sf), _manifest(spark, sf), None, NOW)[0]
+
+
+@query("embed_documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", models.embed("text").alias("vector"))
+
+
+def _chunked(spark, sf):
+    rows = chunking.chunks(knowledge(spark, sf).select("doc_path", "source_type", "text"))
+    return rows.withColumn("vector", models.embed("text")).withColumn("chunk_id", X.chunk_key(F.col("doc_path"), F.col("chunk_index"), F.col("content_hash")))
+
+
+@query("cluster_chunks")
+def _(spark, sf):
+    return clusters.clusters(_chunked(spark, sf))
+
+
+@query("cluster_summaries")
+def _(spark, sf):
+    return clusters.summaries(_chunked(spark, sf))
+
+
+@query("streamed_stats", f"with {_KNOWLEDGE} select source_type, count(*) as n_rows from knowledge group by source_type")
+def _(spark, sf):
+    from foliant.streaming import stats
+
+    return stats.streamed_stats(spark, f"{sf}/documents.parquet")
