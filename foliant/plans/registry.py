@@ -433,7 +433,7 @@ def _(spark, sf):
 def _(spark, sf):
     said = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100_000 + F.col("turn") * 200)
     units = sessions.facts(said.select("id", "text")).select((F.col("id") + F.col("n")).alias("id"), "fact")
-    return sessions.contradictions(units, units.where(F.col("id") % (QUERY_STEP * 100_000) < 100_000))
+    return sessions.contradictions(units, units.where(F.col("id") % (QUERY_STEP * 100_000) < 100_000), least=0.0)
 
 
 # chunks and clusters

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.operators import chunking, curation, models
 
+from .corpus import CHUNK_SCHEMA
+
 
 class VersionedTable:
     """Each write makes a whole new folder and then moves the pointer; readers of the old one are not disturbed.
@@ -106,5 +108,5 @@ def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, create
     gone = status.where("status in ('deleted', 'modified', 'new')").select("path")
     left = curation.without_paths(stored, gone) if stored is not None else None
     wanted = files.join(status.where("status in ('new', 'modified')").select(F.col("path").alias("doc_path")), "doc_path", "left_semi")
-    fresh = curation.with_donors(chunk_rows(wanted, created_at), left).where("kept").drop("first_donor", "kept", "seq")
+    fresh = curation.with_donors(chunk_rows(wanted, created_at), left).where("kept").select(*CHUNK_SCHEMA.names)
     return (fresh if left is None else left.unionByName(fresh)), status

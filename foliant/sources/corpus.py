@@ -58,13 +58,13 @@ def scan_repositories(spark: SparkSession, root: str, base: str = "vault") -> Da
     context = (F.size("parts") == 2) & F.col("name").isin(*X.CONTEXT_FILES)
     knowledge_file = ~F.col("name").isin(*SKIP_FILES) & F.arrays_overlap(folders, F.array(*map(F.lit, KNOWLEDGE_DIRS))) & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS)))
     kept = rows.where((F.size("parts") >= 2) & ~F.col("project").startswith(".") & (context | knowledge_file))
-    return kept.select(F.array_join("parts", "/").alias("path"), "project", X.source_type(F.col("path"), base).alias("source_type"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("modificationTime").alias("modified"))
+    return kept.select(F.array_join("parts", "/").alias("path"), "project", X.source_type(F.col("path"), base).alias("source_type"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """.md and .txt files as (path, text)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.lower("path").rlike(r"\.(md|txt)$")).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.lower("path").rlike(r"\.(md|txt)$")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,94 @@
+import json
+import os
+import shutil
+import subprocess
+import sys
+
+from pyspark.sql import functions as F
+
+from foliant.functions import text as X
+from foliant.sources import corpus
+from foliant.sources.catalog import VersionedTable, sync
+from foliant.streaming.ingest import new_files, run_available
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+WORDS = " ".join(f"w{i}" for i in range(40))
+
+
+def put(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text, encoding="utf-8")
+
+
+def test_scan(spark, tmp_path):
+    for name in ("p/docs/a.md", "p/docs/deep/b.md", "p/AGENTS.md", "p/research/sessions/s.md", "p/docs/README.md", "p/node_modules/docs/x.md", "p/notes/n.md", "p/docs/c.txt", ".hid/docs/a.md"):
+        put(tmp_path / "repos" / name, name)
+    found = {r["path"]: (r["project"], r["source_type"]) for r in corpus.scan_repositories(spark, str(tmp_path / "repos")).collect()}
+    assert found == {"p/docs/a.md": ("p", "docs"), "p/docs/deep/b.md": ("p", "docs"), "p/AGENTS.md": ("p", "project"), "p/research/sessions/s.md": ("p", "session")}
+    assert corpus.read_text_files(spark, str(tmp_path / "repos" / "p" / "docs")).count() == 4
+
+
+def test_transcripts(spark, tmp_path):
+    from foliant.operators import sessions
+
+    lines = [
+        {"type": "user", "sessionId": "s1", "cwd": "/r", "message": {"role": "user", "content": "do it"}},
+        {"type": "assistant", "message": {"content": [{"type": "text", "text": "done"}, {"type": "tool_use", "name": "x_capture_memory"}, {"type": "thinking", "text": ""}]}},
+        {"type": "user", "isSidechain": True, "message": {"content": "side"}},
+    ]
+    put(tmp_path / "t.jsonl", "\n".join(["\ufeff" + json.dumps(lines[0]), "not json", *map(json.dumps, lines[1:])]))
+    rows = corpus.read_transcripts(spark, str(tmp_path / "t.jsonl"))
+    assert [r["captured"] for r in rows.orderBy("line").collect()] == [False, True, False]
+    turns = sessions.transcript_turns(rows).orderBy("turn").collect()
+    assert [(r["role"], r["text"]) for r in turns] == [("user", "do it"), ("assistant", "done")]
+
+
+def test_versions_survive_a_lost_pointer(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path / "t"))
+    assert store.read() is None and store.version() == 0
+    store.write(spark.range(3))
+    old = store.read()
+    store.write(spark.range(5))
+    assert (old.count(), store.read().count(), store.version()) == (3, 5, 2)
+    (tmp_path / "t" / "CURRENT").write_text("{broken")
+    assert store.version() == 1 and store.read().count() == 3
+    assert store.health() == {"versions": 2, "files": len(store.read().inputFiles()), "rows": 3}
+
+
+def test_sync_rename_and_edit(spark):
+    schema = "doc_path string, source_type string, text string, authored_at string, seq long"
+    first = spark.createDataFrame([("a.md", "docs", WORDS, "2024-01-01 00:00:00", 1), ("b.md", "docs", WORDS + " other", None, 2)], schema)
+    none = spark.createDataFrame([], "path string, content_hash string")
+    stored, status = sync(first, none, None, "2024-02-01 00:00:00")
+    assert {r["status"] for r in status.collect()} == {"new"} and stored.count() == 2
+    manifest = first.select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
+    second = spark.createDataFrame([("c.md", "docs", WORDS, None, 1), ("b.md", "docs", WORDS + " edited", None, 2)], schema)
+    stored, status = sync(second, manifest, stored, "2024-03-01 00:00:00")
+    assert {r["path"]: r["status"] for r in status.collect()} == {"a.md": "deleted", "b.md": "modified", "c.md": "new"}
+    assert {r["doc_path"] for r in stored.collect()} == {"b.md", "c.md"}
+    assert stored.columns == [f.name for f in corpus.CHUNK_SCHEMA]
+
+
+def test_stream_takes_only_new_files(spark, tmp_path):
+    put(tmp_path / "in" / "a.md", "one")
+    seen = []
+    work = lambda batch, number: seen.extend(sorted(r["path"].rsplit("/", 1)[-1] for r in batch.select("path").collect()))
+    for _ in range(2):
+        run_available(new_files(spark, str(tmp_path / "in")), work, str(tmp_path / "state"))
+    put(tmp_path / "in" / "b.md", "two")
+    run_available(new_files(spark, str(tmp_path / "in")), work, str(tmp_path / "state"))
+    assert seen == ["a.md", "b.md"]
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_imports_without_the_corpus_package(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and 'pipeline' not in q and not [x for x in q if x.startswith('op')]"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
