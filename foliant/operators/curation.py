@@ -40,7 +40,7 @@ def diff(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def without_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """Rows of documents that are not in paths (path)."""
-    return rows.join(paths.select(F.col("path").alias("doc_path")).distinct(), "doc_path", "left_anti")
+    return rows.join(paths.select(F.col("path").alias("doc_path")).distinct(), "doc_path", "left_anti").select(*rows.columns)
 
 
 def within_budget(reports: DataFrame, group: str, order: list[str], budget: int = BUDGET) -> DataFrame:
