@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
@@ -49,6 +49,8 @@ def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame
         return pd.DataFrame({"doc_path": group["doc_path"].to_numpy(object)[kept], "chunk_index": group["chunk_index"].to_numpy(np.int64)[kept], "cluster": found[kept].astype(np.int64)})
 
     wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", "chunk_index", "vector")
+    size = F.count("*").over(Window.partitionBy("doc_path"))  # short documents never reach Python; the grouping reuses this shuffle
+    wanted = wanted.withColumn("n", size).where(F.col("n") >= least).drop("n")
     return wanted.groupBy("doc_path").applyInPandas(run, "doc_path string, chunk_index long, cluster long")
 
 

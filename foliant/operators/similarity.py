@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows = queries.select(F.col("query_id").cast("long"), "vector").where("vector is not null").toLocalIterator()
+    # one partition, so that reading the query set block by block is one job
+    rows = queries.select(F.col("query_id").cast("long"), "vector").where("vector is not null").repartition(1).toLocalIterator()
     while block := list(islice(rows, size)):
         yield np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
 
