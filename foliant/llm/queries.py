@@ -56,7 +56,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import passages
 
-    return passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words")
 
 
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        with items as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+        windows as (select distinct item_id, least(13, len(w)) as k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') as gram
+                    from items, unnest(range(1, len(w) - least(13, len(w)) + 2)) as t(p) where len(w) > 0),
+        docs as (select doc_id, {_WORDS} as w from documents),
+        grams as (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as gram
+                  from docs, (select distinct k from windows) as sizes, unnest(range(1, len(w) - k + 2)) as t(p)),
+        hits as (select doc_id, item_id, k, p from grams join windows using (k, gram)),
+        covered as (select doc_id, count(distinct p + o) as n_hit from hits, unnest(range(0, k)) as t(o) group by doc_id),
+        owners as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as names from hits group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from docs left join covered using (doc_id) left join owners using (doc_id)""",
+    "op7_suffix_array_dedup": r"""
+        with docs as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
+        grams as (select doc_id, p, array_to_string(w[p : p + 50], ' ') as gram from docs, unnest(range(1, len(w) - 49)) as t(p)),
+        shared as (select gram from grams group by gram having count(distinct doc_id) > 1),
+        covered as (select distinct doc_id, p + o as place from grams join shared using (gram), unnest(range(0, 51)) as t(o)),
+        runs as (select doc_id, place, place - row_number() over (partition by doc_id order by place) as run from covered)
+        select doc_id, min(place) - 1 as start_word, max(place) as end_word, count(*) as n_words from runs group by doc_id, run""",
+}

@@ -196,3 +196,17 @@ def test_passages_odd_rows(odd_rows, no_rows):
     twice = odd_rows.where("doc_id = 4").unionByName(odd_rows.where("doc_id = 4").withColumn("doc_id", F.lit(8).cast("long")))
     assert [(r["n_words"], r["n_removed"]) for r in suffixes.passages(twice).orderBy("n_removed").collect()] == [(30_000, 0), (30_000, 30_000)]
     assert suffixes.drop_words("a b  c\nd e", [(1, 3)]) == "a\nd e"
+
+
+def test_queries_equal_sql(spark, sf_dir):
+    import duckdb
+
+    from foliant.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        found, wanted = QUERIES[name](spark, sf_dir).toPandas(), con.sql(sql).df()
+        assert sorted(found.columns) == sorted(wanted.columns)
+        assert sorted(found[sorted(found)].itertuples(index=False, name=None)) == sorted(wanted[sorted(found)].itertuples(index=False, name=None))
