@@ -44,7 +44,7 @@ _GROUP = {word: group for group, words in NAMES.items() for word in words.split(
 TAGS = "p h li td div article main nav header footer aside form figure figcaption pre blockquote list table section control body #text".split()
 _TAG = {t: t for t in TAGS} | {f"h{i}": "h" for i in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "menu": "list", "dt": "li", "dd": "li", "th": "td", "tr": "table", "tbody": "table", "button": "control", "select": "control", "option": "control", "fieldset": "form", "legend": "control"}
 PARTS = "article main nav header footer aside form".split()
-FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in [*PARTS, "none"]), *(f"under {g}" for g in [*NAMES, "hidden", "none"]), *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {g}" for g in NAMES), *(f"length {k}" for k in range(5)), *(f"links {k}" for k in range(4)), "sentence", "hidden", "rights"])}
+FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in [*PARTS, "none"]), *(f"under {g}" for g in [*NAMES, "hidden", "none"]), *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {g}" for g in NAMES), *(f"length {k}" for k in range(5)), *(f"links {k}" for k in range(4)), "sentence", "hidden", "rights", *(f"{t} inside an article" for t in ("header", "footer", "other")), "header outside"])}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*>?", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -143,16 +143,23 @@ class Page:
             linked[p] += linked[i]
             stops[p] |= stops[i]
         out: list[list[int]] = []
+        inside = [False] * n  # of an article or main element
         part, under = ["none"] * n, ["none"] * n  # the nearest telling element above, and the nearest telling name
         for i in range(n):
             tag = self.tag[i]
             if i:
                 above = self.parent[i]
+                inside[i] = inside[above] or self.tag[above] in ("article", "main")
                 part[i] = self.tag[above] if self.tag[above] in PARTS else part[above]
                 under[i] = "hidden" if under[above] == "hidden" else named[above] or under[above]
             else:
                 named: list[str] = [""] * n
             row = [0, FEATURES[f"in {part[i]}"], FEATURES[f"under {under[i]}"], FEATURES[f"tag {_TAG.get(tag, 'other')}"], FEATURES[f"length {_bin(size[i], (1, 30, 100, 300))}"], FEATURES[f"links {_bin(linked[i] / max(size[i], 1), (0.01, 0.25, 0.6))}"]]
+            place = tag if tag in ("header", "footer") else part[i]
+            if inside[i]:
+                row.append(FEATURES[f"{place if place in ('header', 'footer') else 'other'} inside an article"])
+            elif place == "header":
+                row.append(FEATURES["header outside"])
             if stops[i]:
                 row.append(FEATURES["sentence"])
             if self.attributes[i]:
@@ -269,7 +276,7 @@ def fit_tree(pages: list[tuple[Page, list[int]]], rounds: int = 150, ridge: floa
     return TreeModel(w[:-2], float(w[-2]), float(w[-1]))
 
 
-def default_model(pages: int = 400) -> TreeModel:
+def default_model(pages: int = 600) -> TreeModel:
     """The model fitted on labelled sample pages."""
     from .sample_pages import labelled_pages
 

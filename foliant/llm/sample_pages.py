@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+#: Names that tell nothing about the part of a page.
+_PLAIN_NAMES = ["wrapper", "container", "row", "col-8", "inner", "box", "grid", "left", "wrap"]
 _SYLLABLES = "ka lo mi ren ta vo sel dor an is um er el no ti pra gen".split()
 
 
@@ -47,7 +49,8 @@ class _Maker:
 
     def header(self) -> str:
         tag = self.r.choice(["header", "div"])
-        inner = self.r.choice(["", f"<h1>{self.mark(self.words(1, 4), 0)}</h1>", f"<p>{self.mark(self.words(2, 7), 0)}</p>", f"<div>{self.mark(self.words(1, 3), 0)}</div>"])
+        name = f"<h1>{self.mark(self.words(1, 4), 0)}</h1>"
+        inner = self.r.choice(["", name, name, f"<p>{self.mark(self.words(2, 7), 0)}</p>", f"<div>{self.mark(self.words(1, 3), 0)}</div>"])
         return f"<{tag}{self.attribute(['header', 'masthead', 'topbar'], 1 if tag == 'div' else 0.4)}>{inner}{self.menu() if self.r.random() < 0.5 else ''}</{tag}>"
 
     def footer(self) -> str:
@@ -64,7 +67,8 @@ class _Maker:
 
     def advert(self) -> str:
         body = self.r.choice([self.sentences(0, 1, 3), f"<p>{self.sentences(0, 1, 2)}</p>", f'<p><a href="/x">{self.mark(self.words(2, 8), 0)}</a></p>', f"<p>{self.sentences(0, 1, 2)}</p><p>{self.sentences(0, 1, 2)}</p>"])
-        return f"<{self.r.choice(['div', 'section', 'div'])}{self.attribute(['ad', 'ads', 'advert', 'sponsored', 'promo', 'banner'], 1)}>{body}</div>"
+        tag = self.r.choice(["div", "section", "div"])
+        return f"<{tag}{self.attribute(['ad', 'ads', 'advert', 'sponsored', 'promo', 'ad-slot', 'advertisement'], 1)}>{body}</{tag}>"
 
     def notice(self) -> str:
         body = self.r.choice([self.sentences(0, 1, 3), f"<p>{self.sentences(0, 1, 3)}</p><button>{self.mark(self.words(1, 2), 0)}</button>"])
@@ -84,11 +88,13 @@ class _Maker:
     def comments(self) -> str:
         one = lambda: self.r.choice([f"<li><p>{self.sentences(0, 1, 4)}</p></li>", f"<div{self.attribute(['comment', 'reply'], 0.8)}><p>{self.sentences(0, 1, 4)}</p></div>", f"<{self.r.choice(['article', 'div', 'div'])}{self.attribute(['comment'], 1)}><h4>{self.mark(self.words(1, 2), 0)}</h4><p>{self.sentences(0, 1, 4)}</p></article>"])
         title = f"<h3>{self.mark(self.words(1, 3), 0)}</h3>" if self.r.random() < 0.6 else ""
-        tag = self.r.choice(["section", "div", "ol"])
+        tag = self.r.choice(["section", "div", "div", "ol"])
         return f"<{tag}{self.attribute(['comments', 'commentlist', 'replies', 'discussion'], 1)}>{title}{''.join(one() for _ in range(self.r.randint(1, 5)))}</{tag}>"
 
     def article(self) -> str:
-        parts = [f"<h1>{self.mark(self.words(2, 10), 1)}</h1>"] if self.r.random() < 0.85 else []
+        title = f"<h1>{self.mark(self.words(2, 10), 1)}</h1>"
+        title = self.r.choice([title, title, title, f"<header{self.attribute(['entry-header', 'post-header', 'article-header'], 0.6)}>{title}</header>", f"<div>{title}</div>"])
+        parts = [title] if self.r.random() < 0.85 else []
         self.plain = self.r.random() < 0.25
         for _ in range(self.r.choice([1, 1, 2, 3, 4, 5, 6, 8, 10])):
             kind = self.r.random()
@@ -109,20 +115,29 @@ class _Maker:
                 parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.mark(self.words(1, 4), 1)}</td>" for _ in range(3)) + "</tr>" for _ in range(3)) + "</table>")
             else:
                 parts.append(f"<pre>{self.mark(self.words(3, 20), 1)}</pre>")
-            if self.r.random() < 0.06:
+            if self.r.random() < 0.14:
                 parts.append(self.r.choice([self.advert, self.notice, self.aside, self.form, self.share, self.hidden])())
         self.plain = False
+        if self.r.random() < 0.15:
+            parts.append(f"<footer{self.attribute(['entry-footer', 'post-meta', 'tags'], 0.6)}>{self.mark(self.words(2, 6), 0)}</footer>")
         tag = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
         body = "".join(parts)
-        body = f"<{tag}{self.attribute(['content', 'article', 'post', 'entry', 'main'], 0.85 if tag in ('div', 'section') else 0.3)}>{body}</{tag}>"
-        for _ in range(self.r.randint(0, 2)):
-            wrap = self.r.choice(["div", "main", "section"])
-            body = f"<{wrap}{self.attribute(['main', 'wrapper', 'container', 'page'], 0.5)}>{body}</{wrap}>"
+        if self.r.random() < 0.12:
+            return body  # nothing around it
+        telling = self.attribute(["content", "article", "post", "entry", "main", "story"], 0.9)
+        names = self.r.choice([telling, self.attribute(_PLAIN_NAMES, 0.7)]) if tag in ("div", "section") else self.r.choice([telling, "", ""])
+        body = f"<{tag}{names}>{body}</{tag}>"
+        for _ in range(self.r.randint(0, 3)):
+            wrap = self.r.choice(["div", "div", "main", "section"])
+            body = f"<{wrap}{self.attribute([*_PLAIN_NAMES, 'main', 'page'], 0.6)}>{body}</{wrap}>"
         return body
 
+    def wrapped(self, part: str) -> str:
+        return f"<div{self.attribute(_PLAIN_NAMES, 0.7)}>{part}</div>" if self.r.random() < 0.3 else part
+
     def page(self) -> str:
-        before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.aside, self.form, self.hidden) if self.r.random() < 0.35]
-        after = [f() for f in (self.share, self.comments, self.aside, self.advert, self.form, self.menu, self.notice) if self.r.random() < 0.35]
+        before = [self.wrapped(f()) for f in (self.header, self.header, self.menu, self.notice, self.advert, self.aside, self.form, self.hidden) if self.r.random() < 0.35]
+        after = [self.wrapped(f()) for f in (self.share, self.comments, self.aside, self.advert, self.form, self.menu, self.notice) if self.r.random() < 0.35]
         last = [self.footer()] if self.r.random() < 0.85 else []
         return f"<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style></head><body>{''.join(before)}{self.article()}{''.join(after + last)}</body></html>"
 
