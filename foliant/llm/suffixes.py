@@ -95,18 +95,26 @@ def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20) -> D
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, starts, windows = [], [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+            rows, starts, windows, more = [], [np.empty(0, np.int32)], [np.empty(0, np.uint64)], []
             for row, body, kept in zip(batch["row"], batch["body"], batch["heads"], strict=True):
                 hashes = _word_hashes(body.split())
-                at = np.flatnonzero(np.isin(heads(hashes, min_words, head), np.asarray(kept, np.int64).view(np.uint64)))
-                rows.append(np.full(len(at), row, np.int64))
-                starts.append(at.astype(np.int32))
-                windows.append(_grams(hashes, min_words)[at])
-            yield pd.DataFrame({"row": np.concatenate([*rows, np.empty(0, np.int64)]), "start": np.concatenate(starts), "window": np.concatenate(windows).view(np.int64)})
+                at = np.flatnonzero(np.isin(heads(hashes, min_words, head), np.asarray(kept, np.int64).view(np.uint64))).astype(np.int32)
+                own, first, times = np.unique(_grams(hashes, min_words)[at], return_index=True, return_counts=True)
+                rows.append(np.full(len(own), row, np.int64))
+                starts.append(at[first])
+                windows.append(own)
+                again = [None] * len(own)
+                if len(own) < len(at):  # a window that the document repeats is one row
+                    places = np.split(at[np.argsort(np.searchsorted(own, _grams(hashes, min_words)[at]), kind="stable")], np.cumsum(times)[:-1])
+                    again = [x[1:] if len(x) > 1 else None for x in places]
+                more += again
+            yield pd.DataFrame({"row": np.concatenate([*rows, np.empty(0, np.int64)]), "start": np.concatenate(starts), "window": np.concatenate(windows).view(np.int64), "more": pd.Series(more, dtype=object)})
 
     candidates = source.select("row", "body").join(surviving, "row")
-    windows = stage(candidates.mapInPandas(extend, "row long, start int, window long"), "windows")
-    matched = windows.join(_shared(windows, "window"), "window").groupBy("row", "start").agg(F.max(F.col("row") != F.col("keeper")).alias("cut"))
+    windows = stage(candidates.mapInPandas(extend, "row long, start int, window long, more array<int>"), "windows")
+    shared = windows.join(_shared(windows.select("row", "window"), "window"), "window")
+    every = shared.select("row", F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))).alias("start"), (F.col("row") != F.col("keeper")).alias("cut"))
+    matched = every.groupBy("row", "start").agg(F.max("cut").alias("cut"))
     runs = matched.groupBy("row").agg(F.array_sort(F.collect_list("start")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("cut"), F.col("start")))).alias("cut"))
     named = source.select("row", "doc_id").distinct()
     return runs.select("row", _merged("all", min_words).alias("spans"), _merged("cut", min_words).alias("removed")).join(named, "row").select("row", "doc_id", "spans", "removed")
