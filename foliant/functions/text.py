@@ -129,7 +129,8 @@ def session_project(path: Column, base: str = "vault") -> Column:
 def recency(age_days: Column, weight: float, half_life: float | None) -> Column:
     """1 - weight * 0.5 ** (age / half-life); 1 for an unknown age; 90 days for no half-life."""
     half_life = half_life if half_life and half_life > 0 else 90.0
-    return F.coalesce(F.lit(1.0) - F.lit(float(weight)) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / F.lit(half_life)), F.lit(1.0))
+    factor = F.lit(1.0) - F.lit(float(weight)) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / F.lit(half_life))
+    return F.when(age_days.isNull(), 1.0).otherwise(factor)
 
 
 def scrubbed(text: Column) -> Column:
