@@ -1,10 +1,11 @@
-"""Licence notices in documents: a trained paragraph classifier, confirmed against templates.
+"""Licence notices in documents: a trained classifier of passages, confirmed against templates.
 
-Paragraphs that name a licensing matter are turned into word 1- and 2-grams. A multinomial
-logistic regression over the n-grams of the notices gives each licence family, and the
-class of unknown licences and other prose, a calibrated probability. A prediction stands if
-enough of one of the family's notices is found in the paragraph. The data's path is column
-expressions and joins with the weight table, whose size the notices fix.
+Paragraphs are read in overlapping windows, which are turned into word 1- and 2-grams. A
+multinomial logistic regression over the n-grams of the notices gives each licence family, and
+the class of unknown licences and other prose, a calibrated probability. A family stands if
+enough of one of its notices is found in a window, beyond what other families of that window
+explain. Paragraphs are left out unread only where too little of every notice can be in them.
+The data's path is column expressions and joins with the weight table, whose size the notices fix.
 """
 
 from __future__ import annotations
@@ -43,8 +44,14 @@ OTHER = [
     "licensed premises must close at midnight", "the company redistributed its profits", "all rights of the workers were respected", "under the terms of the treaty the border was open", "distributed under the rules of the archive, version 2",
 ]
 UNKNOWN = "unknown"
-#: A paragraph without any of these is not a notice.
-CUES = ("licen", "copyright", "copying", "permission", "redistribut", "public domain", "creative commons", "spdx", "rights reserved")
+#: A paragraph with one of these names a licensing matter; every notice holds one.
+CUES = ("licen", "copyright", "copying", "permission", "redistribut", "public domain", "creative commons", "spdx", "rights reserved", "gpl", "cc0", "cc by", "cc-by")
+#: N-grams without which the GNU licences of other names are not the plain one.
+NAMES = {"gpl-2.0": ("gnu general", "gpl"), "gpl-3.0": ("gnu general", "gpl")}
+#: Words that the gate takes last, for they are in most texts.
+COMMON = frozenset("a all any as at be by for has in into is it later not of on or other part source that the this to under version with without you your".split())
+#: Words of a window and from one to the next: a notice (32 words at most) lies in one of them whole.
+WINDOW, STRIDE = 64, 32
 _WORD = r"[a-z0-9]+(?:[.+][a-z0-9]+)*"
 
 
@@ -113,59 +120,157 @@ def default_model(rounds: int = 120, ridge: float = 2e-4) -> LicenceModel:
     return LicenceModel(classes, tuple(w[-1].tolist()), {g: tuple(w[i].tolist()) for g, i in vocabulary.items()}, temperature)
 
 
-def _tables(spark, model: LicenceModel) -> tuple[DataFrame, DataFrame]:
-    """n-gram -> weights; n-gram -> the notices that hold it. Their size is that of the notices."""
-    weights = spark.createDataFrame(sorted(model.weights.items()), "gram string, weights array<double>")
+def _notice_parts() -> list[tuple[str, str, str, float]]:
+    """(n-gram, family, notice, part of the notice): an n-gram of many families tells little."""
     families: dict[str, set[str]] = {}
     for family, texts in NOTICES.items():
         for gram in {g for t in texts for g in ngrams(t)}:
             families.setdefault(gram, set()).add(family)
-    telling = {g: 1 / len(f) for g, f in families.items()}  # an n-gram of many families tells little
-    rows = [(g, family, f"{family} {k}", telling[g] / sum(telling[x] for x in ngrams(t))) for family, texts in sorted(NOTICES.items()) for k, t in enumerate(texts) for g in ngrams(t)]
-    held = spark.createDataFrame(rows, "gram string, family string, notice string, part double")
-    return weights, held.groupBy("gram").agg(F.collect_list(F.struct("family", "notice", "part")).alias("notices"))
+    telling = {g: 1 / len(f) for g, f in families.items()}
+    return [(g, family, f"{family} {k}", telling[g] / sum(telling[x] for x in ngrams(t))) for family, texts in sorted(NOTICES.items()) for k, t in enumerate(texts) for g in ngrams(t)]
+
+
+def gate_words(least_share: float) -> list[str]:
+    """Words of which each text that holds least_share of some notice holds one.
+
+    Per notice, long words that carry much of it are taken until the n-grams that hold none
+    of them are less than the share.
+    """
+    notices: dict[str, dict[str, float]] = {}
+    for gram, _, notice, part in _notice_parts():
+        notices.setdefault(notice, {})[gram] = part
+    chosen: dict[str, None] = {}
+    for parts in notices.values():
+        left = {g: x for g, x in parts.items() if not set(g.split(" ")) & set(chosen)}
+        while left and sum(left.values()) >= least_share - 1e-6:
+            weight: dict[str, float] = {}
+            for g, x in left.items():
+                for word in set(g.split(" ")):
+                    weight[word] = weight.get(word, 0.0) + x
+            word = max(sorted(weight), key=lambda w: (w not in COMMON, weight[w] * len(w)))
+            chosen[word] = None
+            left = {g: x for g, x in left.items() if word not in g.split(" ")}
+    return list(chosen)
+
+
+def _tables(spark, model: LicenceModel) -> tuple[DataFrame, DataFrame]:
+    """n-gram -> weights; n-gram -> the notices that hold it. Their size is that of the notices."""
+    weights = spark.createDataFrame(sorted(model.weights.items()), "gram string, weights array<double>")
+    held = spark.createDataFrame(_notice_parts(), "gram string, family string, notice string, part double")
+    return weights, held.groupBy("gram").agg(F.collect_list(F.struct("gram", "family", "notice", "part")).alias("notices"))
 
 
-def _has_cue(text: Column) -> Column:
+def _has_any(text: Column, cues: list[str] | tuple[str, ...]) -> Column:
     lowered = F.lower(text)
-    test = lowered.contains(CUES[0])
-    for cue in CUES[1:]:
+    test = F.lit(False)
+    for cue in cues:
         test = test | lowered.contains(cue)
     return test
 
 
+def _gate(text: Column, least_share: float) -> Column:
+    """Whether a text is read: one that fails this has no cue and can hold least_share of no notice."""
+    if least_share <= 0:
+        return F.lit(True)
+    # a word that holds another one needs no test of its own
+    tests = list(dict.fromkeys([*CUES, *gate_words(least_share)]))
+    return _has_any(text, [t for t in tests if not any(o != t and o in t for o in tests)])
+
+
+def _families(model: LicenceModel, least_probability: float, least_share: float) -> Column:
+    """The confirmed families of a window with its logits, likeliest class (family) and matched n-grams.
+
+    The likeliest family comes first, then notices by the number of their n-grams found. What
+    the notices before explain counts neither for nor against a notice of another family.
+    """
+    part = lambda entries: F.aggregate(entries, F.lit(0.0), lambda a, m: a + m["part"])
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(model.classes) for x in (c, i)])
+    against = lambda family: F.get("logits", F.try_element_at(place, family)) - F.get("logits", F.lit(model.classes.index(UNKNOWN)))
+    odds = float(np.log(least_probability / (1 - least_probability))) if 0 < least_probability < 1 else (-np.inf if least_probability <= 0 else np.inf)
+    own = lambda n: F.filter("matched", lambda m: m["notice"] == n)
+    found = F.transform(F.array_distinct(F.transform("matched", lambda m: m["notice"])), lambda n: F.struct(n.alias("notice"), own(n).alias("entries")))
+    rated = F.transform(
+        found,
+        lambda x: F.struct(
+            F.when(x["entries"][0]["family"] == F.col("family"), 0).otherwise(1).alias("late"),
+            (-F.size(x["entries"])).alias("size"),
+            x["notice"].alias("notice"),
+            x["entries"][0]["family"].alias("family"),
+            part(x["entries"]).alias("share"),
+            x["entries"].alias("entries"),
+        ),
+    )
+    likely = lambda x: ((x["late"] == 0) | ((x["share"] >= least_share - 1e-9) & (against(x["family"]) >= F.lit(odds))))
+
+    def is_named(x: Column) -> Column:
+        test = F.lit(True)
+        for family, grams in NAMES.items():
+            test = test & ((x["family"] != family) | F.exists("matched", lambda m: m["gram"].isin(*grams)))
+        return test
+
+    def step(state: Column, x: Column) -> Column:
+        explained = part(F.filter(x["entries"], lambda m: F.array_contains(state["grams"], m["gram"])))
+        first = (x["late"] == 0) & (F.col("probability") >= least_probability) & (x["share"] >= least_share)
+        first = first & (F.col("family") != UNKNOWN)
+        other = (x["late"] == 1) & is_named(x) & (x["share"] - explained >= F.lit(least_share) * (F.lit(1.0) - explained)) & (explained < 1 - 1e-9)
+        stands = first | other | F.array_contains(state["families"], x["family"])
+        grams = F.when(stands | (x["late"] == 0), F.concat(state["grams"], F.transform(x["entries"], lambda m: m["gram"]))).otherwise(state["grams"])
+        families = F.when(first | other, F.array_union(state["families"], F.array(x["family"]))).otherwise(state["families"])
+        return F.struct(families.alias("families"), grams.alias("grams"))
+
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("families"), empty.alias("grams"))
+    return F.aggregate(F.array_sort(F.filter(rated, likely)), start, step)["families"]
+
+
 def notices(docs: DataFrame, model: LicenceModel | None = None, least_probability: float = 0.5, least_share: float = 0.6) -> DataFrame:
-    """documents -> (row_id, doc_id, paragraph, family, probability, share, confirmed), one row per paragraph with a cue.
+    """documents -> (row_id, doc_id, paragraph, family, probability, share, confirmed, families, cue), one row per paragraph that is read.
 
     paragraph: number of the paragraph in its text from 0. A line that goes on in lower case
-    belongs to the line before it. family: the likeliest class (the first by name on a tie);
-    share: of the best-matching notice of that family, the part of its n-grams found here,
-    each weighted by one over the families that use it;
-    confirmed: a family other than unknown, with both thresholds met.
+    belongs to the line before it. Paragraphs that have no cue and can hold least_share of no
+    notice are not read, but the first one has a row in any case. families: all families confirmed in a window of the paragraph, in
+    order; confirmed: whether there is one; family, probability, share: those of the window
+    whose likeliest class (the first by name on a tie) is confirmed with the greatest
+    probability, else of the one with most of a notice. share: of the best-matching notice of
+    that family, the part of its n-grams found, each weighted by one over the families that use
+    it. The likeliest family needs both thresholds, another one its probability against
+    unknown alone and its share without n-grams that the families before it explain.
+    cue: whether the paragraph has a cue.
     """
     model = model or default_model()
     spark = docs.sparkSession
     weights, held = _tables(spark, model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(_has_cue(F.col("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(_gate(F.col("text"), least_share))
     whole = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.regexp_replace("text", r"(?<=[^.!?:\n])\n(?=[a-z(])", " ").alias("text"))
-    units = whole.select("row_id", "doc_id", F.posexplode(F.split("text", r"\n+")).alias("paragraph", "text")).where(_has_cue(F.col("text")))
-    words = units.select("row_id", "doc_id", "paragraph", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0).alias("words"))
+    units = whole.select("row_id", "doc_id", F.posexplode(F.split("text", r"\n+")).alias("paragraph", "text")).where((F.col("paragraph") == 0) | _gate(F.col("text"), least_share))
+    words = units.select("row_id", "doc_id", "paragraph", _has_any(F.col("text"), CUES).alias("cue"), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0).alias("words"))
+    if least_share > 0:  # gate words as whole words
+        read = F.col("cue") | F.arrays_overlap("words", F.array(*[F.lit(w) for w in gate_words(least_share)]))
+        words = words.where((F.col("paragraph") == 0) | read).withColumn("words", F.when(read, F.col("words")).otherwise(F.array().cast("array<string>")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW + STRIDE - 1, F.lit(0)), F.lit(STRIDE))
+    windows = words.select("row_id", "doc_id", "paragraph", "cue", F.posexplode(F.transform(starts, lambda a: F.slice("words", a + 1, WINDOW))).alias("window", "words"))
     pairs = F.filter(F.transform("words", lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1))), lambda g: g.isNotNull())
-    grams = words.select("row_id", "doc_id", "paragraph", F.explode_outer(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    key = ["row_id", "doc_id", "paragraph", "cue", "window"]
+    grams = windows.select(*key, F.explode_outer(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     found = grams.join(F.broadcast(weights), "gram", "left").join(F.broadcast(held), "gram", "left")
     sums = [F.sum(F.coalesce(F.get("weights", F.lit(k)), F.lit(0.0))).alias(f"s{k}") for k in range(len(model.classes))]
-    scored = found.groupBy("row_id", "doc_id", "paragraph").agg(*sums, F.flatten(F.collect_list("notices")).alias("matched"))
+    scored = found.groupBy(*key).agg(*sums, F.flatten(F.collect_list("notices")).alias("matched"))
     logits = F.array(*[(F.col(f"s{k}") + F.lit(b)) / F.lit(model.temperature) for k, b in enumerate(model.bias)])
     chosen = scored.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     total = F.aggregate(F.transform("logits", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
     names = F.array(*[F.lit(c) for c in model.classes])
-    named = chosen.select("row_id", "doc_id", "paragraph", F.get(names, (F.array_position("logits", F.col("top")) - 1).cast("int")).alias("family"), (F.lit(1.0) / total).alias("probability"), "matched")
+    named = chosen.select(*key, F.get(names, (F.array_position("logits", F.col("top")) - 1).cast("int")).alias("family"), (F.lit(1.0) / total).alias("probability"), "logits", "matched")
     own = F.filter("matched", lambda m: m["family"] == F.col("family"))
     parts = lambda notice: F.aggregate(F.filter("own", lambda m: m["notice"] == notice), F.lit(0.0), lambda a, m: a + m["part"])
     shares = F.transform(F.array_distinct(F.transform("own", lambda m: m["notice"])), parts)
-    measured = named.withColumn("own", own).withColumn("share", F.coalesce(F.array_max(shares), F.lit(0.0)))
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability) & (F.col("share") >= least_share)
-    return measured.select("row_id", "doc_id", "paragraph", "family", "probability", "share", confirmed.alias("confirmed"))
+    measured = named.withColumn("own", own).withColumn("share", F.coalesce(F.array_max(shares), F.lit(0.0))).withColumn("families", _families(model, least_probability, least_share))
+    stands = F.array_contains("families", F.col("family"))
+    rank = F.struct(stands, F.when(stands, F.col("probability")).otherwise(F.col("share")), -F.col("window"))
+    best = measured.groupBy("row_id", "doc_id", "paragraph", "cue").agg(
+        F.max_by(F.struct("family", "probability", "share"), rank).alias("best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
+    )
+    return best.select("row_id", "doc_id", "paragraph", "best.family", "best.probability", "best.share", (F.size("families") > 0).alias("confirmed"), "families", "cue")
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, least_probability: float = 0.5, least_share: float = 0.6) -> DataFrame:
@@ -178,11 +283,11 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, least_probability:
     not looked at.
     """
     found = notices(docs, model, least_probability, least_share).groupBy("row_id", "doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"),
         F.count_if("confirmed").alias("n_notices"),
-        F.count_if(~F.col("confirmed")).alias("n_unknown"),
+        F.count_if(F.col("cue") & ~F.col("confirmed")).alias("n_unknown"),
         F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
     )
     zero = F.lit(0).cast("long")
-    rest = docs.where(~_has_cue(F.coalesce("text", F.lit("")))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("families"), zero.alias("n_notices"), zero.alias("n_unknown"), F.lit(None).cast("double").alias("probability"))
+    rest = docs.where(~_gate(F.coalesce("text", F.lit("")), least_share)).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("families"), zero.alias("n_notices"), zero.alias("n_unknown"), F.lit(None).cast("double").alias("probability"))
     return found.drop("row_id").unionByName(rest)

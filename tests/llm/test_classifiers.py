@@ -205,3 +205,33 @@ def test_language_evidence_fuses(spark, sf_dir):
     pages = spark.createDataFrame(rows[:2], "page_id long, url string, html string, host string")
     assert langid.page_languages(pages.limit(0), docs).count() == 0
     assert [r["lang"] for r in langid.page_languages(pages, docs.limit(0)).collect()] == [None, None]
+
+
+def test_every_notice_is_read_and_confirmed(spark):
+    wanted = [(f, t) for f, texts in sorted(licences.NOTICES.items()) for t in texts]
+    assert all(any(c in t.lower() for c in licences.CUES) for _, t in wanted)
+    gate = set(licences.gate_words(0.6))
+    assert all(gate & set(licences.ngrams(t)) for _, t in wanted)
+    found = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wanted)], "doc_id long, text string")).collect()}
+    assert [(t, found[i]) for i, (_, t) in enumerate(wanted)] == [(t, f) for f, t in wanted]
+
+
+def test_gate_leaves_out_no_share():
+    parts = {}
+    for gram, _, notice, part in licences._notice_parts():
+        parts.setdefault(notice, []).append((gram, part))
+    for least in (0.3, 0.6, 0.9):
+        gate = set(licences.gate_words(least))
+        assert all(sum(p for g, p in rows if not gate & set(g.split(" "))) < least for rows in parts.values())
+
+
+def test_all_licences_of_a_paragraph(spark):
+    prose = "the river ran low and the people of the town came to see what was left of it "
+    rows = [
+        (1, "Dual licensed under the MIT License or the Apache License, Version 2.0"),
+        (2, prose * 40 + "released under the GPL v3 " + prose * 40 + "licensed under CC BY-SA 4.0 " + prose * 40),
+        (3, "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+        (4, prose * 60),
+    ]
+    found = {r["doc_id"]: (r["families"], r["n_notices"], r["n_unknown"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ("apache-2.0,mit", 1, 0), 2: ("cc-by-sa,gpl-3.0", 1, 0), 3: ("agpl-3.0", 1, 0), 4: ("", 0, 0)}
