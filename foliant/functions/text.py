@@ -151,14 +151,19 @@ def canonical_body(note: Column, contradiction_heading: str = "## ⚠ Contradict
 LIST_MARKER = r"^[\x09-\x0D\x1C-\x20]*(?:[-*+•]|[0-9]+[.)])[\x09-\x0D\x1C-\x20]+"
 
 
+def fact_lines(text: Column) -> Column:
+    """All lines of 20 characters or more, without list marker, that are no headings."""
+    trim = r"^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$"
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda line: F.regexp_replace(F.regexp_replace(line, LIST_MARKER, ""), trim, ""))
+    return F.filter(lines, lambda u: (F.length(u) >= 20) & ~u.startswith("#"))
+
+
 def fact_units(text: Column, cap: int = 120) -> Column:
-    """Lines of 20 characters or more without list marker that are no headings; over cap, an even sample of them.
+    """The fact lines; over cap, an even sample of them.
 
     The sample's positions are those of a truncated linear space, in double arithmetic.
     """
-    trim = r"^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$"
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda line: F.regexp_replace(F.regexp_replace(line, LIST_MARKER, ""), trim, ""))
-    units = F.filter(lines, lambda u: (F.length(u) >= 20) & ~u.startswith("#"))
+    units = fact_lines(text)
     last = (F.size(units) - 1).cast("double")
     at = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.when(i == cap - 1, last.cast("int")).otherwise((i * (last / F.lit(float(cap - 1)))).cast("int")))
     return F.when(F.size(units) <= cap, units).otherwise(F.transform(at, lambda i: F.get(units, i)))

@@ -73,12 +73,12 @@ def contradictions(old: DataFrame, new: DataFrame, gate: float = 0.4, least: flo
 
 
 def consolidated(reports: DataFrame, group: str = "project", budget: int = curation.BUDGET) -> DataFrame:
-    """reports (project, doc_path, text) -> one curated row per project: facts of the reports within the budget, scrubbed.
+    """reports (project, doc_path, text) -> one curated row per project: all fact lines of the reports within the budget, scrubbed.
 
     pending reports are left for the next run.
     """
     packed = curation.within_budget(reports.withColumn("length", F.length("text")), group, ["doc_path"], budget)
     taken = packed.where("status <> 'pending'").select(group, "doc_path", F.substring(F.col("text"), F.lit(1), F.col("used")).alias("text"))
-    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_path", "text"))), lambda r: F.slice(X.fact_units(r["text"]), 1, 3))), "\n")
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_path", "text"))), lambda r: X.fact_lines(r["text"]))), "\n")
     counted = packed.groupBy(group).agg(F.count_if(F.col("status") != "pending").alias("n_sources"), F.count_if(F.col("status") == "pending").alias("n_pending"), F.count_if(F.col("status") == "clamped").alias("n_clamped"), F.sum("used").alias("used"))
     return taken.groupBy(group).agg(X.scrubbed(body).alias("body")).join(counted, group)

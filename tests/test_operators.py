@@ -143,3 +143,10 @@ def test_consolidated(spark):
     rows = spark.createDataFrame([("p", "a", "a fact that is long enough\nDB_PASSWORD=hunter2hunter2 is here"), ("p", "b", "x" * 30)], "project string, doc_path string, text string")
     row = sessions.consolidated(rows, budget=50).first()
     assert row["n_sources"] == 1 and row["n_pending"] == 1 and row["n_clamped"] == 1 and "hunter2" not in row["body"]
+
+
+def test_consolidated_keeps_every_fact(spark):
+    facts = [f"fact number {i} of a long session report" for i in range(150)]
+    rows = spark.createDataFrame([("p", "a", "# Title\n" + "\n".join(f"- {x}" for x in facts[:140])), ("p", "b", "\n".join(facts[140:]))], "project string, doc_path string, text string")
+    row = sessions.consolidated(rows).first()
+    assert row["body"].split("\n") == facts and (row["n_sources"], row["n_pending"]) == (2, 0)
