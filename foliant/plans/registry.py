@@ -431,9 +431,10 @@ def _(spark, sf):
 
 @query("contradictions")
 def _(spark, sf):
-    said = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100_000 + F.col("turn") * 200)
-    units = sessions.facts(said.select("id", "text")).select((F.col("id") + F.col("n")).alias("id"), "fact")
-    return sessions.contradictions(units, units.where(F.col("id") % (QUERY_STEP * 100_000) < 100_000), least=0.0)
+    said = table(spark, sf, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    # a repeated row counts once, for ids must be distinct
+    units = sessions.facts(said.select("id", "text")).select("id.conv_id", F.xxhash64("id.conv_id", "id.turn", "n", "fact").alias("id"), "fact").dropDuplicates(["id"])
+    return sessions.contradictions(units, units.where(F.col("conv_id") % QUERY_STEP == 0), least=0.0)
 
 
 # chunks and clusters

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import clusters, curation, fulltext, models, retrieval, sessions, similarity
+from foliant.plans.registry import QUERIES
 
 
 def test_donors_equal_a_sequential_run(spark):
@@ -150,3 +151,12 @@ def test_consolidated_keeps_every_fact(spark):
     rows = spark.createDataFrame([("p", "a", "# Title\n" + "\n".join(f"- {x}" for x in facts[:140])), ("p", "b", "\n".join(facts[140:]))], "project string, doc_path string, text string")
     row = sessions.consolidated(rows).first()
     assert row["body"].split("\n") == facts and (row["n_sources"], row["n_pending"]) == (2, 0)
+
+
+def test_contradictions_of_long_conversations(spark, tmp_path):
+    said = lambda c, t: f"conversation {c} said in turn {t} that the port is open"
+    turns = [(20, 3), (20, 499), (20, 500), (20, 900), (19, 503), (19, 1), (21, 2), (21, 400)]
+    spark.createDataFrame([(c, t, "user", said(c, t)) for c, t in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = QUERIES["contradictions"](spark, str(tmp_path)).collect()
+    assert sorted(r["newer"] for r in found) == sorted(said(c, t) for c, t in turns if c == 20)
+    assert all(r["prior"] != r["newer"] for r in found)
