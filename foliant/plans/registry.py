@@ -22,6 +22,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Parameters of the registered queries.
 NOW, WEIGHT, HALF_LIFE, QUERY_STEP = "2025-03-01 00:00:00", 0.3, 90.0, 20
+#: When the stored chunk table of sync_index was written.
+BEFORE = "2025-02-01 00:00:00"
 
 
 def _sql_text(value: str) -> str:
@@ -449,6 +451,14 @@ def _files(spark, sf):
     return knowledge(spark, sf).withColumn("seq", F.col("doc_id"))
 
 
+def _stored(spark, sf):
+    """The chunk table of the manifest's files, as a first sync of them wrote it."""
+    files = _files(spark, sf)
+    gone = files.where(F.col("doc_id") % 13 == 0).withColumn("doc_path", F.concat(F.lit("gone/"), "doc_path"))
+    held = files.where(F.col("doc_id") % 7 != 0).unionByName(gone)
+    return catalog.sync(held, _manifest(spark, sf).limit(0), None, BEFORE)[0]
+
+
 @query("chunk_table")
 def _(spark, sf):
     return catalog.chunk_rows(_files(spark, sf), NOW)
@@ -456,7 +466,7 @@ def _(spark, sf):
 
 @query("sync_index")
 def _(spark, sf):
-    return catalog.sync(_files(spark, sf), _manifest(spark, sf), None, NOW)[0]
+    return catalog.sync(_files(spark, sf), _manifest(spark, sf), _stored(spark, sf), NOW)[0]
 
 
 @query("embed_documents")

@@ -92,3 +92,17 @@ def test_imports_without_the_corpus_package(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and 'pipeline' not in q and not [x for x in q if x.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_sync_query_runs_over_the_stored_table(spark):
+    from foliant.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    found = registry.QUERIES["sync_index"](spark, sf).select("doc_path", "source_type", "content_hash", F.col("created_at").cast("string").alias("at")).collect()
+    status = {r["path"]: r["status"] for r in registry.QUERIES["diff_files"](spark, sf).collect()}
+    assert {status[r["doc_path"]] for r in found} == {"new", "modified", "unchanged"}
+    assert all(r["at"].startswith(registry.BEFORE if status[r["doc_path"]] == "unchanged" else registry.NOW) for r in found)
+    whole = {(r["source_type"] != "session", r["content_hash"]) for r in registry.QUERIES["chunk_table"](spark, sf).collect()}
+    assert {h for _, h in whole} == {r["content_hash"] for r in found}
+    old = {r["content_hash"] for r in found if r["at"].startswith(registry.BEFORE) and r["source_type"] != "session"}
+    assert not old & {r["content_hash"] for r in found if r["at"].startswith(registry.NOW)}
