@@ -2,8 +2,8 @@
 
 Documents are dealt into bounded shards by a min-hash of their token pairs, so copies and
 relatives meet, and large groups spread over several shards. Each shard has a BM25 inverted
-index over token ids with counts taken over all documents. A seed document's strongest terms
-are looked up; its unused neighbours fill the window in order of score. A document that
+index over token ids with counts taken over all documents. All terms of a seed document
+are looked up; its unused neighbours in the shard fill the window in order of score. A document that
 does not fit is cut, and its rest seeds the next window, so every window is full; the last
 ids of a partition go to windows of falling powers of two.
 """
@@ -74,15 +74,14 @@ def document_counts(coded: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class Bm25Shard:
-    """Inverted index over the documents of one shard; ranked(d) gives d's unused neighbours."""
+    """Inverted index over the documents of one shard; ranked(d) gives d's unused neighbours, by all terms of d or its strongest."""
 
-    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int = 16) -> None:
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None) -> None:
         terms, docs, weights, self.queries = [], [], [], []
         for d, ids in enumerate(texts):
             own, tf = np.unique(ids, return_counts=True)
             weight = (idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))).astype(np.float32)
-            best = np.argsort(-weight, kind="stable")[:query_terms]
-            self.queries.append(own[best])
+            self.queries.append(own if query_terms is None else own[np.argsort(-weight, kind="stable")[:query_terms]])
             terms.append(own)
             docs.append(np.full(len(own), d, np.int32))
             weights.append(weight)

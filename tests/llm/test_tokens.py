@@ -127,3 +127,9 @@ def test_sequences_hold_every_id(spark, sf_dir):
     found = packing.sequences(packing.pack(fixed, path), fixed, path).collect()
     ids = sorted(i for r in found for i in r["ids"])
     assert ids == sorted(i for t in plain("word_bpe_49k.json", [t for _, t in rows]) for i in [*t, 2])
+
+
+def test_neighbours_by_any_term_of_the_seed():
+    texts = [np.arange(100, 140, dtype=np.uint16), *(np.array([t, 5000 + t], np.uint16) for t in range(100, 140))]
+    shard = packing.Bm25Shard(texts, np.linspace(9, 1, 1 << 16).astype(np.float32), 4.0)
+    assert set(shard.ranked(0).tolist()) >= set(range(1, 41))
