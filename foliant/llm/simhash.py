@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int =
 def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """documents -> one document of each near-duplicate component, that of the least doc_id; columns as they were.
 
-    Of repeated rows of the kept doc_id the least text stays. Rows with a null doc_id cannot be
-    told apart and stay unless their component holds a doc_id.
+    Of repeated rows of the kept doc_id the least text stays. Rows with a null doc_id go if their
+    component holds a doc_id; of another component the row of the least text hash stays.
     """
     found = near_duplicates(docs, distance)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
@@ -250,7 +250,9 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     if nameless.isEmpty():
         return chosen
     coded = near_fingerprints(nameless)
-    return chosen.unionByName(coded.join(lost, "fingerprint", "left_anti").drop("fingerprint"))
+    alone = coded.join(lost, "fingerprint", "left_anti").drop("fingerprint").withColumn("__row", F.xxhash64(text_bytes()))
+    heads = near_duplicates(alone.select(F.col("__row").alias("doc_id"), "text"), distance).where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return chosen.unionByName(alone.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row"))
 
 
 def near_fingerprints(docs: DataFrame) -> DataFrame:

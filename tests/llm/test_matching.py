@@ -210,3 +210,10 @@ def test_queries_equal_sql(spark, sf_dir):
         found, wanted = QUERIES[name](spark, sf_dir).toPandas(), con.sql(sql).df()
         assert sorted(found.columns) == sorted(wanted.columns)
         assert sorted(found[sorted(found)].itertuples(index=False, name=None)) == sorted(wanted[sorted(found)].itertuples(index=False, name=None))
+
+
+def test_near_copies_without_ids_leave_one(spark):
+    one, two = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = spark.createDataFrame([(None, one), (None, one), (None, two), (None, two.upper()), (7, "x y z " * 9)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"].lower()) for r in simhash.without_near_duplicates(rows).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, one), (None, two), (7, "x y z " * 9)], key=repr)
