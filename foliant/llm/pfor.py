@@ -21,13 +21,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_bytes, width
-from .tokens import as_u32, encode_groups
+from .tokens import encoder, with_end
 
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4s4I")
@@ -123,33 +123,46 @@ SEGMENTS = "part int, segment int, first_id long, start_in_part long, n_ids long
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 1_000_000, block: int = 256, percentile: float = 90.0) -> DataFrame:
     """documents -> the written file: segments in ascending doc_id order within and across parts.
 
-    Parts are ranges of doc_id (nulls first, equal ids ordered by text), one task each.
+    Parts are ranges of doc_id (nulls first) and of the first bytes of text, so that equal ids need
+    not share a task; equal ids are ordered by text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, start, n, ids, lengths, names = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
-        def close() -> pd.DataFrame:
-            first = next((x for x in names if x is not None), None)
-            payload = encode_segment(np.concatenate(ids), lengths, block, percentile)
-            return pd.DataFrame([{"part": part, "segment": segment, "first_id": first, "start_in_part": start, "n_ids": n, "doc_ids": names, "payload": payload}])
+        def close() -> pa.RecordBatch:
+            doc_ids = pa.concat_arrays(names)
+            payload = encode_segment(np.concatenate(ids), np.concatenate(lengths).tolist(), block, percentile)
+            first = next((x for x in doc_ids.to_pylist() if x is not None), None)
+            listed = pa.ListArray.from_arrays([0, len(doc_ids)], doc_ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), listed, pa.array([payload], pa.binary())], names=["part", "segment", "first_id", "start_in_part", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for doc_id, coded in zip(batch["doc_id"], encode_groups(batch["body"], tokenizer_path), strict=True):
-                own = as_u32(coded, end_id)
-                if n and n + len(own) > segment_ids:
-                    yield close()
-                    segment, start, n, ids, lengths, names = segment + 1, start + n, 0, [], [], []
-                ids.append(own)
-                lengths.append(len(own))
-                names.append(None if pd.isna(doc_id) else int(doc_id))
-                n += len(own)
+            at = 0
+            for coded in encoder(tokenizer_path).encode(batch.column("body")):
+                own, starts = with_end(*coded, end_id)
+                here = 0
+                while here < len(starts) - 1:
+                    fits = int(np.searchsorted(starts, starts[here] + segment_ids - n, "right")) - 1
+                    if fits <= here:
+                        if n:
+                            yield close()
+                            segment, start, n, ids, lengths, names = segment + 1, start + n, 0, [], [], []
+                            continue
+                        fits = here + 1  # a document of more ids is a segment alone
+                    ids.append(own[starts[here] : starts[fits]])
+                    lengths.append(np.diff(starts[here : fits + 1]))
+                    names.append(batch.column("doc_id").slice(at + here, fits - here))
+                    n += int(starts[fits] - starts[here])
+                    here = fits
+                at += len(starts) - 1
         if n:
             yield close()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    ranged = source.repartitionByRange(width(docs), "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "body")
-    return stage(ranged.mapInPandas(run, SEGMENTS), "ids", compression="uncompressed")
+    order = (F.asc_nulls_first("doc_id"), F.asc(F.substring("body", 1, 64)))
+    ranged = source.repartitionByRange(width(docs), *order).sortWithinPartitions(F.asc_nulls_first("doc_id"), "body")
+    return stage(ranged.mapInArrow(run, SEGMENTS), "ids", compression="uncompressed")
 
 
 def part_offsets(segments: DataFrame) -> dict[int, int]:
@@ -166,17 +179,17 @@ def read_documents(segments: DataFrame) -> DataFrame:
     """The file read back: (doc_id, start, n_tokens, ids_crc32) per document."""
     offsets = part_offsets(segments)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                segment = Segment(row.payload)
-                data = memoryview(segment.read().astype("<u4").tobytes())
+            for i in range(len(batch)):
+                segment = Segment(batch.column("payload")[i].as_buffer())
+                data = memoryview(segment.read().astype("<u4", copy=False)).cast("B")
                 ends = np.cumsum(segment.doc_lengths)
-                crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), segment.doc_lengths.tolist(), strict=True)]
-                ids = pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], dtype="Int64")
-                yield pd.DataFrame({"doc_id": ids, "start": offsets[row.part] + row.start_in_part + ends - segment.doc_lengths, "n_tokens": segment.doc_lengths, "ids_crc32": crc})
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - segment.doc_lengths).tolist(), ends.tolist(), strict=True)]
+                starts = offsets[batch.column("part")[i].as_py()] + batch.column("start_in_part")[i].as_py() + ends - segment.doc_lengths
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(starts), pa.array(segment.doc_lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("part", "start_in_part", "doc_ids", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("part", "start_in_part", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1_000_000) -> DataFrame:

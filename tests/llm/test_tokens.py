@@ -1,5 +1,6 @@
 """Token ids, the binary file and packing: exact round trips and invariants."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -133,3 +134,55 @@ def test_neighbours_by_any_term_of_the_seed():
     texts = [np.arange(100, 140, dtype=np.uint16), *(np.array([t, 5000 + t], np.uint16) for t in range(100, 140))]
     shard = packing.Bm25Shard(texts, np.linspace(9, 1, 1 << 16).astype(np.float32), 4.0)
     assert set(shard.ranked(0).tolist()) >= set(range(1, 41))
+
+
+@functools.cache
+def library_of(name):
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "don't", "x's", "'ll", "a1b2", "...", "«», ", "Über", "NAÏVE", "ß", "é", "Σ", " ", "\n", "  ", "0", " 0 ", " ", "_", "--", "(b)", "日本", "endoftext"]), max_size=12).map("".join), max_size=5))
+def test_ids_are_those_of_the_unmodified_library(texts):
+    for name in FILES:
+        library = library_of(name)
+        work = tokens.encoder(tokenizer_path(name))
+        wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):  # new pieces, then known ones
+            assert [np.frombuffer(x, work.type).tolist() for x in work.ids([t.encode() for t in texts])] == wanted
+
+
+def test_added_tokens_in_texts(spark):
+    docs = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "hello world")], "doc_id long, text string")
+    found = pfor.token_file(docs, tokenizer_path("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in ([31373, 220, 50256, 995], [31373, 995])]
+
+
+def test_unknown_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"a": 0, "b.c": 1, "?": 2}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(str(tmp_path / "words.json"))
+    work = tokens.PieceEncoder(str(tmp_path / "words.json"))
+    assert not work.fine and [np.frombuffer(x, work.type).tolist() for x in work.ids([b"a b.c  a", b"", b"x"])] == [[0, 1, 0], [], [2]]
+
+
+def test_large_vocabularies_have_wide_ids(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "wide.json")
+    plain.save(path)
+    assert tokens.id_type(path) == "<u4"
+    assert np.frombuffer(tokens.PieceEncoder(path).ids([b"w69999 w1 no"])[0], "<u4").tolist() == [69_999, 1, 70_000]
+
+
+def test_best_neighbours_come_in_the_order_of_all():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 30, rng.integers(1, 9)).astype(np.uint16) for _ in range(300)]
+    shard = packing.Bm25Shard(texts, np.linspace(3, 1, 30).astype(np.float32), 4.0)
+    shard.unused[::7] = False
+    for seed in range(0, 300, 11):
+        assert list(shard.neighbours(seed)) == shard.ranked(seed).tolist()
