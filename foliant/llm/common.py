@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that are broadcast at most when rows are dropped: 16 bytes each, about 64 MB in all.
+BROADCAST_KEYS = 4_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see, named by spark.checkpoint.dir.
 
-    A folder of our own is set only where the setting is absent (local tests).
+    Where the setting is absent, a local master may use the context's own checkpoint folder; a cluster must name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
-        root = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/foliant-checkpoints"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -27,7 +30,8 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and continue from the written table.
 
     This cuts lineage with files that outlive any executor. Compression is zstd, for
-    these tables are read once or twice only.
+    these tables are read once or twice only. A result may still read them after the call
+    that staged them returns, so they stay until discard() or the cluster's own clean-up.
     """
     path = f"{shared_dir(df.sparkSession)}/foliant/{uuid.uuid4().hex}/{name}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
@@ -49,3 +53,48 @@ def width(df: DataFrame) -> int:
     """Shuffle partitions of the session, at least one per core."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        if "/foliant/" in path:
+            jvm = staged.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_bytes())
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names it does not have: doc_id as a number, and a hash of text; together they name a document."""
+    number, digest = free_name(docs, "key_id"), free_name(docs, "key_text")
+    return docs.withColumns({number: F.col("doc_id").cast("long"), digest: text_hash()}), number, digest
+
+
+def joined_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (doc_id, text_hash, and more): 'left_semi', 'left_anti' or 'inner'; columns of docs, then the others of keys.
+
+    Null ids match each other. Up to BROADCAST_KEYS keys are broadcast, so whole texts are not
+    shuffled; beyond that both sides are, and a join's large partitions are left to be split by AQE.
+    keys should be staged, for they are counted first.
+    """
+    marked, number, digest = keyed(docs)
+    names = {c: free_name(marked, f"of_{c}") for c in ("doc_id", "text_hash")}
+    side = keys.withColumnsRenamed(names)
+    if how != "inner":
+        side = side.select(*names.values()).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        side = F.broadcast(side)
+    out = marked.join(side, marked[number].eqNullSafe(side[names["doc_id"]]) & (marked[digest] == side[names["text_hash"]]), how)
+    return out.drop(number, digest, *names.values())

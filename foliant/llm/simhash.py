@@ -16,10 +16,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes
+from .common import joined_rows, keyed, stage, text_bytes, text_hash
 from .graph import connected_components
 
 BITS = 64
@@ -54,15 +54,15 @@ def simhash64(data: bytes, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """documents -> (doc_id, fp), fp the fingerprint as a signed long; one row per row."""
+    """documents -> (doc_id, text_hash, fp), fp the fingerprint as a signed long; one row per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((simhash64(x, words_per_shingle) for x in batch["body"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": fp.view(np.int64)})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    return source.mapInPandas(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_bytes().alias("body"))
+    return source.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -216,6 +216,12 @@ def near_links(classes: DataFrame, distance: int = 3, hot_bucket: int = 2000) ->
     return left.join(right, [*same, close], "inner").select("a", "b").distinct()
 
 
+def components(classes: DataFrame, distance: int, hot_bucket: int) -> DataFrame:
+    """(fp, …) one row per distinct fingerprint -> the same with label, the least fingerprint that links reach."""
+    labels = connected_components(near_links(classes.select("fp"), distance, hot_bucket)).withColumnsRenamed({"node": "fp"})
+    return classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int = 3, hot_bucket: int = 2000) -> DataFrame:
     """documents -> (doc_id, fingerprint, component_id), one row per input row.
 
@@ -227,39 +233,38 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int =
     """
     rows = stage(fingerprints(docs, words_per_shingle), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    labels = connected_components(near_links(classes, distance, hot_bucket)).withColumnsRenamed({"node": "fp"})
-    members = classes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    members = components(classes, distance, hot_bucket)
     heads = members.groupBy("label").agg(F.min("least").alias("component_id"))
     component = members.join(heads, "label").select("fp", "component_id")
     return rows.join(component, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """documents -> one document of each near-duplicate component, that of the least doc_id; columns as they were.
+def without_near_duplicates(docs: DataFrame, distance: int = 3, one_text_per_id: bool = True, hot_bucket: int = 2000) -> DataFrame:
+    """documents -> one document of each near-duplicate component; columns as they were.
 
-    Of repeated rows of the kept doc_id the least text stays. Rows with a null doc_id go if their
-    component holds a doc_id; of another component the row of the least text hash stays.
+    The document of the least doc_id stays (null ids last, then by a hash of text). With
+    one_text_per_id, of several texts under one doc_id only the least stays, before anything
+    else; without it, they are documents of their own, and only near copies go. Of
+    rows equal in doc_id and text one stays, whichever it is. Null and empty texts are near
+    copies of each other. An empty table stays empty. Columns of any name may be there.
     """
-    found = near_duplicates(docs, distance)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where("doc_id is not null").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    chosen = named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    lost = found.where("doc_id is null and component_id is not null").select("fingerprint").distinct()
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return chosen
-    coded = near_fingerprints(nameless)
-    alone = coded.join(lost, "fingerprint", "left_anti").drop("fingerprint").withColumn("__row", F.xxhash64(text_bytes()))
-    heads = near_duplicates(alone.select(F.col("__row").alias("doc_id"), "text"), distance).where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
-    return chosen.unionByName(alone.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row"))
-
-
-def near_fingerprints(docs: DataFrame) -> DataFrame:
-    """documents with a column of their fingerprint, as in near_duplicates."""
-
-    @F.pandas_udf("string")
-    def code(body: pd.Series) -> pd.Series:
-        return pd.Series([f"{simhash64(x):016x}" for x in body])
-
-    return docs.withColumn("fingerprint", code(text_bytes()))
+    if one_text_per_id:
+        marked, number, digest = keyed(docs)
+        named = marked.where(F.col(number).isNotNull()).groupBy(number).agg(F.min("text").alias("text"), F.count_distinct(digest).alias("texts")).where("texts > 1")
+        least = stage(named.select(F.col(number).alias("least_id"), text_hash().alias("least_text")), "least")
+        rows = marked.select(F.col(number).alias("doc_id"), F.col(digest).alias("text_hash"))
+        later = rows.join(least, (F.col("doc_id") == F.col("least_id")) & (F.col("text_hash") != F.col("least_text")), "left_semi").distinct()
+        docs = joined_rows(docs, stage(later, "later"), "left_anti")
+    rows = stage(fingerprints(docs).groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = stage(rows.groupBy("fp").agg(F.min(order).alias("least")), "classes")
+    members = components(classes, distance, hot_bucket)
+    kept = members.groupBy("label").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_hash")
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
+    dropped = stage(rows.join(kept, same, "left_anti").select("doc_id", "text_hash"), "dropped")
+    repeated = stage(rows.join(kept, same, "left_semi").where("times > 1").select("doc_id", "text_hash"), "repeated")
+    left = joined_rows(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return left
+    twice, number, digest = keyed(joined_rows(left, repeated, "left_semi"))
+    return joined_rows(left, repeated, "left_anti").unionByName(twice.dropDuplicates([number, digest]).drop(number, digest))
