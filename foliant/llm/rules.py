@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import joined_rows, stage, text_hash
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -178,13 +178,13 @@ def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
-    """documents -> the rows that judge() keeps, all columns as they were.
+    """documents -> the rows that judge() keeps, columns as they were.
 
-    Rows are carried through the counts, so repeated rows and null ids need no join; the counts
-    are taken twice, for the model and for the verdict.
+    Counts and votes are taken once and staged, without texts; the rows that fail are then
+    dropped by doc_id and a hash of text. Null and empty texts go, rows equal in both are judged
+    alike, an empty table stays empty, and columns of any name may be there.
     """
-    model = fit_votes(*voted(docs))
-    counted, names = voted(docs, F.struct(*docs.columns))
-    # a filter is not pushed below a non-deterministic column, so the counts are not folded into it
-    marked = verdicts(counted.withColumn("mark", F.monotonically_increasing_id()), names, model, keep_from)
-    return marked.where(F.col("kept") & (F.col("mark") >= 0)).select("carried.*")
+    counted, names = voted(docs, text_hash())
+    counted = stage(counted, "votes")
+    failed = verdicts(counted, names, fit_votes(counted, names), keep_from).where("not kept")
+    return joined_rows(docs, stage(failed.select("doc_id", F.col("carried").alias("text_hash")).distinct(), "failed"), "left_anti")
