@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes
+from .common import free_name, joined_rows, stage, text_bytes, text_hash
 
 _STEP = 0x9E3779B97F4A7C15
 _WORD = 1 << 64
@@ -63,8 +63,8 @@ def heads(hashes: np.ndarray, min_words: int, head: int) -> np.ndarray:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    """doc_id, body, and row, which stands for the document: a hash of doc_id and text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).withColumn("row", F.xxhash64("doc_id", "body"))
+    """doc_id, body, its hash, and row, which stands for the document: a hash of doc_id and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), text_hash().alias("text_hash")).withColumn("row", F.xxhash64("doc_id", "body"))
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20) -> DataFrame:
-    """documents -> (row, doc_id, spans, removed), one row per document with a repeated passage.
+    """documents -> (row, doc_id, text_hash, spans, removed), one row per document with a repeated passage.
 
     spans: maximal word intervals [start, stop) whose every min_words-word window also occurs
     in another document, in order. removed: the part of them that another document, the one
@@ -116,8 +116,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20) -> D
     every = shared.select("row", F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))).alias("start"), (F.col("row") != F.col("keeper")).alias("cut"))
     matched = every.groupBy("row", "start").agg(F.max("cut").alias("cut"))
     runs = matched.groupBy("row").agg(F.array_sort(F.collect_list("start")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("cut"), F.col("start")))).alias("cut"))
-    named = source.select("row", "doc_id").distinct()
-    return runs.select("row", _merged("all", min_words).alias("spans"), _merged("cut", min_words).alias("removed")).join(named, "row").select("row", "doc_id", "spans", "removed")
+    named = source.select("row", "doc_id", "text_hash").distinct()
+    return runs.select("row", _merged("all", min_words).alias("spans"), _merged("cut", min_words).alias("removed")).join(named, "row").select("row", "doc_id", "text_hash", "spans", "removed")
 
 
 def _merged(column: str, size: int):
@@ -147,19 +147,21 @@ def without_repeats(docs: DataFrame, min_words: int = 51, head: int = 20) -> Dat
     """documents -> the same columns and rows, later copies of repeated passages cut out of text.
 
     A removed word goes with the white space before it; text that remains is unchanged.
-    n_chars, where there is one, follows the text.
+    n_chars, where there is one, follows the text. Null and empty texts stay as they are; rows equal
+    in doc_id and text are cut alike; an empty table stays empty. Columns of any name may be there.
+    Only documents with something to remove are joined with what is removed.
     """
-    cut = repeated_passages(docs, min_words, head).where(F.size("removed") > 0).select(F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    marked = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), text_bytes())).join(cut, "__row", "left")
+    name = free_name(docs, "removed")
+    cut = stage(repeated_passages(docs, min_words, head).where(F.size("removed") > 0).select("doc_id", "text_hash", F.col("removed").alias(name)), "cut")
 
     @F.pandas_udf("string")
     def drop(text: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or t is None else drop_words(t, [(x["start"], x["stop"]) for x in r]) for t, r in zip(text, removed, strict=True)])
+        return pd.Series([drop_words(t, [(x["start"], x["stop"]) for x in r]) for t, r in zip(text, removed, strict=True)])
 
-    touched = marked.where("__removed is not null").withColumn("text", drop("text", "__removed"))
+    touched = joined_rows(docs, cut, "inner").withColumn("text", drop("text", name))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.where("__removed is null").unionByName(touched).select(*docs.columns)
+    return joined_rows(docs, cut, "left_anti").unionByName(touched.select(*docs.columns))
 
 
 def drop_words(text: str, spans: list[tuple[int, int]]) -> str:
