@@ -23,6 +23,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def near_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import near_items
+
+    return near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "near_benchmark_items": near_benchmark_items,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,6 +115,18 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from docs left join covered using (doc_id) left join owners using (doc_id)""",
+    "near_benchmark_items": f"""
+        with items as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+        docs as (select doc_id, {_WORDS} as w from documents),
+        sets as (select row_number() over () as s, item_id, list_distinct(w) as w from items where len(w) > 0),
+        members as (select s, item_id, len(w) as n, unnest(w) as word from sets),
+        placed as (select doc_id, p, w[p] as word from docs, unnest(range(1, len(w) + 1)) as t(p)),
+        held as (select distinct doc_id, word from placed),
+        whole as (select doc_id, s, item_id, n from held join members using (word) group by all having count(*) = n),
+        spots as (select doc_id, s, item_id, n, p, word from whole join members using (s, item_id, n) join placed using (doc_id, word)),
+        close_ as (select a.doc_id, a.item_id from spots a join spots b on a.doc_id = b.doc_id and a.s = b.s and b.p >= a.p and b.p < a.p + a.n + 20
+                   group by a.doc_id, a.s, a.item_id, a.n, a.p having count(distinct b.word) = a.n)
+        select distinct doc_id, item_id from close_""",
     "op7_suffix_array_dedup": r"""
         with docs as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
         grams as (select doc_id, p, array_to_string(w[p : p + 50], ' ') as gram from docs, unnest(range(1, len(w) - 49)) as t(p)),

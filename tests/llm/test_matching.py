@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, graph, simhash, suffixes
 from foliant.llm.queries import QUERIES
+from foliant.llm.rules import kept_documents
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -217,3 +218,59 @@ def test_near_copies_without_ids_leave_one(spark):
     rows = spark.createDataFrame([(None, one), (None, one), (None, two), (None, two.upper()), (7, "x y z " * 9)], "doc_id long, text string")
     kept = [(r["doc_id"], r["text"].lower()) for r in simhash.without_near_duplicates(rows).collect()]
     assert sorted(kept, key=repr) == sorted([(None, one), (None, two), (7, "x y z " * 9)], key=repr)
+
+
+def brute_near(docs, items, slack):
+    out = set()
+    for doc, text in docs:
+        w = words(text)
+        for item, wanted in items:
+            need = set(words(wanted))
+            if need and any(need <= set(w[k : k + len(need) + slack]) for k in range(len(w))):
+                out.add((doc, item))
+    return out
+
+
+def test_near_items_equal_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(80)] + [(900, None), (901, "")]
+    items = [(i, text(rng.randint(1, 9))) for i in range(25)] + [(77, None), (78, "zzz")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = decontaminate.build_index(frame, block_words=200)
+    for slack in (0, 1, 4):
+        found = decontaminate.proximity_matches(index, spark.createDataFrame(items, "item_id long, text string"), slack)
+        assert {tuple(r) for r in found.collect()} == brute_near(docs, items, slack)
+
+
+def test_near_duplicates_keep_unlike_texts_of_an_id(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, one, "a"), (1, two, "b"), (1, two, "b"), (2, one, "c"), (3, two + " end", "d"), (None, one, "e"), (4, None, "f"), (5, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    kept = simhash.without_near_duplicates(docs, one_text_per_id=False)
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    expected = [(1, one), (1, two), (4, None)]
+    if not any((r["doc_id"], r["text"]) == (3, two + " end") for r in kept.collect()):
+        assert found == sorted(expected, key=repr)
+    else:  # one more word may flip more than three bits
+        assert found == sorted([*expected, (3, two + " end")], key=repr)
+    assert kept.columns == docs.columns
+    assert simhash.without_near_duplicates(docs.limit(0), one_text_per_id=False).count() == 0
+
+
+def test_stages_take_any_column_names(spark):
+    names = ["__row", "__removed", "__n", "__kept", "fp", "row", "key", "key_id", "key_text", "of_doc_id", "judged", "fingerprint"]
+    rows = [(i, f"text number {i} with words of its own " * 4, *range(len(names))) for i in range(4)] + [(None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    items = spark.createDataFrame([(1, "text number 2 with words of its own")], "item_id long, text string")
+    for stage in (lambda d: simhash.without_near_duplicates(d, one_text_per_id=False), simhash.without_near_duplicates, suffixes.without_repeats, lambda d: decontaminate.clean_documents(d, items), lambda d: kept_documents(d, 0.0)):
+        found = stage(docs)
+        assert found.columns == docs.columns
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in found.collect())
+
+
+def test_clean_documents_with_repeated_and_null_ids(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "nothing here"), (None, "Alpha beta, gamma delta!"), (None, "other"), (2, None), (2, "")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.clean_documents(docs, items).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "nothing here"), (None, "other"), (2, None), (2, "")], key=repr)
