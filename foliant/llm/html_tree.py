@@ -46,7 +46,7 @@ _TAG = {t: t for t in TAGS} | {f"h{i}": "h" for i in range(1, 7)} | {"ul": "list
 PARTS = "article main nav header footer aside form".split()
 FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in [*PARTS, "none"]), *(f"under {g}" for g in [*NAMES, "hidden", "none"]), *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {g}" for g in NAMES), *(f"length {k}" for k in range(5)), *(f"links {k}" for k in range(4)), "sentence", "hidden", "rights", *(f"{t} inside an article" for t in ("header", "footer", "other")), "header outside"])}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*>?", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*>?", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
@@ -61,6 +61,7 @@ class Page:
         self.text: list[str] = [""]
         self.linked: list[int] = [0]
         self._open = [0]
+        self._depths: dict[str, list[int]] = {}  # where in _open each tag stands
         self._buffer: list[str] = []
         self._links = self._in_link = 0
         self._read(source)
@@ -80,13 +81,16 @@ class Page:
         self._buffer, self._links, self._in_link = [], 0, 0
 
     def _close(self, names: set[str] | frozenset[str], until: set[str]) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[depth]]
-            if tag in names:
-                del self._open[depth:]
-                return
-            if tag in until:
-                return
+        """Close the innermost open element of these names, unless one of `until` stands inside it."""
+        depth = max((self._depths[t][-1] for t in names if self._depths.get(t)), default=0)
+        if depth and all(self._depths[t][-1] < depth for t in until if t not in names and self._depths.get(t)):
+            for node in self._open[depth:]:
+                self._depths[self.tag[node]].pop()
+            del self._open[depth:]
+
+    def _enter(self, tag: str, attributes: str) -> None:
+        self._depths.setdefault(tag, []).append(len(self._open))
+        self._open.append(self._node(tag, attributes))
 
     def _data(self, text: str) -> None:
         if text:
@@ -129,7 +133,7 @@ class Page:
                     if tag in ENDS:
                         self._close(*ENDS[tag])
                     if tag not in VOID:
-                        self._open.append(self._node(tag, attributes))
+                        self._enter(tag, attributes)
         self._flush()
 
     def active(self) -> list[list[int]]:
@@ -208,7 +212,7 @@ class Forest:
         below, up = unary.copy(), np.zeros(self.n)
         for level in reversed(self.levels):
             up[level] = _through(below[level], bond[level])
-            below += np.bincount(self.parent[level], weights=up[level], minlength=self.n)
+            np.add.at(below, self.parent[level], up[level])
         total = below.copy()
         for level in self.levels:
             parent = self.parent[level]
@@ -299,7 +303,10 @@ def extract(pages: DataFrame, model: TreeModel | None = None, threshold: float =
 
     A block is the text directly under a block element; white space in it, line-break tags
     included, becomes one space. Null and empty html, and pages without content, give the
-    empty string. Repeated rows stay, null ids and urls too. Other columns are not looked at.
+    empty string. Repeated rows stay, null ids and urls too; an empty table gives an empty result.
+    Other columns are not looked at. Pages are read whole; time grows with a page's length, and
+    with its nesting depth as far as levels are passed one by one. A tag that is never closed runs to
+    the end of what holds it, a script or style to the end of the page.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 

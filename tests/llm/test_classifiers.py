@@ -235,3 +235,22 @@ def test_all_licences_of_a_paragraph(spark):
     ]
     found = {r["doc_id"]: (r["families"], r["n_notices"], r["n_unknown"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: ("apache-2.0,mit", 1, 0), 2: ("cc-by-sa,gpl-3.0", 1, 0), 3: ("agpl-3.0", 1, 0), 4: ("", 0, 0)}
+
+
+def test_deep_and_broken_pages_take_time_by_their_length(tree):
+    import time
+
+    body = "<article><p>Some words stand here. They end here.</p></article>"
+    pages = ["<div>" * 100_000 + body, body + "</div>" * 100_000 + "<p>" * 50_000, "<span><li>" * 50_000 + body, "<a href='x>" * 50_000 + body, '<b c="' + "<i d='e'>" * 50_000 + body]
+    began = time.process_time()
+    found = html_tree.main_texts(pages, tree)
+    assert time.process_time() - began < 60
+    assert found[1] == "Some words stand here. They end here."
+
+
+def test_closing_stops_at_the_part_that_holds_it():
+    page = html_tree.Page("<ul><li>a<ul><li>b</ul><li>c</ul><table><tr><td>d<p>e<td>f</table><p>g<div>h</div>i")
+    runs = {t: page.parent[i] for i, t in enumerate(page.text) if t}
+    tags = {t: page.tag[p] for t, p in runs.items()}
+    assert tags == {"a": "li", "b": "li", "c": "li", "d": "td", "e": "p", "f": "td", "g": "p", "h": "div", "i": "body"}
+    assert page.parent[runs["a"]] == page.parent[runs["c"]] and page.tag[page.parent[page.parent[runs["b"]]]] == "li"
