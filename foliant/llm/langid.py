@@ -3,8 +3,10 @@
 The text model counts byte trigrams of labelled documents. Over all pages, grouped sums of
 the text posterior then say how often each declared language and each address suffix goes
 with each language, and what a host's pages are in; a host with few pages leans on its
-domain, and that on all pages. A page's own share is taken out of its host's sums. The
-four log terms add up, and a softmax over the languages gives the posterior.
+registered domain, and that on all pages. A page's own share is taken out of every sum. The
+four log terms add up, and a softmax over the languages gives the posterior. Sums have one row a
+key, so a host with a third of all pages is one row of them; its pages are joined to that row by
+broadcast, or by a sort-merge join whose large partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
 BUCKETS = 1 << 14
+#: Labels under which countries register names at the third level (fixed values).
+REGISTRIES = "ac ad asn co com csiro ed edu firm gen go gob gouv gov gv id info jus law ltd me mil mod muni net nhs nic nom or org plc police press pro res sch tm web".split()
 _SKIP = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1[^>]*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 
 
@@ -44,7 +48,7 @@ class TextModel:
     languages: list[str]
     log_chance: np.ndarray  # languages x buckets
 
-    def evidence(self, text: str, trust: int = 300) -> list[float]:
+    def evidence(self, text: str, trust: int) -> list[float]:
         """Log likelihood of each language, of at most `trust` trigrams' weight, as trigrams of a text depend on each other."""
         counts = trigram_counts(text)
         used = np.flatnonzero(counts)
@@ -52,10 +56,11 @@ class TextModel:
         return (self.log_chance[:, used] @ counts[used] * min(1.0, trust / max(total, 1))).tolist()
 
 
-def fit_text_model(docs: DataFrame, max_labelled: int = 4000, smoothing: float = 0.5) -> TextModel:
-    """From at most max_labelled documents with lang and text, those with the least hash of doc_id."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+def fit_text_model(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.5) -> TextModel:
+    """From at most per_language documents of each lang, those with the least hash of doc_id; whole texts of them are counted."""
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.lower("lang").alias("lang"), "text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").distinct().withColumn("n", first).where(F.col("n") <= per_language).drop("n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -66,7 +71,7 @@ def fit_text_model(docs: DataFrame, max_labelled: int = 4000, smoothing: float =
             used = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": used, "n": counts[used]})
 
-    sample = known.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lower("lang").alias("lang"), "text")
+    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     rows = sample.mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows})
     counts = np.full((len(languages), BUCKETS), smoothing)
@@ -88,24 +93,26 @@ def _added(*columns: Column) -> Column:
     return total
 
 
-def page_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
+def page_evidence(pages: DataFrame, model: TextModel, trust: int) -> DataFrame:
     """pages -> staged page_id, url, host, domain, suffix, declared, text (log likelihoods), soft (their softmax)."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [shared.value.evidence(visible_text(x)) if x else [0.0] * len(shared.value.languages) for x in batch["html"]]
+            text = [shared.value.evidence(visible_text(x), trust) if x else [0.0] * len(shared.value.languages) for x in batch["html"]]
             yield batch.drop(columns="html").assign(page_id=batch["page_id"].astype("Int64"), text=text)
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
+    host = F.regexp_replace(host, r"\.$", "")
+    number = host.rlike(r"^\[|^[0-9.]+$")  # an address in numbers has no domain above it
     known = F.array(*[F.lit(x) for x in model.languages])
     said = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     cut = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$|^([^.]+)$", 0).alias("domain"),
-        F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"),
+        F.when(number, host).otherwise(F.regexp_extract(host, r"[^.]+\.(?:" + "|".join(REGISTRIES) + r")\.[a-z]{2}$|[^.]+\.[^.]+$|^[^.]+$", 0)).alias("domain"),
+        F.when(number, "").otherwise(F.regexp_extract(host, r"([^.]*)$", 1)).alias("suffix"),
         F.when(said == "", "").when(F.array_contains(known, said), said).otherwise("other").alias("declared"),
         "html",
     )
@@ -118,7 +125,7 @@ def _sums(evidence: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return evidence.groupBy(key).agg(F.array(*[F.sum(F.get("soft", F.lit(i))) for i in range(n)]).alias(name))
 
 
-def page_languages(pages: DataFrame, docs: DataFrame, max_labelled: int = 4000, lean: float = 5.0, smoothing: float = 1.0) -> DataFrame:
+def page_languages(pages: DataFrame, docs: DataFrame, per_language: int = 1000, lean: float = 5.0, smoothing: float = 1.0, trust: int = 300) -> DataFrame:
     """pages, labelled documents -> (page_id, url, lang, probability, text_lang, declared), one row per page row.
 
     lang: the language of greatest posterior probability, the first by name on a tie.
@@ -126,34 +133,42 @@ def page_languages(pages: DataFrame, docs: DataFrame, max_labelled: int = 4000,
     '' if absent, 'other' if unknown to the model. A page without html or text is judged by
     the rest; without a host, '' is its host. Repeated rows stay. Without labelled documents
     lang is null. Other columns are not looked at.
+
+    per_language: labelled documents read for each language at most, so a rare one is not
+    crowded out; all pages are read whole. lean: pages that a host's domain, and a domain's prior over
+    all pages, count for. smoothing: pages added to each count. trust: trigrams a page's text
+    counts for at most, beyond which its likelihood is scaled down.
     """
-    model = fit_text_model(docs, max_labelled)
+    model = fit_text_model(docs, per_language)
     n = len(model.languages)
     if not n:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit("").alias("declared"))
-    evidence = page_evidence(pages, model)
+    evidence = page_evidence(pages, model, trust)
     overall = evidence.agg(*[F.sum(F.get("soft", F.lit(i))).alias(f"n{i}") for i in range(n)]).first()
     total = [float(x or 0.0) for x in overall]
     share = F.array(*[F.lit((x + smoothing) / (sum(total) + n * smoothing)) for x in total])
     per_language = F.array(*[F.lit(x) for x in total])
 
-    def reliability(key: str) -> DataFrame:
-        """log chance of the key's value in each language."""
-        chance = F.zip_with(f"{key}_n", per_language, lambda a, b: F.log((a + smoothing) / (b + smoothing * 100)))
-        return _sums(evidence, key, f"{key}_n", n).select(key, chance.alias(f"{key}_log"))
-
-    def less_own(name: str) -> Column:
-        return F.zip_with(name, "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    def less_own(counts: Column | str) -> Column:
+        return F.zip_with(counts, "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def leaning(counts: Column, base: Column) -> Column:
         held = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(counts, base, lambda c, p: (c + lean * p) / (held + lean))
 
-    joined = evidence
-    for table in (reliability("declared"), reliability("suffix"), _sums(evidence, "domain", "domain_n", n), _sums(evidence, "host", "host_n", n)):
-        joined = joined.join(table, table.columns[0])
+    def log_chance(counts: Column, of: Column, values: int) -> Column:
+        return F.zip_with(counts, of, lambda a, b: F.log((a + smoothing) / (b + smoothing * values)))
+
+    joined, reliable = evidence, []
+    for key in ("declared", "suffix"):  # log chance of the key's value in each language
+        sums = _sums(evidence, key, f"{key}_n", n)
+        values = max(sums.count(), 1)
+        joined = joined.join(sums, key)
+        reliable.append(log_chance(less_own(f"{key}_n"), less_own(per_language), values))
+    for key in ("domain", "host"):
+        joined = joined.join(_sums(evidence, key, f"{key}_n", n), key)
     priors = joined.withColumn("domain_p", leaning(less_own("domain_n"), share)).withColumn("host_p", leaning(less_own("host_n"), F.col("domain_p")))
-    posterior = _softmax(_added(F.col("text"), F.col("declared_log"), F.col("suffix_log"), F.transform("host_p", lambda p: F.log(p))))
+    posterior = _softmax(_added(F.col("text"), *reliable, F.transform("host_p", lambda p: F.log(p))))
     names = F.array(*[F.lit(x) for x in model.languages])
 
     def best(column: str) -> Column:

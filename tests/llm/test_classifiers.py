@@ -254,3 +254,49 @@ def test_closing_stops_at_the_part_that_holds_it():
     tags = {t: page.tag[p] for t, p in runs.items()}
     assert tags == {"a": "li", "b": "li", "c": "li", "d": "td", "e": "p", "f": "td", "g": "p", "h": "div", "i": "body"}
     assert page.parent[runs["a"]] == page.parent[runs["c"]] and page.tag[page.parent[page.parent[runs["b"]]]] == "li"
+
+
+def plain_languages(rows, model, lean=5.0, smoothing=1.0, trust=300):
+    """The fused posterior page by page, in plain loops. rows: (host, domain, suffix, declared, text evidence)."""
+    def softmax(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    soft = [softmax(r[4]) for r in rows]
+    total = sum(soft)
+    share = (total + smoothing) / (total.sum() + len(total) * smoothing)
+    out = []
+    for i, row in enumerate(rows):
+        same = lambda k: sum((s for j, s in enumerate(soft) if j != i and rows[j][k] == row[k]), np.zeros(len(total)))  # noqa: E731, B023
+        score = np.array(row[4], float)
+        for k in (3, 2):
+            score += np.log((same(k) + smoothing) / (total - soft[i] + smoothing * len({r[k] for r in rows})))
+        domain = (same(1) + lean * share) / (same(1).sum() + lean)
+        score += np.log((same(0) + lean * domain) / (same(0).sum() + lean))
+        p = softmax(score)
+        out.append((model.languages[int(p.argmax())], p.max()))
+    return out
+
+
+def test_language_posterior_equals_plain_form(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_text_model(docs)
+    short = {r["lang"]: " ".join(r["text"].split()[:6]) for r in docs.groupBy("lang").agg(F.max("text").alias("text")).collect()}
+    hosts = [("a.example.co.uk", "example.co.uk", "uk"), ("b.example.co.uk", "example.co.uk", "uk"), ("other.co.uk", "other.co.uk", "uk"), ("www.site.de", "site.de", "de"), ("10.0.0.7", "10.0.0.7", ""), ("localhost", "localhost", "localhost")]
+    pages, rows = [], []
+    for i in range(40):
+        host, domain, suffix = hosts[i % len(hosts)]
+        lang = sorted(short)[i % 3]
+        said = ["", lang, "xx"][i % 3 if i % 5 else 1]
+        body = "" if i % 11 == 0 else short[lang]
+        html = f"<html{f' lang={said}' if said else ''}><body><p>{body}</p>"
+        pages.append((i, f"https://user@{host}:80/p{i}", html))
+        rows.append((host, domain, suffix, "other" if said == "xx" else said, model.evidence(langid.visible_text(html), 300)))
+    found = langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).orderBy("page_id").collect()
+    for r, (lang, chance) in zip(found, plain_languages(rows, model), strict=True):
+        assert r["lang"] == lang and r["probability"] == pytest.approx(chance, rel=1e-6)
+
+
+def test_rare_languages_keep_their_class(spark):
+    docs = spark.createDataFrame([(i, "aa", f"alpha beta gamma {i}") for i in range(60)] + [(900, "bb", "omega psi chi phi omega psi")], "doc_id long, lang string, text string")
+    assert langid.fit_text_model(docs, per_language=5).languages == ["aa", "bb"]
