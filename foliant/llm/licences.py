@@ -37,11 +37,15 @@ NOTICES = {
     "proprietary": ["all rights reserved, no part may be reproduced without prior written permission", "proprietary and confidential, unauthorized copying of this file is strictly prohibited", "copyright all rights reserved"],
     "unlicense": ["this is free and unencumbered software released into the public domain", "released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
 }
-#: Prose that names licences or rights but grants none we know (fixed values).
+#: Licences that are no family here, and prose that names licences or rights but grants none (fixed values).
 OTHER = [
     "he lost his driving licence after the accident", "the licence fee was raised again this year", "she asked for permission to leave the room early", "the copyright debate in parliament went on", "licensed under the Example Vendor Public Terms, version 7",
     "released under the Acme Community License", "this work is licensed under a custom agreement with the publisher", "the warranty on the car has expired", "a software licence is a legal instrument", "the public domain is a concept in law", "the council granted a licence to sell food",
     "licensed premises must close at midnight", "the company redistributed its profits", "all rights of the workers were respected", "under the terms of the treaty the border was open", "distributed under the rules of the archive, version 2",
+    "licensed under the Artistic License 2.0", "made available under the Eclipse Public License, version 2.0", "licensed under the European Union Public Licence, version 1.2", "distributed under the Boost Software License, version 1.0", "released under the zlib License", "this font is licensed under the SIL Open Font License, version 1.1",
+    "use of this source code is governed by the Microsoft Public License", "released under the terms of the WTFPL", "licensed under the Open Software License, version 3.0", "licensed under the Business Source License 1.1", "the Server Side Public License applies to this version", "available under the Open Database License",
+    "a general permission to fish in the lake was published by the council", "the foundation gave a free copy of the book to any person who asked", "the author has a work in the public library", "no person may copy the key without written notice", "the law of the land permits the use of the common", "version 3 of the report was published later",
+    "the commons were creative and the public was free", "an attribution of the painting to the school is under debate", "the conditions of the contract were met in full", "the terms of the loan are strictly confidential", "any use of the hall is subject to a fee", "copies of the documentation were distributed to the associated press",
 ]
 UNKNOWN = "unknown"
 #: A paragraph with one of these names a licensing matter; every notice holds one.
@@ -69,13 +73,17 @@ class LicenceModel:
     temperature: float
 
 
-def _samples(seed: int, copies: int) -> list[tuple[str, str]]:
-    """Notices and other prose, cropped, with words dropped and strange words around."""
+def _samples(seed: int, copies: int, fold: int | None = None, folds: int = 5) -> list[tuple[str, str]]:
+    """Notices and other prose, cropped, with words dropped and strange words around.
+
+    With a fold, only those whose number in their class falls in it; with -1 - fold, only the others.
+    """
     r = random.Random(seed)
     strange = lambda k: " ".join("".join(r.choices("abcdefghilmnoprstuvy", k=r.randint(2, 8))) for _ in range(k))
+    taken = lambda i: fold is None or (i % folds == fold if fold >= 0 else i % folds != -1 - fold)
     out = []
     for name, texts in [*NOTICES.items(), (UNKNOWN, OTHER)]:
-        for text in texts:
+        for text in (t for i, t in enumerate(texts) if taken(i)):
             for k in range(copies):
                 words = text.split()
                 if k and name == UNKNOWN:
@@ -90,8 +98,11 @@ def _samples(seed: int, copies: int) -> list[tuple[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def default_model(rounds: int = 120, ridge: float = 2e-4) -> LicenceModel:
-    """Softmax regression on the sample; the temperature is set on a sample of another seed."""
+def default_model(rounds: int = 120, ridge: float = 2e-4, folds: int = 5) -> LicenceModel:
+    """Softmax regression on the sample; the temperature is set on notices and prose that a fit on the other folds has not seen.
+
+    No family has more notices than there are folds, so one of each is unseen at a time.
+    """
     vocabulary = {g: i for i, g in enumerate(dict.fromkeys(g for texts in [*NOTICES.values(), OTHER] for t in texts for g in ngrams(t)))}
     classes = (*sorted(NOTICES), UNKNOWN)
 
@@ -106,17 +117,21 @@ def default_model(rounds: int = 120, ridge: float = 2e-4) -> LicenceModel:
         raised = np.exp(logits - logits.max(axis=1, keepdims=True))
         return raised / raised.sum(axis=1, keepdims=True)
 
-    x, y = matrix(_samples(3, 8))
-    target = np.eye(len(classes), dtype=np.float32)[y]
-    w = np.zeros((x.shape[1], len(classes)), np.float32)
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-        slope = x.T @ (chances(x @ w) - target) / len(y) + ridge * w
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        w -= 0.08 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    x, y = matrix(_samples(17, 2))
-    logits, grid = x @ w, np.exp(np.linspace(-1.5, 1.5, 61))
+    def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        target = np.eye(len(classes), dtype=np.float32)[y]
+        w = np.zeros((x.shape[1], len(classes)), np.float32)
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, rounds + 1):
+            slope = x.T @ (chances(x @ w) - target) / len(y) + ridge * w
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            w -= 0.08 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    unseen = [(x @ fitted(*matrix(_samples(3, 4, -1 - k, folds))), y) for k in range(folds) for x, y in [matrix(_samples(17, 2, k, folds))]]
+    logits, y = np.concatenate([u for u, _ in unseen]), np.concatenate([y for _, y in unseen])
+    grid = np.exp(np.linspace(-1.5, 1.5, 61))
     temperature = float(min(grid, key=lambda s: -np.log(chances(logits / s)[np.arange(len(y)), y] + 1e-12).mean()))
+    w = fitted(*matrix(_samples(3, 8)))
     return LicenceModel(classes, tuple(w[-1].tolist()), {g: tuple(w[i].tolist()) for g, i in vocabulary.items()}, temperature)
 
 
@@ -177,6 +192,11 @@ def _gate(text: Column, least_share: float) -> Column:
     return _has_any(text, [t for t in tests if not any(o != t and o in t for o in tests)])
 
 
+def _text_gate(least_share: float) -> Column:
+    """_gate() of a whole text, whose lines are not joined yet."""
+    return _gate(F.translate(F.coalesce("text", F.lit("")), "\n", " "), least_share)
+
+
 def _families(model: LicenceModel, least_probability: float, least_share: float) -> Column:
     """The confirmed families of a window with its logits, likeliest class (family) and matched n-grams.
 
@@ -226,8 +246,8 @@ def _families(model: LicenceModel, least_probability: float, least_share: float)
 def notices(docs: DataFrame, model: LicenceModel | None = None, least_probability: float = 0.5, least_share: float = 0.6) -> DataFrame:
     """documents -> (row_id, doc_id, paragraph, family, probability, share, confirmed, families, cue), one row per paragraph that is read.
 
-    paragraph: number of the paragraph in its text from 0. A line that goes on in lower case
-    belongs to the line before it. Paragraphs that have no cue and can hold least_share of no
+    paragraph: number of the paragraph in its text from 0. A line belongs to the line before it
+    unless that is blank or ends a sentence; comment marks in front of it are passed over. Paragraphs that have no cue and can hold least_share of no
     notice are not read, but the first one has a row in any case. families: all families confirmed in a window of the paragraph, in
     order; confirmed: whether there is one; family, probability, share: those of the window
     whose likeliest class (the first by name on a tie) is confirmed with the greatest
@@ -240,8 +260,8 @@ def notices(docs: DataFrame, model: LicenceModel | None = None, least_probabilit
     model = model or default_model()
     spark = docs.sparkSession
     weights, held = _tables(spark, model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(_gate(F.col("text"), least_share))
-    whole = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.regexp_replace("text", r"(?<=[^.!?:\n])\n(?=[a-z(])", " ").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(_text_gate(least_share))
+    whole = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.regexp_replace("text", r"(?<=[^.!?:\s][ \t\r]{0,9})\n[ \t]{0,99}(?:[#*;%]{1,9}|/{2,9}|-{2,9})?[ \t]{0,99}(?=[\p{L}\p{N}(\"'])", " ").alias("text"))
     units = whole.select("row_id", "doc_id", F.posexplode(F.split("text", r"\n+")).alias("paragraph", "text")).where((F.col("paragraph") == 0) | _gate(F.col("text"), least_share))
     words = units.select("row_id", "doc_id", "paragraph", _has_any(F.col("text"), CUES).alias("cue"), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0).alias("words"))
     if least_share > 0:  # gate words as whole words
@@ -249,6 +269,8 @@ def notices(docs: DataFrame, model: LicenceModel | None = None, least_probabilit
         words = words.where((F.col("paragraph") == 0) | read).withColumn("words", F.when(read, F.col("words")).otherwise(F.array().cast("array<string>")))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW + STRIDE - 1, F.lit(0)), F.lit(STRIDE))
     windows = words.select("row_id", "doc_id", "paragraph", "cue", F.posexplode(F.transform(starts, lambda a: F.slice("words", a + 1, WINDOW))).alias("window", "words"))
+    if least_share > 0:  # a window without a gate word confirms nothing; the first stands for a paragraph of no others
+        windows = windows.where((F.col("window") == 0) | F.arrays_overlap("words", F.array(*[F.lit(w) for w in gate_words(least_share)])))
     pairs = F.filter(F.transform("words", lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1))), lambda g: g.isNotNull())
     key = ["row_id", "doc_id", "paragraph", "cue", "window"]
     grams = windows.select(*key, F.explode_outer(F.array_distinct(F.concat("words", pairs))).alias("gram"))
@@ -289,5 +311,5 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, least_probability:
         F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
     )
     zero = F.lit(0).cast("long")
-    rest = docs.where(~_gate(F.coalesce("text", F.lit("")), least_share)).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("families"), zero.alias("n_notices"), zero.alias("n_unknown"), F.lit(None).cast("double").alias("probability"))
+    rest = docs.where(~_text_gate(least_share)).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("families"), zero.alias("n_notices"), zero.alias("n_unknown"), F.lit(None).cast("double").alias("probability"))
     return found.drop("row_id").unionByName(rest)

@@ -300,3 +300,55 @@ def test_language_posterior_equals_plain_form(spark, sf_dir):
 def test_rare_languages_keep_their_class(spark):
     docs = spark.createDataFrame([(i, "aa", f"alpha beta gamma {i}") for i in range(60)] + [(900, "bb", "omega psi chi phi omega psi")], "doc_id long, lang string, text string")
     assert langid.fit_text_model(docs, per_language=5).languages == ["aa", "bb"]
+
+
+def test_notices_over_several_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
+    rows = [
+        (1, "\n".join("# " + x for x in mit.split("\n"))),
+        (2, " * licensed under the GNU General\n * Public License, version 2\n"),
+        (3, "This is free and unencumbered software released into the public\ndomain."),
+        (4, "it lies in the public\ndomain"),
+        (5, "// Licensed under the Apache License,\n// Version 2.0\n//\n// Released under the\n// MIT License"),
+        (6, "made available under the Eclipse Public License, version 2.0"),
+    ]
+    found = {r["doc_id"]: (r["families"], r["n_unknown"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ("mit", 0), 2: ("gpl-2.0", 0), 3: ("unlicense", 0), 4: ("", 1), 5: ("apache-2.0,mit", 0), 6: ("", 1)}
+
+
+def plain_best_window(text, model, least_share=0.6):
+    """Likeliest class of each 64-word window, in plain loops; the families among them that are likely and confirmed."""
+    parts = {}
+    for gram, family, notice, part in licences._notice_parts():
+        parts.setdefault((family, notice), {})[gram] = part
+    w = re.findall(licences._WORD, text.lower())
+    sure = set()
+    for start in range(0, max(len(w) - 32, 1), 32):
+        grams = licences.ngrams(" ".join(w[start : start + 64]))
+        logits = (np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.classes)))) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        family = model.classes[int(p.argmax())]
+        share = max((sum(x for g, x in held.items() if g in grams) for (f, _), held in parts.items() if f == family), default=0)
+        if family != licences.UNKNOWN and p.max() >= 0.5 and share >= least_share:
+            sure.add(family)
+    return sure
+
+
+def test_licences_of_documents_hold_against_plain_windows(spark):
+    import random
+
+    r = random.Random(8)
+    notices = [(f, t) for f, texts in sorted(licences.NOTICES.items()) for t in texts]
+    prose = "the river ran low and people of the town came to see what was left of it after a long summer without rain".split()
+    rows = []
+    for i in range(120):
+        words = r.choices(prose, k=r.randint(0, 150))
+        for _ in range(r.choice([0, 1, 1, 2])):
+            at = r.randint(0, len(words))
+            words[at:at] = (r.choice(notices)[1] if r.random() < 0.8 else r.choice(licences.OTHER)).split()
+        rows.append((i, " ".join(words)))
+    model = licences.default_model()
+    found = {x["doc_id"]: set(filter(None, x["families"].split(","))) for x in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:  # the scan may confirm further families beside the likeliest of a window
+        assert plain_best_window(text, model) <= found[i]
+        assert found[i] <= {f for f, t in notices if sum(g in licences.ngrams(text) for g in licences.ngrams(t)) >= 0.5 * len(licences.ngrams(t))}
