@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split() sees it.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ENDS = f"^{SPACE}|{SPACE}$"
+#: Line ends as str.splitlines() sees them.
+LINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 TOKEN = r"[\p{L}\p{N}]+"
 TOKENS_PER_WORD = 1.3
 
@@ -53,6 +56,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, ENDS, "")
+
+
 def normalised(text: Column) -> Column:
     """Lower case, runs of white space as one space, no white space at the ends."""
     return F.array_join(words(F.lower(text)), " ")
@@ -139,7 +147,11 @@ def scrubbed(text: Column) -> Column:
     return text
 
 
-def canonical_body(note: Column, contradiction_heading: str = "## ⚠ Contradictions reconciled (newer supersedes)") -> Column:
+#: The heading of what a newer report contradicts in a memory note (fixed value).
+CONTRADICTIONS = "## ⚠ Contradictions reconciled (newer supersedes)"
+
+
+def canonical_body(note: Column, contradiction_heading: str = CONTRADICTIONS) -> Column:
     """The knowledge of a memory note without its title, preamble, contradiction and source sections."""
     quoted = r"\Q" + contradiction_heading + r"\E"
     body = F.regexp_replace(note, r"(?s)\n*" + quoted + r"\n.*?(?=\n##\s|\z)", "")
@@ -153,8 +165,7 @@ LIST_MARKER = r"^[\x09-\x0D\x1C-\x20]*(?:[-*+•]|[0-9]+[.)])[\x09-\x0D\x1C-\x20
 
 def fact_lines(text: Column) -> Column:
     """All lines of 20 characters or more, without list marker, that are no headings."""
-    trim = r"^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$"
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda line: F.regexp_replace(F.regexp_replace(line, LIST_MARKER, ""), trim, ""))
+    lines = F.transform(F.split(text, LINE), lambda line: stripped(F.regexp_replace(line, LIST_MARKER, "")))
     return F.filter(lines, lambda u: (F.length(u) >= 20) & ~u.startswith("#"))
 
 
@@ -169,6 +180,7 @@ def fact_units(text: Column, cap: int = 120) -> Column:
     return F.when(F.size(units) <= cap, units).otherwise(F.transform(at, lambda i: F.get(units, i)))
 
 
+#: What a session's report is searched for (fixed values).
 DECISION = r"(?im)^.*\b(?:decision|decided|chose|we will|going with)\b.*$"
 ACTION = r"(?im)^.*(?:act-now|\btodo\b|\[ \]|next step|action item).*$"
 FILE_PATH = r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s:*?\"<>|]+\.[0-9]*[A-Za-z][A-Za-z0-9]*(?::[0-9]+)?"
@@ -176,7 +188,7 @@ FILE_PATH = r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s:*?\"<>|]+\.[0-9]*[A-Za-z][A-Za-
 
 def first_matches(text: Column, pattern: str, cap: int, longest: int = 300) -> Column:
     """The first cap distinct matches, trimmed and clamped."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.substring(F.trim(m), 1, longest))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.substring(stripped(m), 1, longest))
     return F.slice(F.array_distinct(F.filter(found, lambda m: m != "")), 1, cap)
 
 
@@ -190,7 +202,7 @@ def safe_name(name: Column) -> Column:
 
 
 def yaml_scalar(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, r"\r\n|[\n\r]", " "))
+    return stripped(F.regexp_replace(value, LINE, " "))
 
 
 def frontmatter(kind: Column, **fields: Column) -> Column:
@@ -200,6 +212,11 @@ def frontmatter(kind: Column, **fields: Column) -> Column:
     return F.concat(F.concat_ws("\n", *lines, F.lit("---")), F.lit("\n"))
 
 
+def asked_text(query: Column, clamp: int = 1000) -> Column:
+    """What a reranker reads of the query."""
+    return F.substring(query, 1, clamp)
+
+
 def pair_text(heading: Column, text: Column, clamp: int = 3000) -> Column:
     """What a reranker reads: the heading, if there is one, above the text, clamped."""
     joined = F.when((heading != "") & (heading != "(no heading)"), F.concat(F.lit("## "), heading, F.lit("\n"), text)).otherwise(text)

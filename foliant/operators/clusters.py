@@ -15,53 +15,75 @@ CUT, LEAST, MOST_CHUNKS = 0.8, 3, 15
 
 
 def average_linkage(vectors: np.ndarray, cut: float = CUT) -> np.ndarray:
-    """Cluster number of each vector, numbered by first member; the first of equal distances merges first."""
+    """Cluster number of each vector, numbered by first member.
+
+    Chains of nearest neighbours: on unit vectors the mean distance of two clusters follows from their sums, so
+    memory is that of the vectors and time the square of their number. A cluster whose nearest one
+    is beyond the cut can never merge again, for mean distances do not fall below those they are made of.
+    """
     n = len(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norms == 0, 1, norms)
-    distance = 1 - unit @ unit.T
-    np.fill_diagonal(distance, np.inf)
-    size, member = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(np.argmin(distance)), len(distance))
-        if distance[i, j] > cut:
-            break
-        merged = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
-        distance[i], distance[:, i], distance[i, i] = merged, merged, np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
+    sums = vectors / np.where(norms == 0, 1, norms)
+    size, member, active = np.ones(n), np.arange(n), np.ones(n, bool)
+    chain: list[int] = []
+    while active.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(active)[0]))
+        tip = chain[-1]
+        distance = np.where(active, 1 - (sums @ sums[tip]) / (size * size[tip]), np.inf)
+        distance[tip] = np.inf
+        near = int(np.argmin(distance))
+        if len(chain) > 1 and distance[chain[-2]] <= distance[near]:
+            near = chain[-2]
+        if len(chain) < 2 or near != chain[-2]:
+            if distance[near] > cut and len(chain) == 1:
+                active[tip] = False
+                chain.clear()
+            else:
+                chain.append(near)
+            continue
+        del chain[-2:]
+        if distance[near] > cut:
+            active[[tip, near]] = False
+            continue
+        i, j = sorted((tip, near))
+        sums[i] += sums[j]
         size[i] += size[j]
+        active[j] = False
         member[member == j] = i
-        n -= 1
     return np.unique(member, return_inverse=True)[1]
 
 
-def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
-    """rows (doc_path, chunk_index, vector, source_type) -> (doc_path, chunk_index, cluster).
+def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST, carried: tuple[str, ...] = ()) -> DataFrame:
+    """rows (doc_path, chunk_index, vector, source_type) -> (doc_path, chunk_index, cluster, and the carried columns).
 
     Sessions and documents under `least` chunks are left out, as are smaller clusters. A group
     is one document's chunks, which its length bounds.
     """
+    names = ["doc_path", "chunk_index", *carried]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk_index")
         found = average_linkage(np.stack(group["vector"]).astype(np.float64), cut) if len(group) >= least else np.zeros(len(group), np.int64)
         kept = np.bincount(found)[found] >= least
-        return pd.DataFrame({"doc_path": group["doc_path"].to_numpy(object)[kept], "chunk_index": group["chunk_index"].to_numpy(np.int64)[kept], "cluster": found[kept].astype(np.int64)})
+        return group.assign(cluster=found)[kept][[*names, "cluster"]]
 
-    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", "chunk_index", "vector")
+    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select(*names, "vector").withColumn("chunk_index", F.col("chunk_index").cast("long"))
     size = F.count("*").over(Window.partitionBy("doc_path"))  # short documents never reach Python; the grouping reuses this shuffle
     wanted = wanted.withColumn("n", size).where(F.col("n") >= least).drop("n")
-    return wanted.groupBy("doc_path").applyInPandas(run, "doc_path string, chunk_index long, cluster long")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select(*names).schema)
+    return wanted.groupBy("doc_path").applyInPandas(run, f"{shape}, cluster long")
 
 
 def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
-    """Tier-1 rows, one per cluster of three or more chunks: text, heading, parents, token count."""
-    placed = clusters(rows, cut, least).join(rows.drop("cluster"), ["doc_path", "chunk_index"])
+    """Tier-1 rows, one per cluster of three or more chunks: text, heading, parents, token count. Rows are read once."""
+    placed = clusters(rows, cut, least, ("chunk_id", "text", "heading", "source_type"))
     member = F.struct("chunk_index", "chunk_id", "text", "heading")
-    gathered = placed.groupBy("doc_path", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"), F.count("*").alias("n_chunks"))
+    gathered = placed.groupBy("doc_path", "source_type", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"), F.count("*").alias("n_chunks"))
     text = models.extract_summary(F.col("m.text"))
     made = gathered.select(
         "doc_path",
+        "source_type",
         F.substring(F.sha2(F.concat_ws("|", "doc_path", F.array_join("m.chunk_id", ",")), 256), 1, 12).alias("cluster_id"),
         F.col("m.chunk_id").alias("parent_id"),
         models.summary_heading(F.col("m.heading")).alias("heading"),
@@ -69,3 +91,21 @@ def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFram
         "n_chunks",
     )
     return made.where(F.length("text") >= 20).select("*", F.lit(1).alias("tier"), F.lit(-1).alias("chunk_index"), F.size(X.words(F.col("text"))).alias("token_count"), F.lit("").alias("content_hash"))
+
+
+def rebuilt(chunks: DataFrame, created_at: str, cut: float = CUT, least: int = LEAST) -> DataFrame:
+    """The chunk table with its tier-1 rows made anew from its tier-0 rows: old ones dropped, new ones embedded and appended."""
+    leaves = chunks.where("tier <> 1")
+    made = summaries(leaves.where("tier = 0"), cut, least)
+    row = {
+        "chunk_id": F.sha2(F.concat(F.lit("cluster|"), "cluster_id"), 256),
+        "doc_id": X.document_key(F.col("doc_path")),
+        "vector": models.embed("text"),
+        "char_start": F.lit(0),
+        "char_end": F.lit(0),
+        "retrieval_count": F.lit(0),
+        "created_at": F.lit(created_at).cast("timestamp_ntz"),
+        "authored_at": F.lit(None).cast("timestamp_ntz"),
+        "pipeline_version": F.lit("1.0.0-clusters"),
+    }
+    return leaves.unionByName(made.withColumns(row).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in chunks.schema]))

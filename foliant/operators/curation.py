@@ -46,7 +46,7 @@ def without_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
 def within_budget(reports: DataFrame, group: str, order: list[str], budget: int = BUDGET) -> DataFrame:
     """reports (…, length) with used and status: taken, clamped or pending, in order within a budget of characters."""
     before = F.coalesce(F.sum("length").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = reports.withColumn("before", before)
+    marked = reports.withColumn("before", before)  # give lengths alone where texts are long: a group is one task's
     used = F.least(F.col("length"), F.greatest(F.lit(budget) - F.col("before"), F.lit(0)))
     status = F.when(F.col("before") >= budget, "pending").when(F.col("length") > F.lit(budget) - F.col("before"), "clamped").otherwise("taken")
     return marked.withColumn("used", used).withColumn("status", status).drop("before")
@@ -57,15 +57,51 @@ def bloated(merged: Column, existing: Column, new: Column) -> Column:
     return (merged > F.greatest(F.lit(BLOAT_FACTOR) * existing, F.lit(BLOAT_FLOOR))) & (merged > existing + new)
 
 
+def _measures(ranked: DataFrame, text_match: Column) -> DataFrame:
+    """(rank: null without a hit) per query -> n, hit_1, hit_3, hit_5, mrr, text_match_1, composite."""
+    share = lambda test: F.coalesce(F.avg(F.when(test, 1.0).otherwise(0.0)), F.lit(0.0))
+    hits = [share(F.col("rank") <= k).alias(f"hit_{k}") for k in (1, 3, 5)]
+    mean = F.coalesce(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), F.lit(0.0))
+    measured = ranked.agg(F.count("*").alias("n"), *hits, mean.alias("mrr"), share((F.col("rank") == 1) & text_match).alias("text_match_1"))
+    composite = 0.4 * F.col("mrr") + 0.3 * F.col("hit_1") + 0.3 * F.col("text_match_1")
+    return measured.select("n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr", "text_match_1")], F.round(composite, 6).alias("composite"))
+
+
 def ranked_metrics(results: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
     """results (query_id, id, rank), expected (query_id, id) -> n, hit_1, hit_3, hit_5, mrr, text_match_1, composite.
 
-    The first expected result counts. A query without one counts as a miss. Here a text
-    matches where the best result is an expected one.
+    The first expected result counts. A query without one counts as a miss. No text is asked
+    for, so a text matches where the best result is an expected one; see evaluated().
     """
     first = results.join(expected, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    every = queries.select("query_id").join(first, "query_id", "left")
-    hit = lambda k: F.coalesce(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0))
-    measured = every.agg(F.count("*").alias("n"), hit(1).alias("hit_1"), hit(3).alias("hit_3"), hit(5).alias("hit_5"), F.coalesce(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), F.lit(0.0)).alias("mrr")).withColumn("text_match_1", F.col("hit_1"))
-    composite = 0.4 * F.col("mrr") + 0.3 * F.col("hit_1") + 0.3 * F.col("text_match_1")
-    return measured.select("n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr", "text_match_1")], F.round(composite, 6).alias("composite"))
+    return _measures(queries.select("query_id").join(first, "query_id", "left"), F.lit(True))
+
+
+def evaluated(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """results (query_id, rank, doc_path, text), queries (query_id, expected_file, expected_text) -> the measures of ranked_metrics().
+
+    A result is a hit if its path holds expected_file, and the first one counts; its text matches if it
+    is the best result and holds expected_text in any case. An empty expected text always matches.
+    """
+    asked = queries.select("query_id", "expected_file", F.lower(F.coalesce("expected_text", F.lit(""))).alias("expected_text"))
+    hits = results.join(asked, "query_id").where(F.contains("doc_path", "expected_file"))
+    first = hits.groupBy("query_id").agg(F.min(F.struct("rank", F.contains(F.lower("text"), F.col("expected_text")).alias("matches"))).alias("first")).select("query_id", "first.*")
+    return _measures(asked.select("query_id").join(first, "query_id", "left"), F.coalesce("matches", F.lit(False)))
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (id, text), items (query_id, text) -> (query_id, id): documents that hold an item word for word.
+
+    Candidates hold the item's longest inner term as a term of their own, which a join finds; the text is
+    then compared. Items without an inner term are few words long and are compared with every document.
+    """
+    inner = F.slice(X.terms(F.col("text")), 2, F.greatest(F.size(X.terms(F.col("text"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    asked = items.where("text is not null").select("query_id", F.col("text").alias("wanted"), longest.alias("term"))
+    terms = docs.select("id", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
+    pairs = terms.join(asked.where("term is not null"), "term").select("query_id", "id", "wanted")
+    found = pairs.join(docs, "id").where(F.contains("text", "wanted")).select("query_id", "id")
+    short = asked.where("term is null")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.contains("text", "wanted")).select("query_id", "id"))

@@ -6,19 +6,21 @@ Each is a plain function of rows or columns; a real model takes the same place.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 
 DIMENSION = 64
+#: Characters of a document that a context function is given.
+MAX_CONTEXT = 150_000
 
 
 def bag_vector(text: str | None, dimension: int = DIMENSION) -> list[float]:
-    """Hashed bag of lower-cased words at unit length; no words give the first axis."""
+    """Hashed bag of lower-cased words at unit length; no words give the first axis. embed() in plain form."""
     v = np.zeros(dimension)
     for word in (text or "").lower().split():
         v[int.from_bytes(hashlib.md5(word.encode()).digest(), "big") % dimension] += 1
@@ -28,13 +30,16 @@ def bag_vector(text: str | None, dimension: int = DIMENSION) -> list[float]:
     return (v / norm).astype(np.float32).tolist()
 
 
-def _bag_vectors(texts: pd.Series) -> pd.Series:
-    return texts.map(bag_vector)
-
-
 def embed(text: Column | str) -> Column:
-    """The default embedder as a column, in Arrow batches."""
-    return F.pandas_udf(_bag_vectors, "array<float>")(text)
+    """The default embedder as a column expression: counts of words by the last bits of their md5, at unit length."""
+    text = F.col(text) if isinstance(text, str) else text
+    place = lambda w: F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int").bitwiseAND(F.lit(DIMENSION - 1))
+    # lists of one, so that what is used many times is a lambda's variable and worked out once
+    places = F.array(F.transform(X.words(F.lower(F.coalesce(text, F.lit("")))), place))
+    counts = F.transform(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda i: F.size(p) - F.size(F.array_remove(p, i))))
+    scaled = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+    first = F.array(F.lit(1.0), *[F.lit(0.0)] * (DIMENSION - 1)).cast("array<float>")
+    return F.get(F.transform(scaled, lambda v: F.when(v["norm"] == 0, first).otherwise(F.transform(v["c"], lambda x: x / v["norm"]).cast("array<float>"))), F.lit(0))
 
 
 TRIGGERS = ("not", "no longer", "instead", "replaced", "never")
@@ -58,5 +63,33 @@ def summary_heading(headings: Column) -> Column:
     return F.when(joined == "", "(cluster summary)").otherwise(joined)
 
 
-def summary_tokens(text: Column) -> Column:
-    return F.size(X.words(text))
+def contextualised(chunks: DataFrame, documents: DataFrame, context: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """chunks (doc_path, text, …), documents (doc_path, text) -> chunks with a scrubbed line of context above each text.
+
+    Off without a context function. context(document, chunk) gives a column; null or blank leaves a chunk as it is, and so does an
+    error, as long as the function reports it as null, like try_ functions or a UDF that catches. Documents are clamped.
+    """
+    if context is None:
+        return chunks
+    whole = documents.select("doc_path", F.substring("text", 1, MAX_CONTEXT).alias("whole_text"))
+    said = X.stripped(X.scrubbed(context(F.col("whole_text"), F.col("text"))))
+    text = F.when(F.coalesce(said, F.lit("")) != "", F.concat(said, F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    return chunks.join(whole, "doc_path", "left").withColumn("text", text).select(*chunks.columns)
+
+
+#: Tokens that a prompt may hold, and what is kept free beside the answer.
+CONTEXT_WINDOW, SPARE, LEAST_PROMPT = 32_768, 512, 1024
+
+
+def prompt_budget(reports: Column, existing: Column, max_new: int, update_frame: int, add_frame: int) -> Column:
+    """Tokens of the new reports and of the existing note that a consolidation prompt takes, from the tokens of both.
+
+    New reports come first; the existing note has what is left, and is given up where the reports
+    alone leave no room for it. The frames are the tokens of the prompt without both.
+    """
+    most = max(LEAST_PROMPT, CONTEXT_WINDOW - max_new - SPARE)
+    both = (existing > 0) & (reports <= most - update_frame)
+    kept = F.when(both, F.least(existing, F.lit(most - update_frame) - reports)).otherwise(0)
+    update = both & (kept > 0)
+    taken = F.when(both & (kept > 0), reports).otherwise(F.least(reports, F.greatest(F.lit(most - add_frame), F.lit(0))))
+    return F.struct(taken.alias("reports"), kept.alias("existing"), update.alias("update"))

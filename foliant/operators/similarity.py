@@ -1,62 +1,95 @@
-"""Exact nearest vectors for a query set, in bounded query blocks, without a join of all pairs.
+"""Exact nearest vectors for a query set, in cells of bounded size, without a join of all pairs.
 
-Every task compares its rows with the block by one matrix product and keeps each query's best
-k; a window over those few rows finishes the job.
+Base rows are dealt into parts and queries into blocks; each part meets each block in one cell,
+where they are compared by matrix products, a few rows at a time, and each query's best k of
+the part are kept. A window over those few rows finishes the job. One plan, one scan of either
+side, however large the query set is. Comparing every query with every row is what exactness costs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Base rows of a cell at most, on average, and those compared at a time.
+PART_ROWS, STEP_ROWS = 100_000, 512
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    # one partition, so that reading the query set block by block is one job
-    rows = queries.select(F.col("query_id").cast("long"), "vector").where("vector is not null").repartition(1).toLocalIterator()
-    while block := list(islice(rows, size)):
-        yield np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
-def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = 4096) -> DataFrame:
+
+def _compare(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, wanted: np.ndarray, k: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, similarity) of a cell: with k, every pair that ties with or beats the query's k-th best."""
+    found, top = [], np.full((len(names), 0), -np.inf)
+    for at in range(0, len(ids), STEP_ROWS):
+        own = ids[at : at + STEP_ROWS]
+        scores = np.round(wanted @ vectors[at : at + STEP_ROWS].T, 9)
+        scores[names[:, None] == own] = -np.inf
+        if least is not None:
+            scores[scores < least] = -np.inf
+        if k is not None:
+            top = np.concatenate([top, scores], axis=1)
+            if top.shape[1] > k:
+                top = -np.partition(-top, k - 1, axis=1)[:, :k]
+                scores[scores < top.min(axis=1, keepdims=True)] = -np.inf
+        q, b = np.nonzero(scores > -np.inf)
+        found.append((q, own[b], scores[q, b]))
+    q, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    if k is not None and top.shape[1] == k:
+        keep = s >= top.min(axis=1)[q]
+        q, b, s = q[keep], b[keep], s[keep]
+    return names[q], b, s
+
+
+def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = 8192, group: str | None = None) -> DataFrame:
     """base (id, vector), queries (query_id, vector) -> (query_id, id, similarity), dot products rounded to 9 places.
 
-    With k, each query's best k (ties by id); with least, only those at or above it. A row
-    is never its own neighbour: pairs with query_id = id are left out. Null vectors are skipped.
+    With k, each query's best k (ties by id); with least, only those at or above it: without
+    k, that is every such pair. A row is never its own neighbour: pairs with query_id = id are
+    left out. Null vectors are skipped. With a group column on both sides, only rows of one group meet.
     """
-    out = None
-    for ids, matrix in _blocks(queries, block):
-        shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, wanted = shared.value
-            for batch in batches:
-                own = batch["id"].to_numpy(np.int64)
-                scores = np.round(wanted @ np.stack(batch["vector"]).astype(np.float64).T, 9)
-                scores[names[:, None] == own] = -np.inf
-                if least is not None:
-                    scores[scores < least] = -np.inf
-                if k is not None and k < len(own):
-                    floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    scores[scores < floor] = -np.inf
-                q, b = np.nonzero(scores > -np.inf)
-                yield pd.DataFrame({"query_id": names[q], "id": own[b], "similarity": scores[q, b]})
-
-        rows = base.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null")
-        part = rows.mapInPandas(run, "query_id long, id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    within = [group] if group else []
+    own = [F.col(c).alias(c) for c in within]  # columns of its own, as both sides may come from one table
+    number = lambda c: F.col(c).cast("long").alias(c)
+    rows = base.where("vector is not null").select(*own, number("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.where("vector is not null").select(*own, number("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    spark = base.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PART_ROWS))
+    blocks = max(1, math.ceil(asked.count() / block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("q", each(blocks))
+    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", each(parts))
+
+    def run(some: pa.Table, block_rows: pa.Table) -> pa.Table:
+        names = ("query_id", "id", "similarity")
+        if not len(some) or not len(block_rows):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        found = _compare(some.column("id").to_numpy(), _matrix(some), block_rows.column("query_id").to_numpy(), _matrix(block_rows), k, least)
+        return pa.table([pa.array(x) for x in found], names=names)
+
+    cell = [*within, "p", "q"]
+    out = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, "query_id long, id long, similarity double")
     if k is None:
         return out
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return out.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
 
-def nearest(base: DataFrame, queries: DataFrame, gate: float = 0.4) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, gate: float = 0.4, group: str | None = None) -> DataFrame:
     """Each query's single nearest row, if it is at least as similar as the gate."""
-    return similar(base, queries, k=1).where(F.col("similarity") >= gate)
+    return similar(base, queries, k=1, group=group).where(F.col("similarity") >= gate)
+
+
+def near_duplicates(base: DataFrame, queries: DataFrame, least: float = 0.9, first: int = 5, group: str = "doc_path") -> DataFrame:
+    """queries (doc_path, query_id, vector) -> (doc_path, place, query_id, id, similarity): the warning that an ingest gives.
+
+    The first `first` rows at or above `least` for a document, by query_id and falling similarity, ties by id.
+    """
+    found = similar(base, queries, least=least).join(queries.select(group, "query_id"), "query_id")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("query_id", F.desc("similarity"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= first).select(group, "place", "query_id", "id", "similarity")

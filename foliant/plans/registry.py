@@ -16,6 +16,7 @@ from foliant.functions import vectors as V
 from foliant.operators import chunking, clusters, curation, fulltext, models, retrieval, sessions, similarity
 from foliant.sources import catalog
 from foliant.sources.corpus import knowledge, table, vectors
+from foliant.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +31,24 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+_ENDS = _sql_text(X.ENDS)
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, {_ENDS}, '', 'g')"
+
+
+def _scrub(column: str) -> str:
+    for pattern, replacement in X.SECRETS:
+        column = f"regexp_replace({column}, {_sql_text(pattern)}, {_sql_text(replacement.replace('{1}', chr(92) + '1'))}, 'g')"
+    return column
+
+
+def _distinct(values: str) -> str:
+    """Distinct members of a list in the order of their first use. values must name a column."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
 def _contains(column: str, keys: list[str]) -> str:
     return " or ".join(f"contains({column}, {_sql_text(k)})" for k in keys)
 
@@ -44,6 +63,17 @@ def _terms(column: str) -> str:
     return f"regexp_extract_all(lower({column}), {_sql_text(X.TOKEN)})"
 
 
+#: The default embedder: counts of words by the last six bits of their md5, at unit length.
+def _embedded(text: str) -> str:
+    """Select list entry for a list of counts c; see _UNIT for the vector."""
+    digit = lambda k: f"(instr('0123456789abcdef', substr(md5(w), {k}, 1)) - 1)"
+    places = f"list_transform({_words(f'lower({text})')}, lambda w: ({digit(31)} & 3) * 16 + {digit(32)})"
+    return f"list_transform(range(64), lambda i: len(list_filter({places}, lambda p: p = i)))"
+
+
+_NORM = "sqrt(list_sum(list_transform(c, lambda x: (x * x)::double)))"
+_UNIT = f"case when {_NORM} = 0 then list_transform(range(64), lambda i: case when i = 0 then 1.0::double else 0.0::double end) else list_transform(c, lambda x: (x / {_NORM})::float::double) end"
+
 _HASH = f"sha256(array_to_string({_words('lower(text)')}, ' '))"
 _PATH = (
     "case cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 7 when 0 then 'repos/' || source || '/research/sessions/' when 1 then 'vault/archive/' || source || '/' when 2 then 'vault/library/' || source || '/' "
@@ -113,9 +143,7 @@ def _(spark, sf):
     return knowledge(spark, sf).select("doc_id", "doc_path", "source_type", X.boost(F.col("source_type")).alias("boost"))
 
 
-_SCRUB = "text"
-for _pattern, _replacement in X.SECRETS:
-    _SCRUB = f"regexp_replace({_SCRUB}, {_sql_text(_pattern)}, {_sql_text(_replacement.replace('{1}', chr(92) + '1'))}, 'g')"
+_SCRUB = _scrub("text")
 
 
 @query("scrubbed_text", f"select doc_id, md5({_SCRUB}) as scrubbed, {_SCRUB} <> text as changed from documents")
@@ -129,14 +157,14 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"), X.safe_name(F.col("source")).alias("safe"))
 
 
-@query("frontmatter", r"select conv_id, turn, '---' || chr(10) || 'type: note' || chr(10) || 'project: ' || role || chr(10) || 'title: ' || trim(regexp_replace(text, '\r\n|[\n\r]', ' ', 'g')) || chr(10) || '---' || chr(10) as head from conversations")
+@query("frontmatter", r"""select conv_id, turn, '---' || chr(10) || 'type: note' || chr(10) || 'project: ' || role || chr(10) || 'title: ' || regexp_replace(regexp_replace(text, '""" + X.LINE + r"""', ' ', 'g'), '""" + X.ENDS + r"""', '', 'g') || chr(10) || '---' || chr(10) as head from conversations""")
 def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.frontmatter(F.col("role"), project=F.col("role"), title=F.col("text")).alias("head"))
 
 
-@query("pair_text", "select doc_id, md5(substr(case when source <> '' and source <> '(no heading)' then '## ' || source || chr(10) || text else text end, 1, 3000)) as pair from documents")
+@query("pair_text", "select doc_id, md5(substr(case when source <> '' and source <> '(no heading)' then '## ' || source || chr(10) || text else text end, 1, 3000)) as pair, md5(substr(text, 1, 1000)) as asked from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(X.pair_text(F.col("source"), F.col("text"))).alias("pair"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.pair_text(F.col("source"), F.col("text"))).alias("pair"), F.md5(X.asked_text(F.col("text"))).alias("asked"))
 
 
 @query("line_spans", "with s as (select doc_id, text, length(text) // 4 as a, length(text) // 2 as b from documents) select doc_id, cast(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 as int) as line_start, cast(length(substr(text, 1, greatest(a, b - 1))) - length(replace(substr(text, 1, greatest(a, b - 1)), chr(10), '')) + 1 as int) as line_end from s")
@@ -146,17 +174,21 @@ def _(spark, sf):
     return cut.select("doc_id", "s.line_start", "s.line_end")
 
 
-@query("canonical_body")
+_NOTE = "'# ' || source || chr(10) || chr(10) || '_Consolidated today_' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## ⚠ Contradictions reconciled (newer supersedes)' || chr(10) || '- **prior:** x' || chr(10) || chr(10) || '## Sources' || chr(10) || '- a.md' || chr(10)"
+
+
+# the contradictions of these notes come last but for the sources, so both go together
+@query("canonical_body", f"with n as (select doc_id, {_NOTE} as note from documents), b as (select doc_id, regexp_replace(regexp_replace(note, '(?s)\\n*## ⚠ Contradictions reconciled.*$', ''), '^\\s*#[^\\n]*\\n+_Consolidated[^\\n]*_\\s*', '') as body from n) select doc_id, {_strip('body')} as body from b")
 def _(spark, sf):
-    note = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n_Consolidated today_\n\n"), F.col("text"), F.lit("\n\n## Sources\n- a.md\n"))
+    note = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n_Consolidated today_\n\n"), F.col("text"), F.lit(f"\n\n{X.CONTRADICTIONS}\n- **prior:** x\n\n## Sources\n- a.md\n"))
     return table(spark, sf, "documents").select("doc_id", X.canonical_body(note).alias("body"))
 
 
-_TRIM = r"'^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$'"
-_UNITS = "list_filter(list_transform(regexp_split_to_array(text, " + _sql_text(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]") + "), lambda l: regexp_replace(regexp_replace(l, " + _sql_text(X.LIST_MARKER) + ", ''), " + _TRIM + ", '', 'g')), lambda u: length(u) >= 20 and not starts_with(u, '#'))"
+_UNITS = f"list_filter(list_transform(regexp_split_to_array(text, {_sql_text(X.LINE)}), lambda l: regexp_replace(regexp_replace(l, {_sql_text(X.LIST_MARKER)}, ''), {_ENDS}, '', 'g')), lambda u: length(u) >= 20 and not starts_with(u, '#'))"
+_FACT = "units[1 + case when k <= 120 then i when i = 119 then k - 1 else cast(trunc(i * ((k - 1)::double / 119.0::double)) as bigint) end]"
 
 
-@query("fact_units", f"with u as (select doc_id, {_UNITS} as units from documents), n as (select doc_id, units, len(units) as k, unnest(range(0, least(len(units), 120))) as i from u) select doc_id, cast(i as int) as n, md5(units[1 + case when k <= 120 then i when i = 119 then k - 1 else cast(trunc(i * ((k - 1)::double / 119.0::double)) as bigint) end]) as fact from n")
+@query("fact_units", f"with u as (select doc_id, {_UNITS} as units from documents), n as (select doc_id, units, len(units) as k, unnest(range(0, least(len(units), 120))) as i from u) select doc_id, cast(i as int) as n, md5({_FACT}) as fact from n")
 def _(spark, sf):
     found = sessions.facts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select(F.col("id").alias("doc_id"), "n", F.md5("fact").alias("fact"))
@@ -257,11 +289,19 @@ _EXPECTED = "expected as (select b.item_id as query_id, d.doc_id as id from benc
 @query("retrieval_metrics", f"with {_BM25}, ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored), {_EXPECTED}, first_ as (select r.query_id, min(rank) as rank from ranked r join expected e on r.query_id = e.query_id and r.id = e.id where rank <= 5 group by 1), e_ as (select b.item_id, rank from benchmark b left join first_ on query_id = item_id where b.item_id % 20 = 0), m as (select count(*) as n, avg(case when rank <= 1 then 1.0 else 0.0 end) as h1, avg(case when rank <= 3 then 1.0 else 0.0 end) as h3, avg(case when rank <= 5 then 1.0 else 0.0 end) as h5, avg(coalesce(1.0::double / rank, 0.0)) as mrr from e_) select n, round(h1, 6) as hit_1, round(h3, 6) as hit_3, round(h5, 6) as hit_5, round(mrr, 6) as mrr, round(h1, 6) as text_match_1, round(0.4::double * mrr + 0.3::double * h1 + 0.3::double * h1, 6) as composite from m")
 def _(spark, sf):
     docs, asked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _text_queries(spark, sf)
-    results = fulltext.search(docs, asked, 5)
-    # which documents hold an item word for word: candidates share its first three words
-    item = asked.select("query_id", F.col("text").alias("wanted"))
-    found = docs.join(item, F.contains(docs["text"], item["wanted"])).select("query_id", "id")
-    return curation.ranked_metrics(results, found, asked)
+    return curation.ranked_metrics(fulltext.search(docs, asked, 5), curation.holders(docs, asked), asked)
+
+
+_WANTED = "wanted as (select query_id, 'doc' || (query_id % 10) as expected_file, regexp_extract(query, '[A-Za-z]+') as expected_text from q)"
+
+
+@query("search_evaluation", f"with {_HYBRID.replace('rank <= 3', 'rank <= 5')}, {_WANTED}, held as (select w.query_id, b.rank, contains(lower(b.text), lower(expected_text)) as ok from wanted w join best b using (query_id) join vecs on vec_id = b.id where contains(doc_path, expected_file)), first_ as (select query_id, min(rank) as rank, arg_min(ok, rank) as ok from held group by 1), e_ as (select w.query_id, rank, ok from wanted w left join first_ using (query_id)), m as (select count(*) as n, avg(case when rank <= 1 then 1.0 else 0.0 end) as h1, avg(case when rank <= 3 then 1.0 else 0.0 end) as h3, avg(case when rank <= 5 then 1.0 else 0.0 end) as h5, avg(coalesce(1.0::double / rank, 0.0)) as mrr, avg(case when rank = 1 and ok then 1.0 else 0.0 end) as tm from e_) select n, round(h1, 6) as hit_1, round(h3, 6) as hit_3, round(h5, 6) as hit_5, round(mrr, 6) as mrr, round(tm, 6) as text_match_1, round(0.4::double * mrr + 0.3::double * h1 + 0.3::double * tm, 6) as composite from m")
+def _(spark, sf):
+    rows, asked = _search_inputs(spark, sf)
+    found = retrieval.search(rows, asked, 5, recency_weight=WEIGHT, half_life=HALF_LIFE, now=NOW)
+    texts = knowledge(spark, sf).select(F.col("doc_id").alias("id"), "doc_path", "text")
+    wanted = asked.select("query_id", F.concat(F.lit("doc"), (F.col("query_id") % 10).cast("string")).alias("expected_file"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("expected_text"))
+    return curation.evaluated(found.select("query_id", "rank", "id").join(texts, "id"), wanted)
 
 
 # deduplication
@@ -284,6 +324,13 @@ def _(spark, sf):
     return similarity.similar(_base(rows), _vector_queries(rows), least=0.9).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("near_dupe_warnings", f"with {_VECTORS}, {_SIMILAR}, w as (select q.doc_path, p.query_id, p.id, p.similarity, row_number() over (partition by q.doc_path order by p.query_id, p.similarity desc, p.id) as place from pairs p join vecs q on q.vec_id = p.query_id where p.similarity >= 0.3) select doc_path, place, query_id, id, round(similarity, 6) as similarity from w where place <= 5")
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    asked = rows.where(F.col("vec_id") % QUERY_STEP == 0).select("doc_path", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return similarity.near_duplicates(_base(rows), asked, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("nn_fact_match", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(similarity, 6) as similarity from (select * from pairs qualify row_number() over (partition by query_id order by similarity desc, id) = 1) where similarity >= 0.4")
 def _(spark, sf):
     rows = vectors(spark, sf)
@@ -327,9 +374,12 @@ def _(spark, sf):
     return _diff(spark, sf)
 
 
-@query("ingest_counts", f"with {_DIFF} select status, count(*) as n, min(path) as first_path from diff group by status")
+@query("ingest_counts", f"with {_DIFF} select status, count(*) as n, min(path) as first_path, (select string_agg(path, ' ' order by path) from (select path from diff e where e.status = d.status order by path limit 10)) as details from diff d group by status")
 def _(spark, sf):
-    return _diff(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    rows = _diff(spark, sf)
+    ten = rows.withColumn("n", F.row_number().over(Window.partitionBy("status").orderBy("path"))).where("n <= 10")
+    details = ten.groupBy("status").agg(F.array_join(F.array_sort(F.collect_list("path")), " ").alias("details"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).join(details, "status")
 
 
 @query("delete_documents", f"with {_DIFF} select k.doc_id, k.doc_path from knowledge k where k.doc_path not in (select path from diff where status in ('modified', 'deleted'))")
@@ -343,10 +393,28 @@ def _(spark, sf):
     return knowledge(spark, sf).groupBy("source_type").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_path").alias("n_docs"), F.min("authored_at").alias("oldest"), F.max("authored_at").alias("newest"))
 
 
-@query("manifest_stats", f"with {_KNOWLEDGE}, s as (select doc_path, len({_words('text')}) as n from knowledge) select count(*) as n_files, sum(n)::bigint as n_words, max(n)::bigint as longest from s")
+#: Each event counts as a retrieval of the document with its user's number.
+_SERVED = f"{_KNOWLEDGE}, r as (select user_id as doc_id, count(*) as retrievals from events group by 1), s as (select doc_path, source_type, len({_words('text')}) as n, coalesce(retrievals, 0) as retrievals from knowledge left join r using (doc_id))"
+
+
+def _served(spark, sf):
+    counts = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("retrievals"))
+    rows = knowledge(spark, sf).select("doc_id", "doc_path", "source_type", F.size(X.words(F.col("text"))).cast("long").alias("n"))
+    return rows.join(counts, "doc_id", "left").withColumn("retrievals", F.coalesce("retrievals", F.lit(0)))
+
+
+@query("manifest_stats", f"with {_SERVED} select count(*) as n_files, sum(n)::bigint as n_words, max(n)::bigint as longest, sum(retrievals)::bigint as n_retrievals from s")
+def _(spark, sf):
+    return _served(spark, sf).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_words"), F.max("n").alias("longest"), F.sum("retrievals").alias("n_retrievals"))
+
+
+@query("list_files", f"with {_SERVED}, k as (select source_type, count(*) as n_rows from s group by 1) select (select count(*) from s) as store_rows, (select count(distinct doc_path) from s) as store_docs, (select string_agg(source_type || '=' || n_rows, ' ' order by source_type) from k) as by_type, (select sum(retrievals)::bigint from s) as n_retrievals, (select string_agg(doc_path, ' ' order by retrievals desc, doc_path) from (select * from s order by retrievals desc, doc_path limit 10)) as top_retrieved")
 def _(spark, sf):
-    n = F.size(X.words(F.col("text")))
-    return knowledge(spark, sf).select(n.cast("long").alias("n")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_words"), F.max("n").alias("longest"))
+    rows = _served(spark, sf)
+    store = rows.agg(F.count("*").alias("store_rows"), F.countDistinct("doc_path").alias("store_docs"), F.sum("retrievals").alias("n_retrievals"))
+    kinds = rows.groupBy("source_type").agg(F.count("*").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source_type", F.col("k").cast("string")))), " ").alias("by_type"))
+    first = rows.orderBy(F.desc("retrievals"), "doc_path").limit(10).agg(F.array_sort(F.collect_list(F.struct((-F.col("retrievals")).alias("r"), "doc_path"))).alias("t"))
+    return store.crossJoin(kinds).crossJoin(first).select("store_rows", "store_docs", "by_type", "n_retrievals", F.array_join("t.doc_path", " ").alias("top_retrieved"))  # one row each
 
 
 @query("top_retrieved", "select user_id, count(*) as retrievals from events group by user_id order by retrievals desc, user_id limit 10")
@@ -371,6 +439,24 @@ def _(spark, sf):
     return table(spark, sf, "events").where(F.col("event_type").contains("c")).orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "ts", "event_type").limit(10)
 
 
+@query("history_best", "select event_id, event_type, value, row_number() over (order by value desc, event_id) as place from events qualify place <= 10")
+def _(spark, sf):
+    ten = table(spark, sf, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value")
+    return ten.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")))
+
+
+@query("history_last", "select event_id, ts, value from events order by ts desc, event_id desc limit 25")
+def _(spark, sf):
+    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "ts", "value")
+
+
+@query("retrieval_log", "select user_id, event_type, count(*) as retrievals, max(ts) as last_at, (select count(*) from events e where e.user_id = v.user_id) as user_total from events v group by user_id, event_type")
+def _(spark, sf):
+    # an append-only log of single retrievals, compacted to sums
+    log = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("retrievals"), F.max("ts").alias("last_at"))
+    return log.join(log.groupBy("user_id").agg(F.sum("retrievals").alias("user_total")), "user_id")
+
+
 @query("result_shape", "select doc_id, substr(text, 1, 500) as preview, length(text) > 500 as truncated from documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("preview"), (F.length("text") > 500).alias("truncated"))
@@ -390,23 +476,82 @@ def _(spark, sf):
     return ripe.agg(F.array_join(F.array_sort(F.collect_list("project")), ", ").alias("projects"), F.count("*").alias("n"))
 
 
-_NOISE = " or ".join(f"starts_with(lower(trim(text)), {_sql_text(n)})" for n in sessions.NOISE)
+_NOISE = " or ".join(f"starts_with(lower(text), {_sql_text(n)})" for n in sessions.NOISE)
+_SAID = f"t0 as (select conv_id, turn, role, {_strip('text')} as text from conversations where role in ('user', 'assistant')), t as (select * from t0 where text <> '' and not (role = 'user' and ({_NOISE}))), said as (select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id, role order by turn) as a, row_number() over (partition by conv_id, role order by turn desc) as d from t) where (role = 'user' and a <= 12) or (role = 'assistant' and d <= 40))"
 
 
-@query("transcript_turns", f"with t as (select conv_id, turn, role, trim(text) as text from conversations where role in ('user', 'assistant') and trim(text) <> '' and not (role = 'user' and ({_NOISE}))) select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id, role order by turn) as a, row_number() over (partition by conv_id, role order by turn desc) as d from t) where (role = 'user' and a <= 12) or (role = 'assistant' and d <= 40)")
+@query("transcript_turns", f"with {_SAID} select conv_id, turn, role, text from said")
 def _(spark, sf):
     return sessions.bounded_turns(table(spark, sf, "conversations"), "conv_id")
 
 
-@query("session_captures")
+def _matches(text: str, pattern: str, group: int = 0) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, {_sql_text(pattern)}, {group}), lambda m: substr({_strip('m')}, 1, 300)), lambda m: m <> '')"
+
+
+#: The path pattern without its look-behind, which this dialect lacks.
+_PATHS = "(?:^|[^A-Za-z0-9])(" + X.FILE_PATH.removeprefix("(?<![A-Za-z0-9])") + ")"
+_CAPTURED = (
+    _SAID + ", g as (select conv_id, coalesce(list(text order by turn) filter (where role = 'user'), []::varchar[]) as users, coalesce(list(text order by turn) filter (where role = 'assistant'), []::varchar[]) as own from said group by conv_id), "
+    f"m as (select *, {_matches(chr(97) + 'rray_to_string(own, chr(10))', X.DECISION)} as d0, {_matches('array_to_string(own, chr(10))', X.ACTION)} as a0, {_matches('array_to_string(own, chr(10)) || chr(10) || array_to_string(users, chr(10))', _PATHS, 1)} as f0, substr({_strip('regexp_split_to_array(users[1], ' + _sql_text(X.LINE) + ')[1]')}, 1, 80) as t0 from g), "
+    f"x as (select conv_id, case when coalesce(t0, '') = '' then 'session' else t0 end as title, substr(users[1], 1, 600) as task, substr(own[len(own)], 1, 600) as outcome, list_slice({_distinct('d0')}, 1, 8) as ds, list_slice({_distinct('a0')}, 1, 10) as acts, list_slice({_distinct('f0')}, 1, 20) as fs from m)"
+)
+_LISTED = ", ".join(f"array_to_string(list_transform({c}, lambda v: {_scrub('v')}), chr(10)) as {name}" for c, name in (("ds", "decisions"), ("acts", "actions"), ("fs", "files")))
+
+
+@query("session_captures", f"with {_CAPTURED} select conv_id, case when {_strip(_scrub('title'))} = '' then 'session' else {_strip(_scrub('title'))} end as title, {_scrub('task')} as task, {_scrub('outcome')} as outcome, {_LISTED} from x")
+def _(spark, sf):
+    found = sessions.capture(table(spark, sf, "conversations"), "conv_id")
+    return found.select("conv_id", "title", "task", "outcome", *[F.array_join(c, "\n").alias(c) for c in ("decisions", "actions", "files")])
+
+
+def _transcript(spark, sf):
+    """conversations as transcript lines: a system turn is a side chain, and some lines have no folder or branch."""
+    said = table(spark, sf, "conversations")
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
+    return said.select(
+        conv.alias("file"), turn.alias("line"), F.col("role").alias("type"), F.concat(F.lit("session-"), conv).alias("session"),
+        F.when(turn % 2 == 1, F.concat(F.lit("repos/p"), (F.col("conv_id") % 7).cast("string"), F.lit("/src"))).otherwise("").alias("cwd"),
+        F.when(turn > 0, F.concat(F.lit("branch-"), turn.cast("string"))).alias("branch"), (F.col("role") == "system").alias("sidechain"), F.array("text").alias("texts"), (F.col("conv_id") % 11 == 0).alias("captured"),
+    )
+
+
+_META = "l as (select conv_id::varchar as file, turn, role = 'system' as side, 'session-' || conv_id as session, case when turn % 2 = 1 then 'repos/p' || conv_id % 7 || '/src' else '' end as cwd, case when turn > 0 then 'branch-' || turn else '' end as branch, conv_id % 11 = 0 as captured from conversations)"
+_FIRST = ", ".join(f"coalesce(min_by({c}, turn) filter (where not side and {c} <> ''), '') as {name}" for c, name in (("session", "session_id"), ("cwd", "cwd"), ("branch", "branch")))
+
+
+@query("session_metadata", f"with {_META} select file, {_FIRST}, bool_or(captured) as captured from l group by file")
+def _(spark, sf):
+    return sessions.metadata(_transcript(spark, sf))
+
+
+@query("session_notes")
+def _(spark, sf):
+    held = table(spark, sf, "conversations").where("conv_id % 5 = 0").select(F.concat(F.lit("repos/p"), (F.col("conv_id") % 7).cast("string"), F.lit("/research/sessions/2025-01-01-000000-"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), F.lit(".md")).alias("path")).distinct()
+    lines = _transcript(spark, sf).withColumn("session", F.md5("file"))
+    return sessions.capture_sessions(lines, held, NOW)
+
+
+def _memory_calls(spark, sf):
+    said = table(spark, sf, "conversations")
+    return said.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), F.col("text").alias("content"), F.substring("text", 1, 60).alias("title"), F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "not/safe").alias("project"), F.when(F.col("turn") % 2 == 0, "session").otherwise("note").alias("kind"), F.md5(F.col("conv_id").cast("string")).alias("session_id"), F.lit("repos/p1/src").alias("cwd"))
+
+
+@query("memory_notes")
 def _(spark, sf):
-    return sessions.capture(table(spark, sf, "conversations"), "conv_id")
+    return sessions.capture_memories(_memory_calls(spark, sf), None, NOW)
 
 
-@query("decision_lines", f"select conv_id, turn, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_sql_text(X.DECISION)}), lambda m: substr(trim(m), 1, 300)), lambda m: m <> ''))) as n_decisions, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_sql_text(X.ACTION)}), lambda m: substr(trim(m), 1, 300)), lambda m: m <> ''))) as n_actions from conversations")
+@query("recent_sessions", f"with {_KNOWLEDGE} select regexp_replace(doc_path, '^vault/library/sessions/[^/]+/', 'vault/library/sessions/') as path, authored_at as modified from knowledge where regexp_matches(regexp_replace(doc_path, '^vault/library/sessions/[^/]+/', 'vault/library/sessions/'), '^(repos/[^/]+/research/sessions|vault/library/sessions)/[^/]*[.]md$') and authored_at >= timestamp '{NOW}' - interval 420 days")
+def _(spark, sf):
+    files = knowledge(spark, sf).withColumn("doc_path", F.regexp_replace("doc_path", "^vault/library/sessions/[^/]+/", "vault/library/sessions/")).select(F.col("doc_path").alias("path"), F.col("authored_at").alias("modified"))
+    return sessions.recent_sessions(files, None, 420, NOW)
+
+
+@query("decision_lines", f"with m as (select conv_id, turn, {_matches('text', X.DECISION)} as d0, {_matches('text', X.ACTION)} as a0 from conversations) select conv_id, turn, array_to_string(list_slice({_distinct('d0')}, 1, 8), chr(10)) as decisions, array_to_string(list_slice({_distinct('a0')}, 1, 10), chr(10)) as actions from m")
 def _(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(X.first_matches(text, X.DECISION, 1 << 30)).cast("long").alias("n_decisions"), F.size(X.first_matches(text, X.ACTION, 1 << 30)).cast("long").alias("n_actions"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.first_matches(text, X.DECISION, 8), "\n").alias("decisions"), F.array_join(X.first_matches(text, X.ACTION, 10), "\n").alias("actions"))
 
 
 _PACKED = "l as (select conv_id, turn, length(text) as length from conversations), b as (select *, coalesce(sum(length) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as before from l)"
@@ -425,20 +570,58 @@ def _(spark, sf):
     return sums.select("source", curation.bloated(F.col("merged"), F.col("existing"), F.col("new")).alias("bloated"))
 
 
-@query("consolidated_notes")
+_PROJECT = "case when contains(doc_path, 'vault/library/sessions/') then 'library' else split_part(doc_path, '/', -4) end"
+_REPORTS = (
+    _KNOWLEDGE + f", r as (select {_PROJECT} as project, doc_path, text, length(text) as length from knowledge where source_type = 'session'), b as (select *, coalesce(sum(length) over (partition by project order by doc_path rows between unbounded preceding and 1 preceding), 0)::bigint as before from r), "
+    f"c as (select project, doc_path, substr(text, 1, least(length, greatest({sessions.curation.BUDGET} - before, 0))) as text, least(length, greatest({sessions.curation.BUDGET} - before, 0)) as used, case when before >= {sessions.curation.BUDGET} then 'pending' when length > {sessions.curation.BUDGET} - before then 'clamped' else 'taken' end as status from b), "
+    f"u as (select *, {_UNITS} as units from c)"
+)
+_BODY = "array_to_string(flatten(list(units order by doc_path) filter (where status <> 'pending')), chr(10))"
+
+
+@query("consolidated_notes", f"with {_REPORTS} select project, {_scrub(_BODY)} as body, count(*) filter (where status <> 'pending') as n_sources, count(*) filter (where status = 'pending') as n_pending, count(*) filter (where status = 'clamped') as n_clamped, sum(used)::bigint as used from u group by project")
 def _(spark, sf):
     rows = knowledge(spark, sf).where("source_type = 'session'")
     return sessions.consolidated(rows.select(X.session_project(F.col("doc_path")).alias("project"), "doc_path", "text"))
 
 
-@query("contradictions")
+@query("consolidation")
+def _(spark, sf):
+    rows = knowledge(spark, sf).where("source_type = 'session'").select(X.session_project(F.col("doc_path")).alias("project"), "doc_path", "text")
+    # notes of an earlier run over the older reports of some projects
+    early = sessions.consolidate(rows.where("crc32(doc_path) % 4 = 0"), rows.select("project", "text").limit(0), "2025-01-01")
+    notes = written(early.where("note is not null").select("project", F.col("note").alias("text")), "notes")
+    return sessions.consolidate(rows.where("crc32(doc_path) % 4 <> 0"), notes, "2025-03-01")
+
+
+_FACTS = (
+    f"u as (select conv_id, turn, {_UNITS} as units from conversations), n as (select conv_id, turn, units, len(units) as k, unnest(range(0, least(len(units), 120))) as i from u), f0 as (select distinct conv_id, turn, i, {_FACT} as fact from n), "
+    f"f1 as (select conv_id, ('0x' || substr(md5(conv_id || '|' || turn || '|' || i || '|' || fact), 1, 15))::bigint as id, fact, {_embedded('fact')} as c from f0), f as (select conv_id, id, fact, {_UNIT} as v from f1)"
+)
+_REVERSAL = "regexp_matches(lower({}), '\\b(?:" + "|".join(models.TRIGGERS) + ")\\b')"
+
+
+@query(
+    "contradictions",
+    f"with {_FACTS}, pairs as (select b.fact as newer, b.id as query_id, a.fact as prior, a.id, round(list_dot_product(a.v, b.v), 9) as s from f a join f b on a.id <> b.id where b.conv_id % 20 = 0), near as (select * from pairs qualify row_number() over (partition by query_id order by s desc, id) = 1) select prior, newer, case when {_REVERSAL.format('prior')} <> {_REVERSAL.format('newer')} then 0.95::double else 0.0::double end as confidence from near where s >= 0.4",
+)
 def _(spark, sf):
     said = table(spark, sf, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    name = F.concat_ws("|", F.col("id.conv_id").cast("string"), F.col("id.turn").cast("string"), F.col("n").cast("string"), "fact")
     # a repeated row counts once, for ids must be distinct
-    units = sessions.facts(said.select("id", "text")).select("id.conv_id", F.xxhash64("id.conv_id", "id.turn", "n", "fact").alias("id"), "fact").dropDuplicates(["id"])
+    units = sessions.facts(said.select("id", "text")).select("id.conv_id", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("id"), "fact").dropDuplicates(["id"])
     return sessions.contradictions(units, units.where(F.col("conv_id") % QUERY_STEP == 0), least=0.0)
 
 
+_TOKENS = f"t as (select doc_id, cast(floor(len({_words('text')}) * 1.3::double) as int) as reports, doc_id % 30000 as existing from documents)"
+
+
+@query("prompt_budget", f"with {_TOKENS}, b as (select *, existing > 0 and reports <= 28160 - 300 as both_ from t), k as (select *, case when both_ then least(existing, 28160 - 300 - reports) else 0 end as kept from b) select doc_id, case when both_ and kept > 0 then reports else least(reports, 28160 - 200) end as reports, kept as existing, both_ and kept > 0 as update_ from k")
+def _(spark, sf):
+    found = models.prompt_budget(X.token_estimate(F.col("text")), (F.col("doc_id") % 30000).cast("int"), 4096, 300, 200)
+    return table(spark, sf, "documents").select("doc_id", found.alias("b")).select("doc_id", "b.reports", "b.existing", F.col("b.update").alias("update_"))
+
+
 # chunks and clusters
 
 
@@ -469,9 +652,50 @@ def _(spark, sf):
     return catalog.sync(_files(spark, sf), _manifest(spark, sf), _stored(spark, sf), NOW)[0]
 
 
-@query("embed_documents")
+def _synced(spark, sf):
+    files, before = _files(spark, sf), _manifest(spark, sf)
+    chunks, statuses = catalog.sync(files, before, _stored(spark, sf), NOW)
+    return files, before, written(chunks.select("doc_path", "tier", "chunk_index", "content_hash", "source_type"), "chunks"), written(statuses, "statuses")
+
+
+@query("sync_outcomes")
+def _(spark, sf):
+    files, _, chunks, statuses = _synced(spark, sf)
+    return catalog.file_statuses(files, statuses, chunks)
+
+
+@query("sync_manifest")
+def _(spark, sf):
+    files, before, chunks, statuses = _synced(spark, sf)
+    return catalog.sync_manifest(files, before, chunks, statuses, NOW)
+
+
+@query("sync_report")
+def _(spark, sf):
+    files, _, chunks, statuses = _synced(spark, sf)
+    return catalog.sync_report(catalog.file_statuses(files, statuses, chunks), statuses, sessions.pending(knowledge(spark, sf)))
+
+
+@query("rebuilt_summaries")
+def _(spark, sf):
+    leaves = catalog.chunk_rows(_files(spark, sf), BEFORE).drop("seq")
+    return clusters.rebuilt(written(leaves, "leaves"), NOW).where("tier = 1").select("doc_path", "cluster_id", F.array_join("parent_id", ",").alias("parents"), "heading", "text", "token_count", "source_type")
+
+
+@query("summary_sweep")
+def _(spark, sf):
+    rows = written(_chunked(spark, sf), "chunks")
+    out = None
+    for cut, least in ((0.4, 3), (0.5, 3), (0.6, 3), (0.7, 3), (0.8, 3), (1.0, 3), (0.6, 2), (0.6, 5), (0.8, 2), (0.8, 5)):  # one row each
+        one = clusters.summaries(rows, cut, least).agg(F.lit(cut).alias("cut"), F.lit(least).alias("least"), F.count("*").alias("n_summaries"), F.sum("n_chunks").alias("n_chunks"), F.avg("token_count").alias("mean_tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("embed_documents", f"with e as (select doc_id, {_embedded('text')} as c from documents), v as (select doc_id, {_UNIT} as v from e) select doc_id, array_to_string(list_transform(v, lambda x: round(x * 10000)::int), ',') as vector from v")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", models.embed("text").alias("vector"))
+    vector = F.transform(models.embed("text"), lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(vector, ",").alias("vector"))
 
 
 def _chunked(spark, sf):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +19,32 @@ from .corpus import CHUNK_SCHEMA
 class VersionedTable:
     """Each write makes a whole new folder and then moves the pointer; readers of the old one are not disturbed.
 
-    The folder is a path of a file system that this process mounts; on other stores use a
-    table format with its own log.
+    The folder may lie in any store that Spark's file systems reach. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._files = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._at(""))
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _read_pointer(self, name: str) -> dict | None:
+        """A pointer that names a folder which is there; a missing or damaged one is none."""
+        if not self._files.exists(self._at(name)):
+            return None
+        try:
+            stream = self._files.open(self._at(name))
+            found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            return found if self._files.exists(self._at(found["folder"])) else None
+        except (Py4JJavaError, ValueError, KeyError, TypeError):
+            return None
 
     def _pointer(self) -> dict | None:
-        for name in ("CURRENT", "CURRENT.bak"):
-            try:
-                with open(os.path.join(self.path, name), encoding="utf-8") as f:
-                    found = json.load(f)
-                if os.path.isdir(os.path.join(self.path, found["folder"])):
-                    return found
-            except (OSError, ValueError, KeyError):
-                continue
-        return None
+        return self._read_pointer("CURRENT") or self._read_pointer("CURRENT.bak")
 
     def version(self) -> int:
         found = self._pointer()
@@ -43,23 +52,42 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         found = self._pointer()
-        return self.spark.read.parquet(os.path.join(self.path, found["folder"])) if found else None
+        return self.spark.read.parquet(f"{self.path}/{found['folder']}") if found else None
 
     def write(self, df: DataFrame) -> int:
         version, folder = self.version() + 1, uuid.uuid4().hex
-        df.write.parquet(os.path.join(self.path, folder))
-        current, fresh = os.path.join(self.path, "CURRENT"), os.path.join(self.path, "CURRENT.tmp")
-        with open(fresh, "w", encoding="utf-8") as f:
-            json.dump({"version": version, "folder": folder}, f)
-        if os.path.exists(current):
-            os.replace(current, current + ".bak")
-        os.replace(fresh, current)
+        df.write.parquet(f"{self.path}/{folder}")
+        with_text = self._files.create(self._at("CURRENT.tmp"), True)
+        with_text.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
+        with_text.close()
+        if self._files.exists(self._at("CURRENT")):
+            self._files.delete(self._at("CURRENT.bak"), False)
+            self._files.rename(self._at("CURRENT"), self._at("CURRENT.bak"))
+        self._files.rename(self._at("CURRENT.tmp"), self._at("CURRENT"))
         return version
 
+    def append(self, df: DataFrame) -> int:
+        """A new version with df's rows behind the present ones."""
+        present = self.read()
+        return self.write(df if present is None else present.unionByName(df))
+
+    def compact(self, files: int) -> int:
+        """A new version of the same rows in about so many files."""
+        return self.write(self.read().repartition(files))
+
+    def clean_up(self, older_than_seconds: float = 86_400.0) -> int:
+        """Delete versions that neither pointer names and that were written before; a day keeps long readers safe. Returns how many."""
+        held = {found["folder"] for name in ("CURRENT", "CURRENT.bak") if (found := self._read_pointer(name))}
+        limit, gone = (time.time() - older_than_seconds) * 1000, 0
+        for status in self._files.listStatus(self._at("")):
+            if status.isDirectory() and status.getPath().getName() not in held and status.getModificationTime() <= limit:
+                gone += bool(self._files.delete(status.getPath(), True))
+        return gone
+
     def health(self) -> dict[str, int]:
         """Versions kept, and files and rows of the current one."""
         df = self.read()
-        kept = sum(os.path.isdir(os.path.join(self.path, x)) for x in os.listdir(self.path))
+        kept = sum(status.isDirectory() for status in self._files.listStatus(self._at("")))
         if df is None:
             return {"versions": kept, "files": 0, "rows": 0}
         row = df.agg(F.count("*").alias("rows")).first()
@@ -110,3 +138,60 @@ def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, create
     wanted = files.join(status.where("status in ('new', 'modified')").select(F.col("path").alias("doc_path")), "doc_path", "left_semi")
     fresh = curation.with_donors(chunk_rows(wanted, created_at), left).where("kept").select(*CHUNK_SCHEMA.names)
     return (fresh if left is None else left.unionByName(fresh)), status
+
+
+def without_summaries(chunks: DataFrame) -> DataFrame:
+    """The chunk table without its cluster summaries."""
+    return chunks.where("tier <> 1")
+
+
+def sync_manifest(files: DataFrame, manifest: DataFrame, chunks: DataFrame, statuses: DataFrame, now: str) -> DataFrame:
+    """The manifest after sync(): (path, content_hash, chunk_count, ingested_at, updated_at, retrieval_count).
+
+    manifest: the one before, whose times and counts stay where a file is unchanged; a file that was
+    modified keeps its first ingest. Deleted files and files without a chunk of their own are left out.
+    """
+    counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
+    hashed = files.select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
+    before = manifest.select("path", *[(F.col(c) if c in manifest.columns else F.lit(None).cast(kind)).alias(f"old_{c}") for c, kind in (("ingested_at", "string"), ("updated_at", "string"), ("retrieval_count", "int"))])
+    joined = hashed.join(counted, "path").join(statuses, "path").join(before, "path", "left")
+    same = F.col("status") == "unchanged"
+    return joined.select(
+        "path",
+        "content_hash",
+        "chunk_count",
+        F.coalesce("old_ingested_at", F.lit(now)).alias("ingested_at"),
+        F.when(same, F.coalesce("old_updated_at", F.lit(now))).otherwise(now).alias("updated_at"),
+        F.coalesce("old_retrieval_count", F.lit(0)).alias("retrieval_count"),
+    )
+
+
+def without_files(chunks: DataFrame, manifest: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks and manifest without the documents named by paths (path): both or neither lose a file."""
+    return curation.without_paths(chunks, paths), manifest.join(paths.select("path").distinct(), "path", "left_anti")
+
+
+def file_statuses(files: DataFrame, statuses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """sync()'s outcome for each file: (path, status, chunks): ingested, all_chunks_duplicate, empty, unchanged, pruned or error.
+
+    A file that could not be read has a null text and is an error.
+    """
+    counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").alias("chunks"))
+    texts = files.select(F.col("doc_path").alias("path"), F.col("text").isNull().alias("unread"), (F.size(X.words(F.col("text"))) == 0).alias("blank"))
+    joined = statuses.join(counted, "path", "left").join(texts, "path", "left")
+    outcome = F.when(F.col("status") == "deleted", "pruned").when(F.col("unread"), "error").when(F.col("status") == "unchanged", "unchanged").when(F.col("blank"), "empty").when(F.col("chunks") > 0, "ingested").otherwise("all_chunks_duplicate")
+    return joined.select("path", outcome.alias("status"), F.when(F.col("status") == "deleted", 0).otherwise(F.coalesce("chunks", F.lit(0))).alias("chunks"))
+
+
+def sync_report(outcomes: DataFrame, statuses: DataFrame, pending: DataFrame, threshold: int = 5) -> DataFrame:
+    """One row: scanned, ingested, skipped, pruned, new, modified, unchanged, errors, error_details (ten paths at most), pending, hint."""
+    of = lambda c, *values: F.count_if(F.col(c).isin(*values))
+    counts = outcomes.agg(
+        F.count_if(F.col("status") != "pruned").alias("scanned"), of("status", "ingested").alias("ingested"), of("status", "all_chunks_duplicate", "empty").alias("skipped"), of("status", "pruned").alias("pruned"), of("status", "error").alias("errors"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "error", F.col("path")))), 1, 10).alias("error_details"),
+    )
+    changes = statuses.agg(of("status", "new").alias("new"), of("status", "modified").alias("modified"), of("status", "unchanged").alias("unchanged"))
+    ripe = F.array_join(F.array_sort(F.collect_list(F.when(F.col("pending") >= threshold, F.col("project")))), ", ")
+    waiting = pending.agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("pending"), F.nullif(ripe, F.lit("")).alias("ripe"))
+    hint = F.concat("ripe", F.lit(f" have {threshold}+ pending session captures — consider consolidating them into memory notes"))
+    return counts.crossJoin(changes).crossJoin(waiting).withColumn("hint", hint).drop("ripe")  # one row each

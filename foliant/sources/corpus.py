@@ -68,12 +68,14 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL session logs: file, line, type, session, cwd, branch, sidechain, texts, captured.
+    """JSONL session logs: file, line (to order by), type, session, cwd, branch, sidechain, texts, captured.
 
     A line that is no JSON object is skipped. message.content is a string or a list of
     blocks, of which the text blocks count; captured marks a use of a capture tool.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    # the parts of a split file come in the order of their first byte, and a part's lines in the order they are read
+    lines = lines.select("file", F.struct("block", "id").alias("line"), "value")
     shape = "type string, sessionId string, cwd string, gitBranch string, isSidechain boolean, message struct<content: string>"
     parsed = lines.withColumn("j", F.from_json("value", shape, {"mode": "PERMISSIVE"})).where("j.type is not null or j.sessionId is not null")
     blocks = F.from_json("content", "array<struct<type:string,text:string,name:string>>")
@@ -81,3 +83,13 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     texts = F.when(F.col("blocks").isNull(), F.array_compact(F.array("content"))).otherwise(F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"]))
     captured = F.coalesce(F.exists("blocks", lambda b: (b["type"] == "tool_use") & b["name"].contains("capture_memory")), F.lit(False)) & (F.col("type") == "assistant")
     return content.select("file", "line", "type", F.col("sessionId").alias("session"), "cwd", F.col("gitBranch").alias("branch"), F.coalesce("isSidechain", F.lit(False)).alias("sidechain"), texts.alias("texts"), captured.alias("captured"))
+
+
+def known_files(spark: SparkSession, repositories: str, base: str, name: str = "vault") -> DataFrame:
+    """All files that the index should hold: scan_repositories() and the sessions of the shared lane under base."""
+    scanned = scan_repositories(spark, repositories, name)
+    lane = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.md").load(base)
+    inside = F.regexp_extract("path", r"/library/sessions/([^/]+)$", 1)
+    path = F.concat(F.lit(f"{name}/library/sessions/"), "inside")
+    shared = lane.withColumn("inside", inside).where("inside <> ''").select(path.alias("path"), F.lit("library").alias("project"), X.source_type(path, name).alias("source_type"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
+    return scanned.unionByName(shared)

@@ -106,3 +106,88 @@ def test_sync_query_runs_over_the_stored_table(spark):
     assert {h for _, h in whole} == {r["content_hash"] for r in found}
     old = {r["content_hash"] for r in found if r["at"].startswith(registry.BEFORE) and r["source_type"] != "session"}
     assert not old & {r["content_hash"] for r in found if r["at"].startswith(registry.NOW)}
+
+
+def test_rest_passes_without_the_corpus_package(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_text.py", "tests/test_chunking.py", "-q", "-x"], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stdout[-2000:]
+
+
+def test_table_appends_compacts_and_cleans_up(spark, tmp_path):
+    store = VersionedTable(spark, f"file://{tmp_path}/t")
+    store.append(spark.range(3))
+    store.append(spark.range(3, 5))
+    store.compact(1)
+    assert store.read().count() == 5 and store.health()["versions"] == 3 and store.health()["files"] == 1
+    assert store.clean_up() == 0
+    assert store.clean_up(older_than_seconds=-60) == 1 and store.read().count() == 5 and store.version() == 3
+
+
+def test_known_files_hold_the_shared_lane(spark, tmp_path):
+    put(tmp_path / "repos" / "p" / "docs" / "a.md", "a")
+    put(tmp_path / "vault" / "library" / "sessions" / "s.md", "s")
+    put(tmp_path / "vault" / "library" / "other.md", "o")
+    found = {r["path"]: r["source_type"] for r in corpus.known_files(spark, str(tmp_path / "repos"), str(tmp_path / "vault")).collect()}
+    assert found == {"p/docs/a.md": "docs", "vault/library/sessions/s.md": "session"}
+
+
+def test_transcript_keeps_its_order_over_splits(spark, tmp_path):
+    from foliant.operators import sessions
+
+    lines = [json.dumps({"type": "user", "sessionId": "s", "message": {"content": f"turn {i} " + "x" * 200}}) for i in range(300)]
+    put(tmp_path / "t.jsonl", "\n".join(lines))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = corpus.read_transcripts(spark, str(tmp_path / "t.jsonl"))
+        assert rows.rdd.getNumPartitions() > 3
+        turns = sessions.transcript_turns(rows).orderBy("turn").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [int(r["text"].split()[1]) for r in turns] == list(range(300))
+
+
+def test_history_and_query_set(spark, tmp_path):
+    from foliant.sources import history
+
+    put(tmp_path / "q.json", json.dumps([{"query": "a b", "expected_file": "x.md", "expected_text_contains": "T"}, {"query": "c", "expected_file": "y.md"}]))
+    queries = history.read_query_set(spark, str(tmp_path / "q.json")).orderBy("query_id").collect()
+    assert [(r["text"], r["expected_text"]) for r in queries] == [("a b", "T"), ("c", "")]
+    for i, (score, embedder) in enumerate([(0.3, "E1"), (0.5, "E1"), (0.4, "e2-Large"), (0.5, "E1")]):
+        put(tmp_path / "results" / f"2025010{i}.json", json.dumps({"score": score, "models": {"embedder": embedder, "reranker": "R"}, "timestamp": f"2025-01-0{i + 1}"}))
+    put(tmp_path / "results" / "20250109.json", "{broken")
+    runs = history.read_history(spark, str(tmp_path / "results"))
+    names = lambda df: [r["file"][7] for r in df.collect()]
+    assert names(history.newest(runs)) == ["3", "2", "1", "0"] and names(history.best(runs, n=2)) == ["1", "3"] and names(history.last(runs, 2)) == ["2", "3"]
+    assert names(history.newest(runs, "LARGE")) == ["2"] and names(history.best_of_models(runs)) == ["1", "2"]
+    measured = spark.createDataFrame([(4, 0.5, 0.5, 0.75, 0.6, 0.25, 0.465)], "n long, hit_1 double, hit_3 double, hit_5 double, mrr double, text_match_1 double, composite double")
+    history.write_result(measured, str(tmp_path / "more"), "2025-03-01T10:00:00", {"embedder": "bag", "reranker": "lexical"}, {"k": "3"})
+    row = history.read_history(spark, str(tmp_path / "more" / "*")).first()
+    assert (row["score"], row["hit_at_5"], row["models"]["embedder"], row["params"]) == (0.465, 0.75, "bag", {"k": "3"})
+    assert history.regressed(measured, 0.5) and not history.regressed(measured, 0.4)
+
+
+def test_sync_reports_every_file_and_updates_the_manifest(spark):
+    from foliant.sources import catalog
+
+    schema = "doc_path string, source_type string, text string, authored_at string, seq long"
+    first = spark.createDataFrame([("a.md", "docs", WORDS, None, 1), ("b.md", "docs", WORDS + " b", None, 2), ("old.md", "docs", WORDS + " old", None, 3)], schema)
+    none = spark.createDataFrame([], "path string, content_hash string")
+    stored, status = sync(first, none, None, "2024-02-01 00:00:00")
+    before = catalog.sync_manifest(first, none, stored, status, "2024-02-01").withColumn("retrieval_count", F.lit(7))
+    second = spark.createDataFrame([("a.md", "docs", WORDS, None, 1), ("b.md", "docs", WORDS + " changed", None, 2), ("copy.md", "docs", WORDS, None, 4), ("blank.md", "docs", " \n", None, 5), ("bad.md", "docs", None, None, 6), ("new.md", "docs", WORDS + " new", None, 7)], schema)
+    chunks, status = sync(second, before, stored, "2024-03-01 00:00:00")
+    outcomes = catalog.file_statuses(second, status, chunks)
+    assert {r["path"]: (r["status"], r["chunks"]) for r in outcomes.collect()} == {"a.md": ("unchanged", 1), "b.md": ("ingested", 1), "copy.md": ("all_chunks_duplicate", 0), "blank.md": ("empty", 0), "bad.md": ("error", 0), "new.md": ("ingested", 1), "old.md": ("pruned", 0)}
+    after = {r["path"]: (r["chunk_count"], r["ingested_at"], r["updated_at"], r["retrieval_count"]) for r in catalog.sync_manifest(second, before, chunks, status, "2024-03-01").collect()}
+    assert after == {"a.md": (1, "2024-02-01", "2024-02-01", 7), "b.md": (1, "2024-02-01", "2024-03-01", 7), "new.md": (1, "2024-03-01", "2024-03-01", 0)}
+    pending = spark.createDataFrame([("p", 6), ("q", 2)], "project string, pending long")
+    report = catalog.sync_report(outcomes, status, pending).first()
+    assert (report["scanned"], report["ingested"], report["skipped"], report["pruned"], report["errors"], report["error_details"], report["unchanged"]) == (6, 2, 2, 1, 1, ["bad.md"], 1)
+    assert report["pending"] == 8 and report["hint"].startswith("p have 5+")
+    left = catalog.without_files(chunks, before, spark.createDataFrame([("b.md",)], "path string"))
+    assert [{r[0] for r in x.select(c).collect()} for x, c in zip(left, ("doc_path", "path"))] == [{"a.md", "new.md"}, {"a.md", "old.md"}]
