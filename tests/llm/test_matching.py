@@ -274,3 +274,32 @@ def test_clean_documents_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "nothing here"), (None, "Alpha beta, gamma delta!"), (None, "other"), (2, None), (2, "")], "doc_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in decontaminate.clean_documents(docs, items).collect()]
     assert sorted(kept, key=repr) == sorted([(1, "nothing here"), (None, "other"), (2, None), (2, "")], key=repr)
+
+
+def brute_cut(docs, n):
+    """Windows that another document keeps: for each document its words in such windows, by the least `row` of the holders."""
+    rows = {i: r for i, r in docs[1].items()}
+    held = collections.defaultdict(set)
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in docs[0]}
+    for i, w in split.items():
+        for k in range(len(w) - n + 1):
+            held[tuple(w[k : k + n])].add(i)
+    return {i: sorted({p for k in range(len(w) - n + 1) if min(held[tuple(w[k : k + n])], key=rows.get) != i for p in range(k, k + n)}) for i, w in split.items()}
+
+
+def test_suffixes_of_hot_and_cool_heads_agree_with_brute_force(spark):
+    rng = random.Random(21)
+    piece = lambda n: [rng.choice("abcdef") for _ in range(n)]
+    source = piece(120)
+    docs = []
+    for i in range(70):
+        a, b = sorted((rng.randint(0, 120), rng.randint(0, 120)))
+        docs.append((i, " ".join(piece(rng.randint(0, 9)) + source[a:b] + piece(rng.randint(0, 9)) + source[b // 2 : b // 2 + 12] * rng.choice([0, 1, 3]))))
+    docs += [(200, "z " * 90), (201, "z " * 70 + "y"), (202, "y " + "z " * 40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for hot in (1000, 1, 8):  # every head brought together, none, and some
+        found = suffixes.repeated_passages(frame, 10, 4, hot).collect()
+        spans = {(r["doc_id"], x["start"], x["stop"]) for r in found for x in r["spans"]}
+        assert spans == brute_passages(docs, 10)
+        wanted = brute_cut((docs, {r["doc_id"]: r["row"] for r in found} | {i: 1 << 70 for i, _ in docs if i not in {r["doc_id"] for r in found}}), 10)
+        assert {r["doc_id"]: [p for x in r["removed"] for p in range(x["start"], x["stop"])] for r in found} == {r["doc_id"]: wanted[r["doc_id"]] for r in found}
