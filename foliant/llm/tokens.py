@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .words import WHITE, binary_array, text_buffer
 
 #: Pieces kept by one worker; beyond that the older half is dropped.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 600_000
 #: Bytes of text that are cut and encoded at a time.
 GROUP_BYTES = 4_000_000
 #: Byte classes: 1 white space, 2 letters, 3 digits, 4 marks but the apostrophe, 0 all others.
