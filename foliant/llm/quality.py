@@ -4,22 +4,25 @@ Every word and every word ending owns a sparse random index vector. Over all doc
 collects the index vectors of its neighbours; the sums are whole numbers, so their order
 does not matter. A document is the mean of its words' vectors beside the mean of its
 endings' vectors. The network is fitted on a bounded sample of labelled documents and its
-temperature on a part of the sample that the fit does not see.
+temperature on a part of the sample that the fit does not see. Words share WORDS rows, and
+endings ENDINGS rows, by a hash: the table that is broadcast and its sums on the driver stay of one
+size whatever the vocabulary, and a rare word that shares a row with others weighs little in either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_bytes
+from .words import WHITE_TABLE, coded_words
 
 DIMENSIONS = 32
 WORDS, ENDINGS = 8192, 1024
@@ -38,16 +41,15 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 def rows_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of all words, rows of all endings, and words of each body."""
-    split = [b.split() for b in bodies]
-    lengths = np.array([len(s) for s in split], np.int64)
-    words = list(chain.from_iterable(split))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    ends = np.fromiter((xxhash.xxh3_64_intdigest(w[-2:]) for w in words), np.uint64, len(words))
-    endings = (ends % np.uint64(ENDINGS)).astype(np.int64) + WORDS
-    same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1 if len(hashes) else np.empty(0, np.int64)
-    firsts = np.cumsum(lengths) - lengths
-    endings[np.setdiff1d(same, firsts)] = REPEATED
-    return (hashes % np.uint64(WORDS)).astype(np.int64), endings, lengths
+    names, numbers, starts = coded_words(pa.array(bodies, pa.large_binary()), WHITE_TABLE)
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(WORDS)
+    ends = np.fromiter((xxhash.xxh3_64_intdigest(w[-2:]) for w in names), np.uint64, len(names)) % np.uint64(ENDINGS)
+    endings = ends.astype(np.int64)[numbers] + WORDS
+    same = np.zeros(len(numbers), bool)
+    same[1:] = numbers[1:] == numbers[:-1]
+    same[starts[:-1][starts[:-1] < len(numbers)]] = False
+    endings[same] = REPEATED
+    return words.astype(np.int64)[numbers], endings, np.diff(starts)
 
 
 def _groups(bodies: list[bytes]) -> Iterator[list[bytes]]:

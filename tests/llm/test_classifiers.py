@@ -352,3 +352,45 @@ def test_licences_of_documents_hold_against_plain_windows(spark):
     for i, text in rows:  # the scan may confirm further families beside the likeliest of a window
         assert plain_best_window(text, model) <= found[i]
         assert found[i] <= {f for f, t in notices if sum(g in licences.ngrams(text) for g in licences.ngrams(t)) >= 0.5 * len(licences.ngrams(t))}
+
+
+def test_rows_of_words_equal_plain_form():
+    import xxhash
+
+    bodies = [b"a bb a a ccc", b"", b"a", b"a a  x\ty"]
+    words, endings, lengths = quality.rows_of(bodies)
+    plain, ends = [], []
+    for body in bodies:
+        split = body.split()
+        plain += [xxhash.xxh3_64_intdigest(w) % quality.WORDS for w in split]
+        ends += [quality.REPEATED if i and w == split[i - 1] else quality.WORDS + xxhash.xxh3_64_intdigest(w[-2:]) % quality.ENDINGS for i, w in enumerate(split)]
+    assert words.tolist() == plain and endings.tolist() == ends and lengths.tolist() == [len(b.split()) for b in bodies]
+
+
+def test_word_vectors_and_scores_equal_plain_form(spark):
+    """Sums of neighbours' index vectors, means of rows, and the network, all in loops."""
+    texts = ["one two three two", "four", "", None, "two two one five one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    places, signs = quality.index_vectors()
+    own = np.zeros((quality.ROWS, quality.DIMENSIONS))
+    for row in range(quality.ROWS):
+        for k in range(2):
+            own[row, places[row, k]] = signs[row, k]
+    context = np.zeros_like(own)
+    streams = []
+    for text in texts:
+        words, endings, _ = quality.rows_of([(text or "").encode()])
+        streams.append((words, endings))
+        for stream in (words, endings):
+            for i, row in enumerate(stream):
+                for j in range(max(0, i - 2), min(len(stream), i + 3)):
+                    if j != i:
+                        context[row] += own[stream[j]]
+    context -= context.sum(axis=0) / max(np.abs(context).sum(), 1) * np.abs(context).sum(axis=1, keepdims=True)
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, context + own, atol=1e-5)
+    pooled = {r["doc_id"]: np.frombuffer(r["vector"], "<f4") for r in quality.pooled(docs, vectors).collect()}
+    for i, (words, endings) in enumerate(streams):
+        wanted = np.concatenate([vectors[s].sum(axis=0) / max(len(s), 1) for s in (words, endings)])
+        assert np.allclose(pooled[i], wanted, atol=1e-5)
