@@ -176,11 +176,13 @@ def _tables(spark, model: LicenceModel) -> tuple[DataFrame, DataFrame]:
 
 
 def _has_any(text: Column, cues: list[str] | tuple[str, ...]) -> Column:
-    lowered = F.lower(text)
-    test = F.lit(False)
-    for cue in cues:
-        test = test | lowered.contains(cue)
-    return test
+    def test(lowered: Column) -> Column:
+        found = F.lit(False)
+        for cue in cues:
+            found = found | lowered.contains(cue)
+        return found
+
+    return F.exists(F.array(F.lower(text)), test)  # as a lambda's variable the lowered text is made once
 
 
 def _gate(text: Column, least_share: float) -> Column:
@@ -194,7 +196,7 @@ def _gate(text: Column, least_share: float) -> Column:
 
 def _text_gate(least_share: float) -> Column:
     """_gate() of a whole text, whose lines are not joined yet."""
-    return _gate(F.translate(F.coalesce("text", F.lit("")), "\n", " "), least_share)
+    return _gate(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), least_share)
 
 
 def _families(model: LicenceModel, least_probability: float, least_share: float) -> Column:
