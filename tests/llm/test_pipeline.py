@@ -36,3 +36,18 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_equals_stages(spark, sf_dir):
     found = pipeline.run(spark, sf_dir)
     assert found.count() > 0 and "sequence_id" in found.columns
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_rows, no_rows, sf_dir):
+    rows = [tuple(r) for r in odd_rows.collect()]
+    functions = [f for _, f in pipeline.STAGES]
+    for function in functions[:4]:
+        kept = function(spark, odd_rows, sf_dir)
+        assert kept.columns == odd_rows.columns
+        assert all(tuple(r) in rows for r in kept.collect())
+        assert function(spark, no_rows, sf_dir).count() == 0
+    assert {r["doc_id"] for r in functions[0](spark, odd_rows, sf_dir).collect()} <= {4}
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in functions[1](spark, odd_rows, sf_dir).collect() if r["doc_id"] != 4) == sorted([(0, "no id here"), (1, "alpha beta gamma"), (1, "same id, other text"), (2, ""), (6, "ß Ünï 日本 \U0001f600 x\x00y")])
+    assert functions[2](spark, odd_rows, sf_dir).count() == functions[3](spark, odd_rows, sf_dir).count() == len(rows)
+    check_pieces([r[:2] for r in rows], functions[4](spark, odd_rows, sf_dir).collect())
+    assert functions[4](spark, no_rows, sf_dir).count() == 0
