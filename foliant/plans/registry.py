@@ -64,13 +64,13 @@ def _terms(column: str) -> str:
 
 
 #: The default embedder: counts of words by the last six bits of their md5, at unit length.
-def _embedded(text: str) -> str:
-    """Select list entry for a list of counts c; see _UNIT for the vector."""
+def _places(text: str) -> str:
+    """A list of places; it goes to a column ps, _COUNTS to a column c, and _UNIT is the vector."""
     digit = lambda k: f"(instr('0123456789abcdef', substr(md5(w), {k}, 1)) - 1)"
-    places = f"list_transform({_words(f'lower({text})')}, lambda w: ({digit(31)} & 3) * 16 + {digit(32)})"
-    return f"list_transform(range(64), lambda i: len(list_filter({places}, lambda p: p = i)))"
+    return f"list_transform({_words(f'lower({text})')}, lambda w: ({digit(31)} & 3) * 16 + {digit(32)})"
 
 
+_COUNTS = "list_transform(range(64), lambda i: len(list_filter(ps, lambda p: p = i)))"
 _NORM = "sqrt(list_sum(list_transform(c, lambda x: (x * x)::double)))"
 _UNIT = f"case when {_NORM} = 0 then list_transform(range(64), lambda i: case when i = 0 then 1.0::double else 0.0::double end) else list_transform(c, lambda x: (x / {_NORM})::float::double) end"
 
@@ -596,7 +596,7 @@ def _(spark, sf):
 
 _FACTS = (
     f"u as (select conv_id, turn, {_UNITS} as units from conversations), n as (select conv_id, turn, units, len(units) as k, unnest(range(0, least(len(units), 120))) as i from u), f0 as (select distinct conv_id, turn, i, {_FACT} as fact from n), "
-    f"f1 as (select conv_id, ('0x' || substr(md5(conv_id || '|' || turn || '|' || i || '|' || fact), 1, 15))::bigint as id, fact, {_embedded('fact')} as c from f0), f as (select conv_id, id, fact, {_UNIT} as v from f1)"
+    f"f1 as (select conv_id, ('0x' || substr(md5(conv_id || '|' || turn || '|' || i || '|' || fact), 1, 15))::bigint as id, fact, {_places('fact')} as ps from f0), f2 as (select conv_id, id, fact, {_COUNTS} as c from f1), f as (select conv_id, id, fact, {_UNIT} as v from f2)"
 )
 _REVERSAL = "regexp_matches(lower({}), '\\b(?:" + "|".join(models.TRIGGERS) + ")\\b')"
 
@@ -692,7 +692,7 @@ def _(spark, sf):
     return out
 
 
-@query("embed_documents", f"with e as (select doc_id, {_embedded('text')} as c from documents), v as (select doc_id, {_UNIT} as v from e) select doc_id, array_to_string(list_transform(v, lambda x: round(x * 10000)::int), ',') as vector from v")
+@query("embed_documents", f"with e0 as (select doc_id, {_places('text')} as ps from documents), e as (select doc_id, {_COUNTS} as c from e0), v as (select doc_id, {_UNIT} as v from e) select doc_id, array_to_string(list_transform(v, lambda x: round(x * 10000)::int), ',') as vector from v")
 def _(spark, sf):
     vector = F.transform(models.embed("text"), lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(vector, ",").alias("vector"))
