@@ -174,10 +174,13 @@ def fact_units(text: Column, cap: int = 120) -> Column:
 
     The sample's positions are those of a truncated linear space, in double arithmetic.
     """
-    units = fact_lines(text)
-    last = (F.size(units) - 1).cast("double")
-    at = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.when(i == cap - 1, last.cast("int")).otherwise((i * (last / F.lit(float(cap - 1)))).cast("int")))
-    return F.when(F.size(units) <= cap, units).otherwise(F.transform(at, lambda i: F.get(units, i)))
+
+    def sampled(units: Column) -> Column:
+        last = (F.size(units) - 1).cast("double")
+        at = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.when(i == cap - 1, last.cast("int")).otherwise((i * (last / F.lit(float(cap - 1)))).cast("int")))
+        return F.when(F.size(units) <= cap, units).otherwise(F.transform(at, lambda i: F.get(units, i)))
+
+    return F.get(F.transform(F.array(fact_lines(text)), sampled), F.lit(0))  # as a lambda's variable the lines are found once
 
 
 #: What a session's report is searched for (fixed values).
