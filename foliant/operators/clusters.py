@@ -109,3 +109,19 @@ def rebuilt(chunks: DataFrame, created_at: str, cut: float = CUT, least: int = L
         "pipeline_version": F.lit("1.0.0-clusters"),
     }
     return leaves.unionByName(made.withColumns(row).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in chunks.schema]))
+
+
+def sweep(rows: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
+    """rows as for clusters() -> (cut, least, n_clusters, n_chunks, n_docs) for each (cut, least): what each setting would summarise, in one pass over the vectors."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(group.sort_values("chunk_index")["vector"]).astype(np.float64)
+        sizes = {cut: np.bincount(average_linkage(vectors, cut)) for cut in {cut for cut, _ in settings}}
+        kept = [(cut, least, sizes[cut][sizes[cut] >= least]) for cut, least in settings if len(vectors) >= least]
+        return pd.DataFrame([(cut, least, len(x), int(x.sum())) for cut, least, x in kept], columns=["cut", "least", "n_clusters", "n_chunks"])
+
+    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", "chunk_index", "vector")
+    size = F.count("*").over(Window.partitionBy("doc_path"))
+    wanted = wanted.withColumn("n", size).where(F.col("n") >= min(least for _, least in settings)).drop("n")
+    counted = wanted.groupBy("doc_path").applyInPandas(run, "cut double, least int, n_clusters long, n_chunks long")
+    return counted.groupBy("cut", "least").agg(F.sum("n_clusters").alias("n_clusters"), F.sum("n_chunks").alias("n_chunks"), F.count_if(F.col("n_clusters") > 0).alias("n_docs"))

@@ -684,12 +684,7 @@ def _(spark, sf):
 
 @query("summary_sweep")
 def _(spark, sf):
-    rows = written(_chunked(spark, sf), "chunks")
-    out = None
-    for cut, least in ((0.4, 3), (0.5, 3), (0.6, 3), (0.7, 3), (0.8, 3), (1.0, 3), (0.6, 2), (0.6, 5), (0.8, 2), (0.8, 5)):  # one row each
-        one = clusters.summaries(rows, cut, least).agg(F.lit(cut).alias("cut"), F.lit(least).alias("least"), F.count("*").alias("n_summaries"), F.sum("n_chunks").alias("n_chunks"), F.avg("token_count").alias("mean_tokens"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return clusters.sweep(_chunked(spark, sf), [(0.4, 3), (0.5, 3), (0.6, 3), (0.7, 3), (0.8, 3), (1.0, 3), (0.6, 2), (0.6, 5), (0.8, 2), (0.8, 5)])
 
 
 @query("embed_documents", f"with e0 as (select doc_id, {_places('text')} as ps from documents), e as (select doc_id, {_COUNTS} as c from e0), v as (select doc_id, {_UNIT} as v from e) select doc_id, array_to_string(list_transform(v, lambda x: round(x * 10000)::int), ',') as vector from v")

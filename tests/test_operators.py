@@ -291,3 +291,12 @@ def test_rebuilt_summaries_replace_the_old(spark):
     assert made.count() > 0 and made.where("source_type = 'session' or vector is null or chunk_index <> -1").count() == 0
     assert once.columns == leaves.columns and sorted(r[0] for r in twice.select("chunk_id").collect()) == sorted(r[0] for r in once.select("chunk_id").collect())
     assert catalog.without_summaries(once).count() == leaves.count()
+
+
+def test_sweep_counts_what_clusters_finds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"d{d}", i, rng.normal(size=4).tolist(), "docs") for d in range(6) for i in range(rng.integers(1, 9))]
+    frame = spark.createDataFrame(rows, "doc_path string, chunk_index int, vector array<double>, source_type string")
+    for r in clusters.sweep(frame, [(0.3, 2), (0.8, 3)]).collect():
+        found = clusters.clusters(frame, r["cut"], r["least"])
+        assert (r["n_clusters"], r["n_chunks"]) == (found.select("doc_path", "cluster").distinct().count(), found.count())
