@@ -59,8 +59,11 @@ class TextModel:
 def fit_text_model(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.5) -> TextModel:
     """From at most per_language documents of each lang, those with the least hash of doc_id; whole texts of them are counted."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.lower("lang").alias("lang"), "text")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("n", first).where(F.col("n") <= per_language).drop("n")
+    # the first of each of 64 parts of a language, and of those the first: no task sorts all documents of one
+    order = (F.xxhash64("doc_id"), "doc_id")
+    parts = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part")).distinct()
+    some = parts.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("n") <= per_language)
+    chosen = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language).select("doc_id", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
