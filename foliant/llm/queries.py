@@ -83,6 +83,12 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -94,12 +100,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "near_benchmark_items": near_benchmark_items,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
+    """SQL of op13 for up to 8 ** levels rows of a language and 8 ** top_levels languages."""
+
+    def tree(name: str, key: str, leaves: str, high: int) -> str:
+        """Tables <name>0, <name>1, … of nodes (key, n, pos, h, l, r), l and r the digests beside a node in its run, and <name>top."""
+        run = f"partition by {key}, pos // 8 order by pos rows between"
+        sides = f"coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as l, coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as r"
+        out = [f"{name}0 as (select *, {sides} from ({leaves}))"]
+        for k in range(high):
+            up = f"select {key}, (any_value(n) + 7) // 8 as n, pos // 8 as pos, sha256(string_agg(h, '' order by pos)) as h from {name}{k} where n > 1 group by {key}, pos // 8"
+            out.append(f"{name}{k + 1} as (select *, {sides} from ({up}))")
+        tops = " union all ".join(f"select {key}, h from {name}{k} where n = 1" for k in range(high + 1))
+        return ", ".join([*out, f"{name}top as ({tops})"])
+
+    def climbed(before: str, name: str, key: str, pos: str, high: int, to: str) -> str:
+        """Tables that fold f and gather the siblings s along the levels of a tree."""
+        out = []
+        for k in range(high):
+            step = f"select b.* exclude (f, s), case when t.n > 1 then sha256(t.l || b.f || t.r) else b.f end as f, case when t.n > 1 then b.s || t.l || t.r else b.s end as s"
+            here = to if k == high - 1 else f"{to}{k}"
+            out.append(f"{here} as ({step} from {before} b left join {name}{k} t on t.{key} is not distinct from b.{key} and t.pos = b.{pos} // {8**k})")
+            before = here
+        return ", ".join(out)
+
+    said = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: list_transform(range(0, 8), lambda k: (ascii(substr(doc_id::varchar, i::int, 1)) >> k::int)::bigint & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+    lower = f"case when {crc} % 3 = 0 then translate(text, '{_UPPER}', '{_UPPER.lower()}') else text end"
+    return f"""
+        with leaves as (select doc_id, lang, {leaf('text')} as h, {leaf(lower)} as claim from documents),
+        numbered as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by lang) as n from leaves),
+        {tree('t', 'lang', 'select lang, n, pos, h from numbered', levels)},
+        langs as (select lang, h, 0 as forest, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from ttop),
+        {tree('r', 'forest', 'select forest, n, pos, h from langs', top_levels)},
+        started as (select numbered.*, langs.h as subroot, langs.pos as place, 0 as forest, claim as f, '' as s from numbered join langs on numbered.lang is not distinct from langs.lang),
+        {climbed('started', 't', 'lang', 'pos', levels, 'low')},
+        {climbed('low', 'r', 'forest', 'place', top_levels, 'high')}
+        select doc_id, high.h as leaf, subroot, rtop.h as root, sha256(s) as proof_sha256, f as folded_root, f = rtop.h as verified, strlen(s) // 64 as n_siblings
+        from high, rtop"""
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": f"""
@@ -134,4 +185,5 @@ ORACLE_SQL: dict[str, str] = {
         covered as (select distinct doc_id, p + o as place from grams join shared using (gram), unnest(range(0, 51)) as t(o)),
         runs as (select doc_id, place, place - row_number() over (partition by doc_id order by place) as run from covered)
         select doc_id, min(place) - 1 as start_word, max(place) as end_word, count(*) as n_words from runs group by doc_id, run""",
+    "op13_merkle_manifest": _merkle_sql(),
 }
