@@ -83,6 +83,12 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxsketch import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import verified
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
     "near_benchmark_items": near_benchmark_items,
 }
@@ -185,5 +192,16 @@ ORACLE_SQL: dict[str, str] = {
         covered as (select distinct doc_id, p + o as place from grams join shared using (gram), unnest(range(0, 51)) as t(o)),
         runs as (select doc_id, place, place - row_number() over (partition by doc_id order by place) as run from covered)
         select doc_id, min(place) - 1 as start_word, max(place) as end_word, count(*) as n_words from runs group by doc_id, run""",
+    "op11_ranked_search": rf"""
+        with docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        size as (select count_if(len(w) > 0)::bigint as held, sum(len(w))::bigint as total from docs),
+        asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where item_id is not null),
+        postings as (select r, doc_id, n, term, count(*)::bigint as tf from (select r, doc_id, len(w)::bigint as n, unnest(w) as term from docs)
+                     where term in (select term from asked) group by all),
+        weights as (select term, floor(1000 * ln((2 * held + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from postings, size group by term, held),
+        scored as (select item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * held) // total))))::bigint as score
+                   from asked join postings using (term) join weights using (term), size group by item_id, r, doc_id)
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from scored where score > 0
+        qualify rank <= 10""",
     "op13_merkle_manifest": _merkle_sql(),
 }
