@@ -89,6 +89,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import verified
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_binary": op9_token_binary,
     "op10_simhash_near_dup": op10_simhash_near_dup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_minhash_near_dup": op12_minhash_near_dup,
     "op13_merkle_manifest": op13_merkle_manifest,
     "near_benchmark_items": near_benchmark_items,
 }
@@ -203,5 +210,14 @@ ORACLE_SQL: dict[str, str] = {
                    from asked join postings using (term) join weights using (term), size group by item_id, r, doc_id)
         select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from scored where score > 0
         qualify rank <= 10""",
+    "op12_minhash_near_dup": rf"""
+        with recursive words as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+        sets as (select r, doc_id, case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
+        members as (select r, len(s) as n, unnest(s) as g from sets),
+        links as (select a.r as a, b.r as b from members a join members b on a.g = b.g and a.r <> b.r and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+                  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach as (select r as a, r as b from sets union select reach.a, links.b from reach join links on reach.b = links.a)
+        select doc_id, len(s)::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept
+        from sets join (select a, min(t.doc_id) as component_id from reach join sets t on t.r = reach.b group by a) on a = r""",
     "op13_merkle_manifest": _merkle_sql(),
 }
