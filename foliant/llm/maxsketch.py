@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes, width
+from .common import stage, text_bytes
 from .words import binary_array, coded_words, grouped
 
 #: Rows of a sketch; coordinates of a row for each distinct term of a document (rounded up to a power of two), and for any document at least.
@@ -31,7 +31,7 @@ ROWS, LOAD, LEAST_WIDTH = 3, 4, 64
 #: A count of so many or more is taken as boundless.
 MOST = 255
 #: Bytes of terms in a part of the index, terms of queries in a block, and numbers in a matrix of bounds, about.
-PART_BYTES, BLOCK_TERMS, STEP = 16_000_000, 200_000, 2_000_000
+PART_BYTES, BLOCK_TERMS, STEP = 4_000_000, 200_000, 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What each byte becomes: A-Z lower case, what stands between terms a space.
@@ -183,7 +183,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * total + 2) / (F.lit(2.0) * F.col("df") + 1)))
     weighted = stage(item_terms(items).join(document_counts(index), "term").select(F.col("item_id").cast("long").alias("item_id"), "term", weight.alias("weight")), "item_terms")
     blocks = max(1, math.ceil(weighted.count() / BLOCK_TERMS))
-    parts = max(width(index), math.ceil(size["bytes"] / PART_BYTES))
+    parts = max(1, math.ceil(size["bytes"] / PART_BYTES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # by a hash of the document, so that one part has no more of a hot id than another
     part = F.pmod(F.xxhash64("doc_id", "terms", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
