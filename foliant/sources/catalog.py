@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from foliant.functions import text as X
 from foliant.operators import chunking, curation, models
 
 from .corpus import CHUNK_SCHEMA
+from .pointer import Pointer
 
 
 class VersionedTable:
@@ -23,47 +21,21 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._files = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._files.mkdirs(self._at(""))
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _read_pointer(self, name: str) -> dict | None:
-        """A pointer that names a folder which is there; a missing or damaged one is none."""
-        if not self._files.exists(self._at(name)):
-            return None
-        try:
-            stream = self._files.open(self._at(name))
-            found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            stream.close()
-            return found if self._files.exists(self._at(found["folder"])) else None
-        except (Py4JJavaError, ValueError, KeyError, TypeError):
-            return None
-
-    def _pointer(self) -> dict | None:
-        return self._read_pointer("CURRENT") or self._read_pointer("CURRENT.bak")
+        self.spark, self.pointer = spark, Pointer(spark, path)
+        self.path = self.pointer.path
 
     def version(self) -> int:
-        found = self._pointer()
+        found = self.pointer.read()
         return found["version"] if found else 0
 
     def read(self) -> DataFrame | None:
-        found = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{found['folder']}") if found else None
+        found = self.pointer.read()
+        return self.spark.read.parquet(f"{self.path}/{found['folders'][0]}") if found else None
 
     def write(self, df: DataFrame) -> int:
         version, folder = self.version() + 1, uuid.uuid4().hex
         df.write.parquet(f"{self.path}/{folder}")
-        with_text = self._files.create(self._at("CURRENT.tmp"), True)
-        with_text.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
-        with_text.close()
-        if self._files.exists(self._at("CURRENT")):
-            self._files.delete(self._at("CURRENT.bak"), False)
-            self._files.rename(self._at("CURRENT"), self._at("CURRENT.bak"))
-        self._files.rename(self._at("CURRENT.tmp"), self._at("CURRENT"))
+        self.pointer.commit({"version": version, "folders": [folder]})
         return version
 
     def append(self, df: DataFrame) -> int:
@@ -77,17 +49,12 @@ class VersionedTable:
 
     def clean_up(self, older_than_seconds: float = 86_400.0) -> int:
         """Delete versions that neither pointer names and that were written before; a day keeps long readers safe. Returns how many."""
-        held = {found["folder"] for name in ("CURRENT", "CURRENT.bak") if (found := self._read_pointer(name))}
-        limit, gone = (time.time() - older_than_seconds) * 1000, 0
-        for status in self._files.listStatus(self._at("")):
-            if status.isDirectory() and status.getPath().getName() not in held and status.getModificationTime() <= limit:
-                gone += bool(self._files.delete(status.getPath(), True))
-        return gone
+        return self.pointer.clean_up(older_than_seconds=older_than_seconds)
 
     def health(self) -> dict[str, int]:
         """Versions kept, and files and rows of the current one."""
         df = self.read()
-        kept = sum(status.isDirectory() for status in self._files.listStatus(self._at("")))
+        kept = sum(status.isDirectory() for status in self.pointer.files.listStatus(self.pointer.at("")))
         if df is None:
             return {"versions": kept, "files": 0, "rows": 0}
         row = df.agg(F.count("*").alias("rows")).first()
