@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
@@ -75,12 +77,12 @@ def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST, carried: tup
     return wanted.groupBy("doc_path").applyInPandas(run, f"{shape}, cluster long")
 
 
-def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
+def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST, summarizer: Callable[[Column], Column] = models.extract_summary) -> DataFrame:
     """Tier-1 rows, one per cluster of three or more chunks: text, heading, parents, token count. Rows are read once."""
     placed = clusters(rows, cut, least, ("chunk_id", "text", "heading", "source_type"))
     member = F.struct("chunk_index", "chunk_id", "text", "heading")
     gathered = placed.groupBy("doc_path", "source_type", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"), F.count("*").alias("n_chunks"))
-    text = models.extract_summary(F.col("m.text"))
+    text = summarizer(F.col("m.text"))
     made = gathered.select(
         "doc_path",
         "source_type",
@@ -93,14 +95,14 @@ def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFram
     return made.where(F.length("text") >= 20).select("*", F.lit(1).alias("tier"), F.lit(-1).alias("chunk_index"), F.size(X.words(F.col("text"))).alias("token_count"), F.lit("").alias("content_hash"))
 
 
-def rebuilt(chunks: DataFrame, created_at: str, cut: float = CUT, least: int = LEAST) -> DataFrame:
+def rebuilt(chunks: DataFrame, created_at: str, cut: float = CUT, least: int = LEAST, embedder: Callable[[Column], Column] = models.embed, summarizer: Callable[[Column], Column] = models.extract_summary) -> DataFrame:
     """The chunk table with its tier-1 rows made anew from its tier-0 rows: old ones dropped, new ones embedded and appended."""
     leaves = chunks.where("tier <> 1")
-    made = summaries(leaves.where("tier = 0"), cut, least)
+    made = summaries(leaves.where("tier = 0"), cut, least, summarizer)
     row = {
         "chunk_id": F.sha2(F.concat(F.lit("cluster|"), "cluster_id"), 256),
         "doc_id": X.document_key(F.col("doc_path")),
-        "vector": models.embed("text"),
+        "vector": embedder(F.col("text")),
         "char_start": F.lit(0),
         "char_end": F.lit(0),
         "retrieval_count": F.lit(0),

@@ -1,6 +1,6 @@
 """Model boundaries with deterministic defaults: embedder, contradiction detector, summariser.
 
-Each is a plain function of rows or columns; a real model takes the same place.
+Each is a function of columns; runner.Model makes one of a model that is loaded in tasks, and it takes the same place.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 
+from .runner import Model
+
 DIMENSION = 64
+#: Words whose places a worker keeps at most.
+MOST_WORDS = 1_000_000
 #: Characters of a document that a context function is given.
 MAX_CONTEXT = 150_000
 
@@ -30,16 +34,33 @@ def bag_vector(text: str | None, dimension: int = DIMENSION) -> list[float]:
     return (v / norm).astype(np.float32).tolist()
 
 
+def _bags() -> Callable[[list[tuple]], list[np.ndarray]]:
+    places: dict[str, int] = {}
+
+    def work(rows: list[tuple]) -> list[np.ndarray]:
+        words = [text.split() for (text,) in rows]
+        if len(places) > MOST_WORDS:
+            places.clear()
+        for word in {w for some in words for w in some} - places.keys():
+            places[word] = hashlib.md5(word.encode()).digest()[-1] % DIMENSION
+        flat = np.fromiter((places[w] for some in words for w in some), np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(some) for some in words])
+        counts = np.bincount(owner * DIMENSION + flat, minlength=len(rows) * DIMENSION).reshape(-1, DIMENSION).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        counts[norm == 0, 0] = 1.0
+        return list((counts / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32))
+
+    return work
+
+
+#: The default embedder: counts of words by the last bits of their md5, at unit length; each distinct word of a batch is hashed once.
+BAGS = Model(_bags, "array<float>", batch=4096)
+
+
 def embed(text: Column | str) -> Column:
-    """The default embedder as a column expression: counts of words by the last bits of their md5, at unit length."""
+    """Vectors of texts by the default embedder. Null counts as empty."""
     text = F.col(text) if isinstance(text, str) else text
-    place = lambda w: F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int").bitwiseAND(F.lit(DIMENSION - 1))
-    # lists of one, so that what is used many times is a lambda's variable and worked out once
-    places = F.array(F.transform(X.words(F.lower(F.coalesce(text, F.lit("")))), place))
-    counts = F.transform(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda i: F.size(p) - F.size(F.array_remove(p, i))))
-    scaled = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
-    first = F.array(F.lit(1.0), *[F.lit(0.0)] * (DIMENSION - 1)).cast("array<float>")
-    return F.get(F.transform(scaled, lambda v: F.when(v["norm"] == 0, first).otherwise(F.transform(v["c"], lambda x: x / v["norm"]).cast("array<float>"))), F.lit(0))
+    return BAGS(F.lower(F.coalesce(text, F.lit(""))))
 
 
 TRIGGERS = ("not", "no longer", "instead", "replaced", "never")
@@ -58,8 +79,9 @@ def extract_summary(texts: Column, longest: int = 200) -> Column:
 
 
 def summary_heading(headings: Column) -> Column:
-    """The first three distinct headings."""
-    joined = F.array_join(F.slice(F.array_distinct(headings), 1, 3), " / ")
+    """The first three distinct headings; blank ones and those that only say that there is none do not count."""
+    said = F.filter(headings, lambda h: h.isNotNull() & (h != "") & (h != "(no heading)"))
+    joined = F.array_join(F.slice(F.array_distinct(said), 1, 3), " / ")
     return F.when(joined == "", "(cluster summary)").otherwise(joined)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ from foliant.sources.scratch import written
 
 from . import curation, models, similarity
 
+#: A text's vector, and the confidence that two facts disagree.
+Embedder = Callable[[Column], Column]
+Judge = Callable[[Column, Column], Column]
+
 FIRST_USER, LAST_ASSISTANT = 12, 40
 #: Beginnings of user texts that a harness wrote (fixed values).
 NOISE = ("<local-command", "<command-", "<bash-", "<system-reminder", "<user-prompt-submit-hook", "<post-tool-use")
@@ -86,18 +93,56 @@ def _lane(cwd: Column, project: Column, repos: str, base: str) -> tuple[Column,
     return F.when(repository.isNotNull(), F.concat(F.lit(f"{repos}/"), repository, F.lit("/research/sessions"))).otherwise(f"{base}/library/sessions"), F.coalesce(repository, F.lit("adhoc"))
 
 
+def _root(name: Column) -> Column:
+    """A name without the numbers at its end: what names that can get into each other's way have in common."""
+    return F.regexp_replace(name, "(-[0-9]+)+$", "")
+
+
+def _one_by_one(notes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """The first free number for each note in turn, where stems may be numbered forms of each other."""
+    taken, numbers, following = set(held["name"]), [], {}
+    notes = notes.sort_values("seq", kind="stable")
+    for stem in notes["stem"]:
+        n = following.get(stem, 1)
+        while (name := stem if n == 1 else f"{stem}-{n}") in taken:
+            n += 1
+        taken.add(name)
+        following[stem] = n + 1
+        numbers.append(n)
+    return notes.assign(number=numbers)
+
+
 def _numbered(notes: DataFrame, held: DataFrame | None) -> DataFrame:
-    """notes (…, stem, lane) with path: lane/stem.md, or with -2, -3 … behind the stem where that is taken by an earlier note or by held (path)."""
-    place = F.row_number().over(Window.partitionBy("lane", "stem").orderBy("seq"))
-    named = notes.withColumn("n", place)
+    """notes (…, seq, stem, lane) with path: lane/stem.md, or stem-2, stem-3 …, the first name that neither held (path) nor an earlier note has.
+
+    Where all notes of a lane that could meet have one stem, the n-th takes the n-th number that is not held, which the held
+    numbers alone say. Only stems that are numbered forms of each other are gone through one after the other, by their names alone.
+    """
+    thin = notes.select("lane", "stem", "seq", _root(F.col("stem")).alias("root"))
+    split = F.regexp_extract("path", r"^(.*)/([^/]*)\.md$", 1), F.regexp_extract("path", r"^(.*)/([^/]*)\.md$", 2)
     if held is None:
-        named = named.withColumn("n_held", F.lit(0))
-    else:
-        name = F.regexp_replace("path", r"\.md$", "")
-        taken = held.select(F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, r"-[0-9]+$", "")))).alias("taken")).groupBy("taken").agg(F.count("*").alias("n_held"))
-        named = named.join(taken, F.concat_ws("/", "lane", "stem") == F.col("taken"), "left").drop("taken").withColumn("n_held", F.coalesce("n_held", F.lit(0)))
-    number = F.col("n") + F.col("n_held")
-    return named.withColumn("path", F.concat(F.col("lane"), F.lit("/"), F.col("stem"), F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(""), F.lit(".md"))).drop("n", "n_held")
+        held = thin.limit(0).select(F.concat_ws("/", "lane", F.concat("stem", F.lit(".md"))).alias("path"))
+    names = held.select(split[0].alias("lane"), split[1].alias("name")).where("name <> ''").distinct().withColumn("root", _root(F.col("name")))
+    families = thin.groupBy("lane", "root").agg((F.min("stem") != F.max("stem")).alias("several"))
+    marked = thin.join(families, ["lane", "root"])
+    # one stem: the held numbers of a stem, each less the held ones before it; those up to n push the n-th note on
+    at = F.expr("case when name = stem then 1 else cast(regexp_extract(name, '^.*-([1-9][0-9]*)$', 1) as int) end")
+    stems = marked.where("not several").select("lane", "root", "stem").distinct()
+    own = stems.join(names, ["lane", "root"]).where("name = stem or (startswith(name, stem || '-') and substring(name, length(stem) + 2) rlike '^([2-9]|[1-9][0-9]+)$')").select("lane", "stem", at.alias("at"))
+    before = own.withColumn("push", F.col("at") - F.row_number().over(Window.partitionBy("lane", "stem").orderBy("at")) + 1).groupBy("lane", "stem").agg(F.array_sort(F.collect_list("push")).alias("pushes"))
+    turn = F.row_number().over(Window.partitionBy("lane", "stem").orderBy("seq"))
+    plain = marked.where("not several").withColumn("n", turn).join(before, ["lane", "stem"], "left")
+    pushed = F.coalesce(F.size(F.filter("pushes", lambda x: x <= F.col("n"))), F.lit(0))
+    plain = plain.select("lane", "stem", "seq", (F.col("n") + F.when(F.col("pushes").isNull(), 0).otherwise(pushed)).cast("int").alias("number"))
+    key = ["lane", "root"]
+    mixed = marked.where("several").select("lane", "root", "stem", "seq").groupBy(*key).cogroup(names.groupBy(*key))
+    kind = thin.schema["seq"].dataType.simpleString()
+    schema = f"lane string, root string, stem string, seq {kind}, number int"
+    turns = mixed.applyInPandas(lambda some, taken: _one_by_one(some, taken) if len(some) else some.assign(number=[]), schema).select("lane", "stem", "seq", "number")
+    numbers = plain.unionByName(turns)
+    named = notes.join(numbers, ["lane", "stem", "seq"])
+    suffix = F.when(F.col("number") > 1, F.concat(F.lit("-"), F.col("number").cast("string"))).otherwise("")
+    return named.withColumn("path", F.concat("lane", F.lit("/"), "stem", suffix, F.lit(".md"))).drop("number")
 
 
 def capture_sessions(lines: DataFrame, held: DataFrame | None, now: str, repos: str = "repos", base: str = "vault") -> DataFrame:
@@ -167,7 +212,7 @@ def facts(rows: DataFrame, cap: int = 120) -> DataFrame:
     return rows.select("id", F.posexplode(X.fact_units(F.coalesce("text", F.lit("")), cap)).alias("n", "fact"))
 
 
-def contradictions(old: DataFrame, new: DataFrame, gate: float = 0.4, least: float = 0.7, group: str | None = None) -> DataFrame:
+def contradictions(old: DataFrame, new: DataFrame, gate: float = 0.4, least: float = 0.7, group: str | None = None, embedder: Embedder = models.embed, nli: Judge = models.contradiction) -> DataFrame:
     """old, new (id, fact) with distinct ids -> (prior, newer, confidence): each new fact against its nearest old one.
 
     With a group column on both sides, only facts of one group are compared, and it is carried along.
@@ -175,9 +220,9 @@ def contradictions(old: DataFrame, new: DataFrame, gate: float = 0.4, least: flo
     within = [group] if group else []
     left = new.select(*within, F.col("id").alias("query_id"), F.col("fact").alias("newer"))
     right = old.select(*within, "id", F.col("fact").alias("prior"))
-    near = similarity.nearest(old.select(*within, "id", models.embed("fact").alias("vector")), new.select(*within, F.col("id").alias("query_id"), models.embed("fact").alias("vector")), gate, group)
+    near = similarity.nearest(old.select(*within, "id", embedder(F.col("fact")).alias("vector")), new.select(*within, F.col("id").alias("query_id"), embedder(F.col("fact")).alias("vector")), gate, group)
     paired = near.select("query_id", "id").join(right, "id").join(left.drop(*within), "query_id")
-    scored = paired.withColumn("confidence", F.round(models.contradiction(F.col("prior"), F.col("newer")), 3))
+    scored = paired.withColumn("confidence", F.round(nli(F.col("prior"), F.col("newer")), 3))
     return scored.where(F.col("confidence") >= least).select(*within, "prior", "newer", "confidence")
 
 
@@ -195,7 +240,7 @@ def consolidated(reports: DataFrame, group: str = "project", budget: int = curat
     return taken.groupBy(group).agg(X.scrubbed(body).alias("body")).join(counted, group)
 
 
-def consolidate(reports: DataFrame, notes: DataFrame, today: str, group: str = "project", budget: int = curation.BUDGET, gate: float = 0.4, least: float = 0.7) -> DataFrame:
+def consolidate(reports: DataFrame, notes: DataFrame, today: str, group: str = "project", budget: int = curation.BUDGET, gate: float = 0.4, least: float = 0.7, embedder: Embedder = models.embed, nli: Judge = models.contradiction) -> DataFrame:
     """reports (project, doc_path, text), notes (project, text) -> (project, status, note, n_sources, n_pending, n_clamped, n_contradictions, nli, bloated).
 
     The canonical body of an existing note is kept but for facts that a newer report contradicts, the new
@@ -206,7 +251,7 @@ def consolidate(reports: DataFrame, notes: DataFrame, today: str, group: str = "
     prior = notes.groupBy(group).agg(X.canonical_body(F.max("text")).alias("existing"))
     unit = lambda rows, name: rows.select(group, F.posexplode(X.fact_units(F.col(name))).alias("n", "fact")).select(group, F.xxhash64(group, F.lit(name), "n", "fact").alias("id"), "fact")
     old, new = unit(prior, "existing"), unit(fresh, "body")
-    flagged = contradictions(old, new, gate, least, group)
+    flagged = contradictions(old, new, gate, least, group, embedder, nli)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("newer", "prior", "confidence"))), lambda c: F.concat(F.lit("- **prior:** "), c["prior"], F.lit("\n  **newer:** "), c["newer"], F.lit("  _(NLI "), c["confidence"].cast("string"), F.lit(")_")))
     found = flagged.groupBy(group).agg(F.array_join(lines, "\n").alias("flagged"), F.count("*").alias("n_contradictions"), F.collect_set("prior").alias("superseded"))
     files = reports.join(curation.within_budget(reports.select(group, "doc_path", F.length("text").alias("length")), group, ["doc_path"], budget).where("status <> 'pending'").select(group, "doc_path"), [group, "doc_path"])

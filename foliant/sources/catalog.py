@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
@@ -13,6 +14,10 @@ from foliant.operators import chunking, curation, models
 from .corpus import CHUNK_SCHEMA
 from .pointer import Pointer
 
+#: A text's vector, and a line about a chunk from its document and its text.
+Embedder = Callable[[Column], Column]
+Context = Callable[[Column, Column], Column]
+
 
 class VersionedTable:
     """Each write makes a whole new folder and then moves the pointer; readers of the old one are not disturbed.
@@ -61,13 +66,16 @@ class VersionedTable:
         return {"versions": kept, "files": len(df.inputFiles()), "rows": row["rows"]}
 
 
-def chunk_rows(files: DataFrame, created_at: str, version: str = "1.0.0") -> DataFrame:
+def chunk_rows(files: DataFrame, created_at: str, version: str = "1.0.0", embedder: Embedder = models.embed, context: Context | None = None) -> DataFrame:
     """files (doc_path, source_type, text, authored_at, seq) -> rows of the chunk table before dedup, with their seq.
 
-    Session texts are scrubbed first.
+    Session texts are scrubbed first. With a context function, its line stands above each chunk's text before that is hashed and embedded.
     """
     scrub = F.when(F.col("source_type") == "session", X.scrubbed(F.col("text"))).otherwise(F.col("text"))
-    cut = chunking.chunks(files.withColumn("text", scrub))
+    clean = files.withColumn("text", scrub)
+    cut = chunking.chunks(clean)
+    if context is not None:
+        cut = models.contextualised(cut, clean, context).withColumn("content_hash", X.content_hash(F.col("text")))
     return cut.select(
         X.chunk_key(F.col("doc_path"), F.col("chunk_index"), F.col("content_hash")).alias("chunk_id"),
         X.document_key(F.col("doc_path")).alias("doc_id"),
@@ -76,7 +84,7 @@ def chunk_rows(files: DataFrame, created_at: str, version: str = "1.0.0") -> Dat
         F.array().cast("array<string>").alias("parent_id"),
         F.lit("").alias("cluster_id"),
         "text",
-        models.embed("text").alias("vector"),
+        embedder(F.col("text")).alias("vector"),
         "heading",
         "chunk_index",
         "char_start",
@@ -92,18 +100,20 @@ def chunk_rows(files: DataFrame, created_at: str, version: str = "1.0.0") -> Dat
     )
 
 
-def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, created_at: str) -> tuple[DataFrame, DataFrame]:
+def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, created_at: str, embedder: Embedder = models.embed, context: Context | None = None) -> tuple[DataFrame, DataFrame]:
     """files (doc_path, source_type, text, authored_at, seq), manifest (path, content_hash), stored chunks -> (chunks, statuses).
 
     Deleted and modified documents lose their rows before the new and modified ones come in,
-    so a renamed file is no copy of itself.
+    so a renamed file is no copy of itself. A backslash in a path counts as a slash, on every side.
     """
+    files = files.withColumn("doc_path", X.slashes(F.col("doc_path")))
+    stored = stored if stored is None else stored.withColumn("doc_path", X.slashes(F.col("doc_path")))
     hashed = files.select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
     status = curation.diff(hashed, manifest)
     gone = status.where("status in ('deleted', 'modified', 'new')").select("path")
     left = curation.without_paths(stored, gone) if stored is not None else None
     wanted = files.join(status.where("status in ('new', 'modified')").select(F.col("path").alias("doc_path")), "doc_path", "left_semi")
-    fresh = curation.with_donors(chunk_rows(wanted, created_at), left).where("kept").select(*CHUNK_SCHEMA.names)
+    fresh = curation.with_donors(chunk_rows(wanted, created_at, embedder=embedder, context=context), left).where("kept").select(*CHUNK_SCHEMA.names)
     return (fresh if left is None else left.unionByName(fresh)), status
 
 
@@ -119,8 +129,8 @@ def sync_manifest(files: DataFrame, manifest: DataFrame, chunks: DataFrame, stat
     modified keeps its first ingest. Deleted files and files without a chunk of their own are left out.
     """
     counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
-    hashed = files.select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
-    before = manifest.select("path", *[(F.col(c) if c in manifest.columns else F.lit(None).cast(kind)).alias(f"old_{c}") for c, kind in (("ingested_at", "string"), ("updated_at", "string"), ("retrieval_count", "int"))])
+    hashed = files.select(X.slashes(F.col("doc_path")).alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
+    before = manifest.select(X.slashes(F.col("path")).alias("path"), *[(F.col(c) if c in manifest.columns else F.lit(None).cast(kind)).alias(f"old_{c}") for c, kind in (("ingested_at", "string"), ("updated_at", "string"), ("retrieval_count", "int"))])
     joined = hashed.join(counted, "path").join(statuses, "path").join(before, "path", "left")
     same = F.col("status") == "unchanged"
     return joined.select(
@@ -144,7 +154,7 @@ def file_statuses(files: DataFrame, statuses: DataFrame, chunks: DataFrame) -> D
     A file that could not be read has a null text and is an error.
     """
     counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").alias("chunks"))
-    texts = files.select(F.col("doc_path").alias("path"), F.col("text").isNull().alias("unread"), (F.size(X.words(F.col("text"))) == 0).alias("blank"))
+    texts = files.select(X.slashes(F.col("doc_path")).alias("path"), F.col("text").isNull().alias("unread"), (F.size(X.words(F.col("text"))) == 0).alias("blank"))
     joined = statuses.join(counted, "path", "left").join(texts, "path", "left")
     outcome = F.when(F.col("status") == "deleted", "pruned").when(F.col("unread"), "error").when(F.col("status") == "unchanged", "unchanged").when(F.col("blank"), "empty").when(F.col("chunks") > 0, "ingested").otherwise("all_chunks_duplicate")
     return joined.select("path", outcome.alias("status"), F.when(F.col("status") == "deleted", 0).otherwise(F.coalesce("chunks", F.lit(0))).alias("chunks"))
@@ -155,10 +165,10 @@ def sync_report(outcomes: DataFrame, statuses: DataFrame, pending: DataFrame, th
     of = lambda c, *values: F.count_if(F.col(c).isin(*values))
     counts = outcomes.agg(
         F.count_if(F.col("status") != "pruned").alias("scanned"), of("status", "ingested").alias("ingested"), of("status", "all_chunks_duplicate", "empty").alias("skipped"), of("status", "pruned").alias("pruned"), of("status", "error").alias("errors"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "error", F.col("path")))), 1, 10).alias("error_details"),
     )
+    first = outcomes.where("status = 'error'").select("path").orderBy("path").limit(10).agg(F.array_sort(F.collect_list("path")).alias("error_details"))
     changes = statuses.agg(of("status", "new").alias("new"), of("status", "modified").alias("modified"), of("status", "unchanged").alias("unchanged"))
     ripe = F.array_join(F.array_sort(F.collect_list(F.when(F.col("pending") >= threshold, F.col("project")))), ", ")
     waiting = pending.agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("pending"), F.nullif(ripe, F.lit("")).alias("ripe"))
     hint = F.concat("ripe", F.lit(f" have {threshold}+ pending session captures — consider consolidating them into memory notes"))
-    return counts.crossJoin(changes).crossJoin(waiting).withColumn("hint", hint).drop("ripe")  # one row each
+    return counts.crossJoin(first).crossJoin(changes).crossJoin(waiting).withColumn("hint", hint).drop("ripe")  # one row each
