@@ -52,6 +52,13 @@ def within_budget(reports: DataFrame, group: str, order: list[str], budget: int
     return marked.withColumn("used", used).withColumn("status", status).drop("before")
 
 
+def first_rows(rows: DataFrame, group: str, order: list[str], n: int, name: str | None = None) -> DataFrame:
+    """The first n rows of each group, with their place under a name if one is given."""
+    place = name or "place_in_group"
+    found = rows.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(place) <= n)
+    return found if name else found.drop(place)
+
+
 def bloated(merged: Column, existing: Column, new: Column) -> Column:
     """A merged note is bloated beyond twice the old one (or 2000) and beyond both its inputs together."""
     return (merged > F.greatest(F.lit(BLOAT_FACTOR) * existing, F.lit(BLOAT_FLOOR))) & (merged > existing + new)
