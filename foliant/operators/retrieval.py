@@ -13,6 +13,8 @@ from . import fulltext, similarity
 
 MAX_RESULTS, FETCH_MULTIPLIER, CANDIDATES = 10, 2, 20
 Scorer = Callable[[Column, Column], Column]
+#: (queries, k, ids to hold to) -> (query_id, id, score, rank), as TextIndex.search gives it.
+Lexical = Callable[[DataFrame, int, DataFrame], DataFrame]
 
 
 def clamp_k(k: int) -> int:
@@ -29,16 +31,23 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, X.terms(text))), F.size(asked)), F.lit(0.0))
 
 
-def hybrid(rows: DataFrame, queries: DataFrame, pool: int = CANDIDATES, exclude: str | None = "session", boosts: dict[str, float] | None = None, recency_weight: float = 0.0, half_life: float | None = 90.0, now: str | None = None) -> DataFrame:
+def searched(rows: DataFrame, exclude: str | None = None, tier: int | None = None) -> DataFrame:
+    """Rows that a search may find: not of an excluded source type, and of one tier if it is given."""
+    kept = rows if exclude is None else rows.where(F.col("source_type") != exclude)
+    return kept if tier is None else kept.where(F.col("tier") == tier)
+
+
+def hybrid(rows: DataFrame, queries: DataFrame, pool: int = CANDIDATES, exclude: str | None = "session", boosts: dict[str, float] | None = None, recency_weight: float = 0.0, half_life: float | None = 90.0, now: str | None = None, tier: int | None = None, lexical: Lexical | None = None) -> DataFrame:
     """rows (id, text, vector, source_type, authored_at), queries (query_id, text, vector) -> (query_id, id, boosted, position).
 
     Vector hits have their squared distance; full-text hits that are no vector hits get the
     query's greatest distance times 1.01, or 1.0 where there are no vector hits. Distances are
-    boosted by source type and, with a weight, by recency at `now`. Excluded rows fill no pool.
+    boosted by source type and, with a weight, by recency at `now`. Excluded rows, and those of another
+    tier than the given one, fill no pool. lexical: the search of a stored index over the texts of rows, instead of one that reads them all.
     """
-    kept = rows if exclude is None else rows.where(F.col("source_type") != exclude)
+    kept = searched(rows, exclude, tier)
     near = similarity.similar(kept, queries, k=pool).select("query_id", "id", (2 - 2 * F.col("similarity")).alias("distance"), F.lit(0).alias("from_text"), F.lit(0).alias("text_rank"))
-    hits = fulltext.search(rows.select("id", "text"), queries, pool, kept.select("id"))
+    hits = lexical(queries, pool, kept.select("id")) if lexical else fulltext.search(rows.select("id", "text"), queries, pool, kept.select("id"))
     farthest = near.groupBy("query_id").agg(F.max("distance").alias("far"))
     more = hits.join(near, ["query_id", "id"], "left_anti").join(farthest, "query_id", "left")
     more = more.select("query_id", "id", F.coalesce(F.col("far") * 1.01, F.lit(1.0)).alias("distance"), F.lit(1).alias("from_text"), F.col("rank").alias("text_rank"))

@@ -6,6 +6,7 @@ number is divisible by 20) that is matched against all rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from foliant.functions import text as X
 from foliant.functions import vectors as V
 from foliant.operators import chunking, clusters, curation, fulltext, models, retrieval, sessions, similarity
 from foliant.sources import catalog
-from foliant.sources.corpus import knowledge, table, vectors
+from foliant.sources.corpus import CHUNK_SCHEMA, knowledge, table, vectors
 from foliant.sources.scratch import fresh_path, written
+from foliant.sources.store import ChunkStore, near_rows
 from foliant.sources.textindex import TextIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,6 +364,21 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label").orderBy(F.desc("vec_id")).limit(500)
 
 
+@query("ingest_warnings", "with c as (select vec_id, 'doc' || (vec_id // 5) as doc_path, vec_id % 5 as chunk_index, vec_id::varchar as chunk_id, embedding::double[] as v from embeddings), late as (select chunk_id as near_id, v from c qualify row_number() over (order by vec_id desc) <= 500), lead as (select * from c qualify row_number() over (partition by doc_path order by chunk_index, chunk_id) <= 3), p as (select doc_path, chunk_id, near_id, round(list_dot_product(lead.v, late.v), 9) as s from lead join late on chunk_id <> near_id), near as (select * from p where s >= 0.3 qualify row_number() over (partition by doc_path, chunk_id order by s desc, near_id) <= 5) select doc_path, row_number() over (partition by doc_path order by s desc, chunk_id, near_id) as place, chunk_id, near_id, round(s, 6) as similarity from near qualify place <= 5")
+def _(spark, sf):
+    """Five vectors make a document; its first three are compared with the 500 that came last (0.9 and more, what an ingest warns of, occurs in no table here)."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("doc"), F.floor(F.col("vec_id") / 5)).alias("doc_path"), (F.col("vec_id") % 5).alias("chunk_index"), F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
+    found = near_rows(rows, rows.orderBy(F.desc("vec_id")).limit(500), least=0.3)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("tiered_topk", f"with {_VECTORS}, {_SIMILAR} select query_id, id, round(2 - 2 * similarity, 6) as distance from pairs where source_type <> 'session' and id % 10 <> 0 qualify row_number() over (partition by query_id order by similarity desc, id) <= 10")
+def _(spark, sf):
+    """Every tenth vector stands for a summary (tier 1); only leaves are searched."""
+    rows = vectors(spark, sf).withColumn("tier", F.when(F.col("vec_id") % 10 == 0, 1).otherwise(0))
+    return similarity.similar(_base(retrieval.searched(rows, "session", 0)), _vector_queries(rows), k=10).select("query_id", "id", F.round(2 - 2 * F.col("similarity"), 6).alias("distance"))
+
+
 # catalogue
 
 
@@ -407,6 +424,41 @@ def _(spark, sf):
     return knowledge(spark, sf).groupBy("source_type").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_path").alias("n_docs"), F.min("authored_at").alias("oldest"), F.max("authored_at").alias("newest"))
 
 
+@query("tier_stats", f"with {_KNOWLEDGE} select (case when doc_id % 10 = 0 then 1 else 0 end)::int as tier, count(*) as n_rows, count(distinct doc_path) as n_docs from knowledge group by 1")
+def _(spark, sf):
+    return catalog.tier_counts(knowledge(spark, sf).withColumn("tier", F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)))
+
+
+def _store(spark, sf):
+    """A store of one row a document: all but every eleventh come first, then every seventh anew and those left out, while every thirteenth goes."""
+    store, rows = ChunkStore(spark, fresh_path(spark, "store")), knowledge(spark, sf)
+    made = {"chunk_id": F.col("doc_id").cast("string"), "tier": F.lit(0), "chunk_index": F.lit(0), "content_hash": X.content_hash(F.col("text")), "created_at": F.lit(NOW).cast("timestamp_ntz"), "doc_id": X.document_key(F.col("doc_path"))}
+    chunks = rows.withColumn("number", F.col("doc_id")).withColumns(made)
+    chunks = chunks.select("number", *[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
+    entries = lambda some, now: some.select(F.col("doc_path").alias("path"), "content_hash", F.lit(1).alias("chunk_count"), F.lit(BEFORE).alias("ingested_at"), F.lit(now).alias("updated_at"), F.lit(0).alias("retrieval_count"))
+    first, second = chunks.where("number % 11 <> 0"), chunks.where("(number % 7 = 0 or number % 11 = 0) and number % 13 <> 0")
+    store.apply(first, first.select(F.col("doc_path").alias("path")).limit(0), entries(first, BEFORE), ["number"])
+    store.apply(second, chunks.where("number % 13 = 0").select(F.col("doc_path").alias("path")), entries(second, NOW), ["number"])
+    return store
+
+
+_STORED = (
+    f"{_KNOWLEDGE}, f as (select doc_id, doc_path, row_number() over (order by doc_id) - 1 as s from knowledge where doc_id % 11 <> 0), l as (select doc_path, (select count(*) from f) + row_number() over (order by doc_id) - 1 as s from knowledge where (doc_id % 7 = 0 or doc_id % 11 = 0) and doc_id % 13 <> 0), "
+    f"stored as (select doc_path, s as ingest_seq, '{BEFORE}' as updated_at from f where doc_id % 13 <> 0 and doc_id % 7 <> 0 union all select doc_path, s, '{NOW}' from l)"
+)
+
+
+@query("stored_rows", f"with {_STORED} select doc_path, ingest_seq, updated_at from stored")
+def _(spark, sf):
+    store = _store(spark, sf)
+    return store.chunks().select("doc_path", "ingest_seq").join(store.manifest().select(F.col("path").alias("doc_path"), "updated_at"), "doc_path")
+
+
+@query("store_tail", f"with {_STORED} select doc_path, ingest_seq from stored order by ingest_seq desc limit 500")
+def _(spark, sf):
+    return _store(spark, sf).tail(500).select("doc_path", "ingest_seq")
+
+
 #: Each event counts as a retrieval of the document with its user's number.
 _SERVED = f"{_KNOWLEDGE}, r as (select user_id as doc_id, count(*) as retrievals from events group by 1), s as (select doc_path, source_type, len({_words('text')}) as n, coalesce(retrievals, 0) as retrievals from knowledge left join r using (doc_id))"
 
@@ -648,12 +700,27 @@ def _files(spark, sf):
     return knowledge(spark, sf).withColumn("seq", F.col("doc_id"))
 
 
+def _once(function):
+    """What a function makes for a folder is made once in an application."""
+    made = {}
+
+    @functools.wraps(function)
+    def run(spark, sf):
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in made:
+            made[key] = function(spark, sf)
+        return made[key]
+
+    return run
+
+
+@_once
 def _stored(spark, sf):
     """The chunk table of the manifest's files, as a first sync of them wrote it."""
     files = _files(spark, sf)
     gone = files.where(F.col("doc_id") % 13 == 0).withColumn("doc_path", F.concat(F.lit("gone/"), "doc_path"))
     held = files.where(F.col("doc_id") % 7 != 0).unionByName(gone)
-    return catalog.sync(held, _manifest(spark, sf).limit(0), None, BEFORE)[0]
+    return written(catalog.sync(held, _manifest(spark, sf).limit(0), None, BEFORE)[0], "stored")
 
 
 @query("chunk_table")
@@ -663,13 +730,14 @@ def _(spark, sf):
 
 @query("sync_index")
 def _(spark, sf):
-    return catalog.sync(_files(spark, sf), _manifest(spark, sf), _stored(spark, sf), NOW)[0]
+    return _synced(spark, sf)[2]
 
 
+@_once
 def _synced(spark, sf):
     files, before = _files(spark, sf), _manifest(spark, sf)
     chunks, statuses = catalog.sync(files, before, _stored(spark, sf), NOW)
-    return files, before, written(chunks.select("doc_path", "tier", "chunk_index", "content_hash", "source_type"), "chunks"), written(statuses, "statuses")
+    return files, before, written(chunks, "chunks"), written(statuses, "statuses")
 
 
 @query("sync_outcomes")

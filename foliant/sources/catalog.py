@@ -117,6 +117,11 @@ def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, create
     return (fresh if left is None else left.unionByName(fresh)), status
 
 
+def tier_counts(chunks: DataFrame) -> DataFrame:
+    """(tier, n_rows, n_docs) of a chunk table."""
+    return chunks.groupBy("tier").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_path").alias("n_docs"))
+
+
 def without_summaries(chunks: DataFrame) -> DataFrame:
     """The chunk table without its cluster summaries."""
     return chunks.where("tier <> 1")
