@@ -36,23 +36,61 @@ NAMES = {
     "side": "sidebar aside widget related recommended complementary rail popular trending teaser",
     "advert": "ad ads advert advertisement advertising sponsor sponsored promo promotion adsense outbrain taboola",
     "notice": "cookie cookies consent notice gdpr popup modal overlay alert privacy paywall toast disclaimer",
-    "reply": "comment comments commentlist reply replies respond disqus discussion feedback",
+    "reply": "comment comments commentlist reply replies respond disqus discussion feedback thread responses",
     "form": "form subscribe newsletter search login signup register contact",
     "share": "share sharing social follow meta byline tags tag author",
 }
+#: What short or first texts of a part say of it, whatever its names (fixed values).
+SAYS = {
+    "notice": r"\b(?:we|site|website|page|our|accept|allow|by)\b[^.]{0,60}\bcookies\b|cookie (?:policy|settings|consent|preferences|notice)|\bgdpr\b|our privacy policy|we value your privacy|allow notifications",
+    "reply": r"^\W*(?:\d+\s+)?(?:comments?|repl(?:y|ies)|responses?)\b(?:\W*\(?\d+\)?)?\W*$|leave a (?:reply|comment)|join the (?:discussion|conversation)|^\W*(?:show|view|load|add|post) (?:a |all |more )?comments?\b",
+    "advert": r"^\W*(?:advertisement|sponsored|promoted|anzeige|publicidad|publicité)\b|sponsored (?:content|by)|paid (?:content|partnership)|special offer|limited time offer",
+    "side": r"^\W*(?:related|popular|trending|recommended|most read|latest|more from|you may also|you might also|read more|see also|also on)\b",
+    "form": r"subscribe (?:to|now|for)|newsletter|sign up|log ?in\b|enter your e-?mail|your e-?mail address|search this site",
+    "share": r"^\W*(?:share|follow|tweet|posted (?:on|by|in)|filed under|tagged|tags)\b|share (?:this|on)|follow us",
+    "menu": r"^\W*(?:skip to|home|menu|main menu|navigation|table of contents)\W*$",
+}
+_SAYS = {group: re.compile(pattern, re.I) for group, pattern in SAYS.items()}
 _GROUP = {word: group for group, words in NAMES.items() for word in words.split()}
 TAGS = "p h li td div article main nav header footer aside form figure figcaption pre blockquote list table section control body #text".split()
 _TAG = {t: t for t in TAGS} | {f"h{i}": "h" for i in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "menu": "list", "dt": "li", "dd": "li", "th": "td", "tr": "table", "tbody": "table", "button": "control", "select": "control", "option": "control", "fieldset": "form", "legend": "control"}
 PARTS = "article main nav header footer aside form".split()
-FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in [*PARTS, "none"]), *(f"under {g}" for g in [*NAMES, "hidden", "none"]), *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {g}" for g in NAMES), *(f"length {k}" for k in range(5)), *(f"links {k}" for k in range(4)), "sentence", "hidden", "rights", *(f"{t} inside an article" for t in ("header", "footer", "other")), "header outside"])}
+#: Groups that a title names, and characters of a title at most.
+TITLES, TITLE = frozenset("reply side share menu".split()), 60
+#: Characters of a part's first text that are looked at, those of a part that its texts may speak for whole, and what may stand above a longer one.
+SAID, SHORT, HEADED = 160, 500, ("reply", "side")
+CONTROLS = frozenset("button input select option textarea".split())
+FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in [*PARTS, "none"]), *(f"under {g}" for g in [*NAMES, "hidden", "none"]), *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {g}" for g in NAMES), *(f"length {k}" for k in range(5)), *(f"links {k}" for k in range(4)), *(f"says {g}" for g in SAYS), "control inside", "title alone", "title inside", "sentence", "hidden", "rights", *(f"{t} inside an article" for t in ("header", "footer", "other")), "header outside"])}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*>?", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SENTENCE = re.compile(r"[.!?]['\")»”]?(?:\s|$)")
 
 
+#: Raw elements whose text a browser reads to their end tag, or to the end of the page.
+TO_THE_END = frozenset("script style title textarea".split())
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """Names, lower case, and values of a start tag's attributes; of a name that occurs twice the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    """Whether an element is not shown, by its own attributes."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def said(text: str) -> list[str]:
+    """Groups that a text names as its part of a page."""
+    return [group for group, pattern in _SAYS.items() if (len(text) <= TITLE or group not in TITLES) and pattern.search(text)]
+
+
 class Page:
     """Nodes in document order (a parent before its children), the last of them text runs or elements alike."""
 
@@ -64,6 +102,7 @@ class Page:
         self._depths: dict[str, list[int]] = {}  # where in _open each tag stands
         self._buffer: list[str] = []
         self._links = self._in_link = 0
+        self._ends: dict[str, dict[int, int]] = {}
         self._read(source)
 
     def _node(self, tag: str, attributes: str, text: str = "", linked: int = 0) -> int:
@@ -99,6 +138,19 @@ class Page:
             if self._in_link:
                 self._links += len(text.strip())
 
+    def _end_of(self, tag: str, at: int, source: str) -> int | None:
+        """Where the element whose start tag ends at `at` ends; none if it is never closed. Elements of one name lie within each other; found once for a page."""
+        if tag not in self._ends:
+            ends: dict[int, int] = {}
+            open_: list[int] = []
+            for m in re.finditer(f"<(/?){tag}(?=[\\s/>])[^>]*>", source, re.I):
+                if not m[1]:
+                    open_.append(m.end())
+                elif open_:
+                    ends[open_.pop()] = m.end()
+            self._ends[tag] = ends
+        return self._ends[tag].get(at)
+
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
         while at < end:
@@ -113,9 +165,11 @@ class Page:
                 continue
             tag, closing, attributes = tag.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
             if tag in RAW and not closing:
-                if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
+                if tag in TO_THE_END:
                     stop = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
                     at = stop.end() if stop else end
+                elif not attributes.endswith("/"):
+                    at = self._end_of(tag, at, source) or at  # what is never closed holds nothing
                 self._buffer.append(" " if tag not in ("svg", "math") else "")
             elif tag == "a":
                 self._in_link = 0 if closing else 1
@@ -146,6 +200,13 @@ class Page:
             size[p] += size[i]
             linked[p] += linked[i]
             stops[p] |= stops[i]
+        controls, titled, first, alone = [t in CONTROLS for t in self.tag], [t in ("h1", "main") for t in self.tag], [t[:SAID] for t in self.text], [True] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            controls[p] = controls[p] or controls[i]
+            titled[p] = titled[p] or titled[i]
+            if first[i]:  # of the children the first one that has text; whether that has no other
+                first[p], alone[p] = first[i], len(first[i]) == size[i]
         out: list[list[int]] = []
         inside = [False] * n  # of an article or main element
         part, under = ["none"] * n, ["none"] * n  # the nearest telling element above, and the nearest telling name
@@ -166,11 +227,22 @@ class Page:
                 row.append(FEATURES["header outside"])
             if stops[i]:
                 row.append(FEATURES["sentence"])
+            if first[i] and not titled[i] and alone[i]:
+                says = said(first[i])
+                if size[i] > SHORT:  # a heading above a longer part
+                    says = [g for g in says if g in HEADED]
+                row += [FEATURES[f"says {g}"] for g in says]
+                named[i] = says[0] if says else ""
+            if controls[i] and size[i] <= SHORT and not titled[i]:
+                row.append(FEATURES["control inside"])
+            if titled[i] and tag not in ("h1", "main"):
+                row.append(FEATURES["title alone" if alone[i] and len(first[i]) == size[i] else "title inside"])
             if self.attributes[i]:
-                groups = {g for m in _NAMED.finditer(self.attributes[i]) for w in _SPLIT_NAME.findall(m[1] or m[2] or m[3] or "") if (g := _GROUP.get(w.lower()))}
+                held = attributes_of(self.attributes[i])
+                groups = {g for a in ("class", "id", "role") for w in _SPLIT_NAME.findall(held.get(a, "")) if (g := _GROUP.get(w.lower()))}
                 row += [FEATURES[f"name {g}"] for g in sorted(groups)]
-                named[i] = min(groups, key=lambda g: (g == "body", g), default="")
-                if _HIDDEN.search(self.attributes[i]):
+                named[i] = min(groups, key=lambda g: (g == "body", g), default=named[i])
+                if is_hidden(held):
                     row.append(FEATURES["hidden"])
                     named[i] = "hidden"
             if tag == "#text" and ("©" in self.text[i] or "all rights reserved" in self.text[i].lower()) and size[i] < 300:
@@ -306,7 +378,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None, threshold: float =
     empty string. Repeated rows stay, null ids and urls too; an empty table gives an empty result.
     Other columns are not looked at. Pages are read whole; time grows with a page's length, and
     with its nesting depth as far as levels are passed one by one. A tag that is never closed runs to
-    the end of what holds it, a script or style to the end of the page.
+    the end of what holds it, a script, style, title or textarea to the end of the page; any other element whose text is not shown (video, svg and the like) counts only where it is closed.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
