@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Keys that are broadcast at most when rows are dropped: 16 bytes each, about 64 MB in all.
-BROADCAST_KEYS = 4_000_000
+#: Keys that are broadcast at most when rows are dropped (some 100 bytes each in a task's hash table), and bytes of what is broadcast with keys.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,7 +85,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
 def joined_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs joined with keys (doc_id, text_hash, and more): 'left_semi', 'left_anti' or 'inner'; columns of docs, then the others of keys.
 
-    Null ids match each other. Up to BROADCAST_KEYS keys are broadcast, so whole texts are not
+    Null ids match each other. Up to BROADCAST_KEYS keys, and with 'inner' BROADCAST_BYTES of what comes with them, are broadcast, so whole texts are not
     shuffled; beyond that both sides are, and a join's large partitions are left to be split by AQE.
     keys should be staged, for they are counted first.
     """
@@ -94,7 +94,10 @@ def joined_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     side = keys.withColumnsRenamed(names)
     if how != "inner":
         side = side.select(*names.values()).distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    if small and how == "inner":  # what comes with the keys may be of any length
+        small = (side.agg(F.sum(F.length(F.to_json(F.struct(F.lit(0), *side.columns)))).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+    if small:
         side = F.broadcast(side)
     out = marked.join(side, marked[number].eqNullSafe(side[names["doc_id"]]) & (marked[digest] == side[names["text_hash"]]), how)
     return out.drop(number, digest, *names.values())

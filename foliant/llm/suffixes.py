@@ -57,23 +57,33 @@ def selected(hashes: np.ndarray, min_words: int, head: int) -> tuple[np.ndarray,
     return values, places
 
 
+def _places_of(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of each window -> distinct values, and at how many places each stands."""
+    values, places = found
+    order = np.lexsort((places, values))
+    values, places = values[order], places[order]
+    begins = np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+    moved = begins | np.append(True, places[1:] != places[:-1]) if len(values) else begins
+    return values[begins], np.add.reduceat(moved, np.flatnonzero(begins), dtype=np.int64) if len(values) else np.zeros(0, np.int64)
+
+
 def _source(docs: DataFrame) -> DataFrame:
     """doc_id, body, its hash, and row, which stands for the document: a hash of doc_id and text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), text_hash().alias("text_hash")).withColumn("row", F.xxhash64("doc_id", "body"))
 
 
-#: Suffixes that are compared at a time; documents beyond which a head is not brought together.
-COMPARED_ROWS, HOT_DOCUMENTS = 20_000, 1_000
+#: Suffixes that are compared at a time; documents, and places in all of them, beyond which a head is not brought together.
+COMPARED_ROWS, HOT_DOCUMENTS, HOT_PLACES = 20_000, 1_000, 20_000
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20, hot: int = HOT_DOCUMENTS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20, hot: int = HOT_DOCUMENTS, hot_places: int = HOT_PLACES) -> DataFrame:
     """documents -> (row, doc_id, text_hash, spans, removed), one row per document with a repeated passage.
 
     spans: maximal word intervals [start, stop) whose every min_words-word window also occurs
     in another document, in order. removed: the part of them that another document, the one
     with the least `row`, keeps. Words are runs of anything but ASCII white space, compared
-    exactly; windows around heads that more than `hot` documents hold are compared by 64-bit hashes
-    instead. Rows equal in doc_id and text are one document; repeats within a document do
+    exactly; windows around heads that more than `hot` documents hold, or that stand at more than `hot_places`
+    places, are compared by 64-bit hashes instead, so no task holds more suffixes of a head. A document's `row` is a 64-bit hash as well. Rows equal in doc_id and text are one document; repeats within a document do
     not count. Null and empty texts, and texts under min_words words, have no passages. Other
     columns are not looked at.
     """
@@ -84,13 +94,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 51, head: int = 20, hot:
             at = 0
             for texts in grouped(batch.column("body")):
                 hashes, starts = hashed_words(texts)
-                found = [np.unique(selected(hashes[a:b], min_words, head)[0]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                rows = batch.column("row").slice(at, len(texts)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, [len(x) for x in found])), pa.array(np.concatenate(found).view(np.int64))], names=["row", "head"])
+                found = [_places_of(selected(hashes[a:b], min_words, head)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                rows = np.repeat(batch.column("row").slice(at, len(texts)).to_numpy(), [len(x) for x, _ in found])
+                heads, times = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(heads.view(np.int64)), pa.array(times, pa.int64())], names=["row", "head", "times"])
                 at += len(texts)
 
-    suffixes = stage(source.select("row", "body").mapInArrow(select, "row long, head long"), "suffixes")
-    heads = suffixes.groupBy("head").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("n")).where("least <> most").select("head", (F.col("n") > hot).alias("hot"))
+    suffixes = stage(source.select("row", "body").mapInArrow(select, "row long, head long, times long"), "suffixes")
+    heads = suffixes.groupBy("head").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("n"), F.sum("times").alias("times")).where("least <> most").select("head", ((F.col("n") > hot) | (F.col("times") > hot_places)).alias("hot"))
     of = lambda test: F.collect_list(F.when(test, F.col("head")))
     surviving = suffixes.join(heads, "head").groupBy("row").agg(of(~F.col("hot")).alias("heads"), of(F.col("hot")).alias("hot_heads"))
     candidates = source.select("row", "body").join(surviving, "row")

@@ -303,3 +303,34 @@ def test_suffixes_of_hot_and_cool_heads_agree_with_brute_force(spark):
         assert spans == brute_passages(docs, 10)
         wanted = brute_cut((docs, {r["doc_id"]: r["row"] for r in found} | {i: 1 << 70 for i, _ in docs if i not in {r["doc_id"] for r in found}}), 10)
         assert {r["doc_id"]: [p for x in r["removed"] for p in range(x["start"], x["stop"])] for r in found} == {r["doc_id"]: wanted[r["doc_id"]] for r in found}
+
+
+def test_heads_at_many_places(spark):
+    """A passage that few documents repeat at many places each is found without bringing its places together, by hashes, and alike."""
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(60)]
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for i in range(6):
+        words = filler(30)
+        for _ in range(8):
+            words += shared + filler(rng.randint(3, 9))
+        docs.append((i, " ".join(words)))
+    docs += [(10 + i, " ".join(filler(80))) for i in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [sorted((r["doc_id"], r["spans"], r["removed"]) for r in suffixes.repeated_passages(frame, hot_places=n).select("doc_id", "spans", "removed").collect()) for n in (5, 20_000)]
+    assert found[0] == found[1] and len(found[0]) == 6 and all(len(spans) == 8 for _, spans, _ in found[0])
+
+
+def test_rows_joined_with_long_values(spark, monkeypatch):
+    """What is joined to rows is broadcast only within a bound of bytes; the result is the same beyond it."""
+    from foliant.llm import common
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(None, "none")], "doc_id long, text string")
+    keys = docs.where("doc_id % 2 = 0 or doc_id is null").select("doc_id", common.text_hash().alias("text_hash"), F.array_repeat(F.lit("x"), 100).alias("removed"))
+    results = []
+    for bound in (32_000_000, 10):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        joined = common.joined_rows(docs, keys, "inner")
+        results.append((sorted(map(str, joined.collect())), "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()))
+    assert results[0][0] == results[1][0] and len(results[0][0]) == 26 and results[0][1]
