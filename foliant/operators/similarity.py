@@ -3,20 +3,28 @@
 Base rows are dealt into parts and queries into blocks; each part meets each block in one cell,
 where they are compared by matrix products, a few rows at a time, and each query's best k of
 the part are kept. A window over those few rows finishes the job. One plan, one scan of either
-side, however large the query set is. Comparing every query with every row is what exactness costs.
+side, however large the query set is.
+
+With a least similarity, parts are made of rows about pivots, and a query meets only parts that can hold a row
+similar enough: q.b = q.c + q.(b - c) is at most q.c + |q| r for the rows b of a part with centre c and
+radius r. Without one, every query is compared with every row.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Base rows of a cell at most, on average, and those compared at a time.
 PART_ROWS, STEP_ROWS = 100_000, 512
+#: Pivots at least and at most; as many vectors reach the driver.
+FEWEST_PIVOTS, MOST_PIVOTS = 64, 1024
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -46,6 +54,80 @@ def _compare(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, wanted: np
     return names[q], b, s
 
 
+@dataclass(frozen=True)
+class Parts:
+    """centres: pivots x dimensions; radius: of the rows nearest to each; first, splits: the numbers of each pivot's parts."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    splits: np.ndarray
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's pivot and its distance from it."""
+        square = (vectors**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * vectors @ self.centres.T
+        pivot = square.argmin(axis=1)
+        # measured afresh, for a difference of squares loses digits
+        return pivot, np.linalg.norm(vectors - self.centres[pivot], axis=1)
+
+    def within_reach(self, vectors: np.ndarray, least: float) -> list[np.ndarray]:
+        """The parts that may hold a row of at least that similarity, for each vector."""
+        most = vectors @ self.centres.T + np.linalg.norm(vectors, axis=1)[:, None] * self.radius
+        near = (most >= least - 1e-6) & (self.splits > 0)
+        return [np.concatenate([np.arange(f, f + n) for f, n in zip(self.first[row], self.splits[row], strict=True)] or [np.empty(0, np.int64)]).astype(np.int64) for row in near]
+
+
+def _stacked(series: pd.Series) -> np.ndarray:
+    return np.stack(series.tolist()).astype(np.float64) if len(series) else np.empty((0, 1))
+
+
+def about_pivots(rows: DataFrame, parts: int) -> tuple[DataFrame, Parts] | None:
+    """rows (id, vector) with p, the part of each, about as many parts as asked for but no fewer than FEWEST_PIVOTS; none without rows.
+
+    The pivots are rows picked by a hash of their id. Only they, and a count and a radius for each, reach the driver.
+    """
+    wanted = min(MOST_PIVOTS, max(parts, FEWEST_PIVOTS))
+    picked = rows.select("vector").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    if not picked:
+        return None
+    centres = np.unique(np.array([r["vector"] for r in picked], np.float64), axis=0)
+    none = np.zeros(len(centres), np.int64)
+    held = Parts(centres, none.astype(float), none, none)
+
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        pivot, distance = held.nearest(_stacked(vectors))
+        return pd.DataFrame({"pivot": pivot.astype(np.int32), "distance": distance})
+
+    placed = rows.withColumn("x", F.pandas_udf(place, "pivot int, distance double")(F.col("vector"))).select(*rows.columns, "x.pivot", "x.distance")
+    sizes = {r["pivot"]: (r["n"], r["radius"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
+    counts, radius = (np.array([sizes.get(k, (0, 0.0))[i] for k in range(len(centres))]) for i in (0, 1))
+    splits = -(-counts // PART_ROWS)
+    first = np.cumsum(splits) - splits
+    # a pivot's rows are dealt over its parts by a hash
+    numbers = F.get(F.array(*[F.struct(F.lit(int(a)).alias("first"), F.lit(max(1, int(n))).alias("splits")) for a, n in zip(first, splits, strict=True)]), F.col("pivot"))
+    part = (numbers["first"] + F.pmod(F.xxhash64("id"), numbers["splits"])).cast("int")
+    return placed.withColumn("p", part).select(*rows.columns, "p"), Parts(centres, radius.astype(float), first.astype(np.int64), splits.astype(np.int64))
+
+
+def _reaching(asked: DataFrame, parts: Parts, least: float) -> DataFrame:
+    """asked once for each part in reach."""
+
+    def reach(vectors: pd.Series) -> pd.Series:
+        return pd.Series(parts.within_reach(_stacked(vectors), least), dtype=object)
+
+    return asked.withColumn("p", F.explode(F.pandas_udf(reach, "array<int>")(F.col("vector"))))
+
+
+def cells_met(base: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """One row: queries, parts, and of the meetings of a query and a part those that similar() would not leave out (met, of all)."""
+    rows = base.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.where("vector is not null").select(F.col("vector").cast("array<double>").alias("vector"))
+    dealt = about_pivots(rows, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = int(dealt[1].splits.sum()) if dealt else 0
+    met = _reaching(asked, dealt[1], least).agg(F.count("*").alias("met")) if dealt else asked.limit(0).agg(F.count("*").alias("met"))
+    return asked.agg(F.count("*").alias("queries")).crossJoin(met).select("queries", F.lit(n_parts).alias("parts"), "met", (F.col("queries") * n_parts).alias("of"))  # one row each
+
+
 def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = 8192, group: str | None = None) -> DataFrame:
     """base (id, vector), queries (query_id, vector) -> (query_id, id, similarity), dot products rounded to 9 places.
 
@@ -62,8 +144,11 @@ def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: fl
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PART_ROWS))
     blocks = max(1, math.ceil(asked.count() / block))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("q", each(blocks))
-    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", each(parts))
+    dealt = about_pivots(rows, parts) if least is not None and group is None else None
+    placed = dealt[0] if dealt else rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    left = placed.withColumn("q", each(blocks))
+    numbered = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    right = _reaching(numbered, dealt[1], least) if dealt else numbered.withColumn("p", each(parts))
 
     def run(some: pa.Table, block_rows: pa.Table) -> pa.Table:
         names = ("query_id", "id", "similarity")
@@ -82,7 +167,7 @@ def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: fl
 
 def nearest(base: DataFrame, queries: DataFrame, gate: float = 0.4, group: str | None = None) -> DataFrame:
     """Each query's single nearest row, if it is at least as similar as the gate."""
-    return similar(base, queries, k=1, group=group).where(F.col("similarity") >= gate)
+    return similar(base, queries, k=1, least=gate, group=group)
 
 
 def near_duplicates(base: DataFrame, queries: DataFrame, least: float = 0.9, first: int = 5, group: str = "doc_path") -> DataFrame:
@@ -90,6 +175,7 @@ def near_duplicates(base: DataFrame, queries: DataFrame, least: float = 0.9, fir
 
     The first `first` rows at or above `least` for a document, by query_id and falling similarity, ties by id.
     """
-    found = similar(base, queries, least=least).join(queries.select(group, "query_id"), "query_id")
+    # of one query no more than `first` can be among the first of its document
+    found = similar(base, queries, k=first, least=least).join(queries.select(group, "query_id"), "query_id")
     place = F.row_number().over(Window.partitionBy(group).orderBy("query_id", F.desc("similarity"), "id"))
     return found.withColumn("place", place).where(F.col("place") <= first).select(group, "place", "query_id", "id", "similarity")
