@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.functions import vectors as V
 from foliant.operators import chunking, clusters, curation, fulltext, models, retrieval, sessions, similarity
-from foliant.sources import catalog
+from foliant.sources import catalog, memory
 from foliant.sources.corpus import CHUNK_SCHEMA, knowledge, table, vectors
 from foliant.sources.scratch import fresh_path, written
 from foliant.sources.store import ChunkStore, near_rows
@@ -651,6 +651,13 @@ def _(spark, sf):
     return sessions.consolidated(rows.select(X.session_project(F.col("doc_path")).alias("project"), "doc_path", "text"))
 
 
+@query("pruned_sources", f"with {_REPORTS} select project, doc_path as path from u where status <> 'pending' and regexp_matches(doc_path, '^repos/[^/]+/research/sessions/[^/]*[.]md$')")
+def _(spark, sf):
+    """Sessions that leave the store with the coming of their projects' notes."""
+    files = knowledge(spark, sf).select(F.col("doc_path").alias("path"), "text", F.col("authored_at").alias("modified"))
+    return memory.consolidate_sessions(_store(spark, sf), files, NOW)[2]
+
+
 @query("consolidation")
 def _(spark, sf):
     rows = knowledge(spark, sf).where("source_type = 'session'").select(X.session_project(F.col("doc_path")).alias("project"), "doc_path", "text")
