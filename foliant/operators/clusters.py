@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 
-from . import models
+from foliant.sources.scratch import written
+
+from . import curation, models, similarity
 
 CUT, LEAST, MOST_CHUNKS = 0.8, 3, 15
 
 
-def average_linkage(vectors: np.ndarray, cut: float = CUT) -> np.ndarray:
-    """Cluster number of each vector, numbered by first member.
+def merges(vectors: np.ndarray, most: float = CUT) -> list[tuple[int, int, float]]:
+    """The dendrogram up to a height: (first member of one cluster, first member of the other, mean distance), the smaller number first.
 
     Chains of nearest neighbours: on unit vectors the mean distance of two clusters follows from their sums, so
     memory is that of the vectors and time the square of their number. A cluster whose nearest one
-    is beyond the cut can never merge again, for mean distances do not fall below those they are made of.
+    is beyond the height can never merge again, for mean distances do not fall below those they are made of.
     """
     n = len(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     sums = vectors / np.where(norms == 0, 1, norms)
-    size, member, active = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, active, out = np.ones(n), np.ones(n, bool), []
     chain: list[int] = []
     while active.sum() > 1:
         if not chain:
@@ -38,22 +40,36 @@ def average_linkage(vectors: np.ndarray, cut: float = CUT) -> np.ndarray:
         if len(chain) > 1 and distance[chain[-2]] <= distance[near]:
             near = chain[-2]
         if len(chain) < 2 or near != chain[-2]:
-            if distance[near] > cut and len(chain) == 1:
+            if distance[near] > most and len(chain) == 1:
                 active[tip] = False
                 chain.clear()
             else:
                 chain.append(near)
             continue
         del chain[-2:]
-        if distance[near] > cut:
+        if distance[near] > most:
             active[[tip, near]] = False
             continue
         i, j = sorted((tip, near))
+        out.append((i, j, float(distance[near])))
         sums[i] += sums[j]
         size[i] += size[j]
         active[j] = False
-        member[member == j] = i
-    return np.unique(member, return_inverse=True)[1]
+    return out
+
+
+def cut_at(n: int, made: list[tuple[int, int, float]], cut: float) -> np.ndarray:
+    """Cluster number of each of n members, numbered by first member, after the merges that are no higher than the cut."""
+    up = np.arange(n)
+    for i, j, height in made:
+        if height <= cut:
+            up[up == up[j]] = up[i]
+    return np.unique(up, return_inverse=True)[1]
+
+
+def average_linkage(vectors: np.ndarray, cut: float = CUT) -> np.ndarray:
+    """Cluster number of each vector, numbered by first member."""
+    return cut_at(len(vectors), merges(vectors, cut), cut)
 
 
 def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -113,17 +129,76 @@ def rebuilt(chunks: DataFrame, created_at: str, cut: float = CUT, least: int = L
     return leaves.unionByName(made.withColumns(row).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in chunks.schema]))
 
 
-def sweep(rows: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
-    """rows as for clusters() -> (cut, least, n_clusters, n_chunks, n_docs) for each (cut, least): what each setting would summarise, in one pass over the vectors."""
+def dendrograms(rows: DataFrame, most: float, least: int = LEAST) -> DataFrame:
+    """rows as for clusters() -> (doc_path, places, merges), the whole tree of each document up to a height: one pass over the vectors, whatever is cut later.
+
+    places: the chunks in order; merges: (one, other, height), by their place from 0. Sessions and documents under `least` chunks are left out.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(group.sort_values("chunk_index")["vector"]).astype(np.float64)
-        sizes = {cut: np.bincount(average_linkage(vectors, cut)) for cut in {cut for cut, _ in settings}}
-        kept = [(cut, least, sizes[cut][sizes[cut] >= least]) for cut, least in settings if len(vectors) >= least]
-        return pd.DataFrame([(cut, least, len(x), int(x.sum())) for cut, least, x in kept], columns=["cut", "least", "n_clusters", "n_chunks"])
+        group = group.sort_values("chunk_index")
+        made = merges(np.stack(group["vector"]).astype(np.float64), most)
+        return pd.DataFrame({"doc_path": [group["doc_path"].iloc[0]], "places": [group["chunk_index"].tolist()], "merges": [[{"one": i, "other": j, "height": h} for i, j, h in made]]})
 
-    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", "chunk_index", "vector")
+    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", F.col("chunk_index").cast("long").alias("chunk_index"), "vector")
     size = F.count("*").over(Window.partitionBy("doc_path"))
-    wanted = wanted.withColumn("n", size).where(F.col("n") >= min(least for _, least in settings)).drop("n")
-    counted = wanted.groupBy("doc_path").applyInPandas(run, "cut double, least int, n_clusters long, n_chunks long")
-    return counted.groupBy("cut", "least").agg(F.sum("n_clusters").alias("n_clusters"), F.sum("n_chunks").alias("n_chunks"), F.count_if(F.col("n_clusters") > 0).alias("n_docs"))
+    wanted = wanted.withColumn("n", size).where(F.col("n") >= least).drop("n")
+    return wanted.groupBy("doc_path").applyInPandas(run, "doc_path string, places array<long>, merges array<struct<one: int, other: int, height: double>>")
+
+
+def cuts(trees: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
+    """dendrograms() -> (cut, least, doc_path, chunk_index, cluster) of the chunks that each (cut, least) puts into a cluster of `least` or more."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                made = [(m["one"], m["other"], m["height"]) for m in row.merges]
+                found = {cut: cut_at(len(row.places), made, cut) for cut in {cut for cut, _ in settings}}
+                for cut, least in settings:
+                    kept = np.bincount(found[cut])[found[cut]] >= least
+                    out += [(cut, least, row.doc_path, place, int(c)) for place, c, k in zip(row.places, found[cut], kept, strict=True) if k]
+            yield pd.DataFrame(out, columns=["cut", "least", "doc_path", "chunk_index", "cluster"])
+
+    return trees.mapInPandas(run, "cut double, least int, doc_path string, chunk_index long, cluster long")
+
+
+def sweep(rows: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
+    """rows as for clusters() -> (cut, least, n_clusters, n_chunks, n_docs) for each (cut, least): what each setting would summarise, from one tree a document."""
+    trees = dendrograms(rows, max(cut for cut, _ in settings), min(least for _, least in settings))
+    own = cuts(trees, settings).groupBy("cut", "least", "doc_path", "cluster").agg(F.count("*").alias("n"))
+    counted = own.groupBy("cut", "least", "doc_path").agg(F.count("*").alias("clusters"), F.sum("n").alias("chunks"))
+    return _every(settings, rows).join(counted, ["cut", "least"], "left").groupBy("cut", "least").agg(F.coalesce(F.sum("clusters"), F.lit(0)).alias("n_clusters"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_chunks"), F.count("doc_path").alias("n_docs"))
+
+
+def _every(settings: list[tuple[float, int]], rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows.sparkSession.createDataFrame(settings, "cut double, least int"))
+
+
+def scored_sweep(rows: DataFrame, queries: DataFrame, settings: list[tuple[float, int]], k: int = 5, summarizer: Callable[[Column], Column] = models.extract_summary, embedder: Callable[[Column], Column] = models.embed) -> DataFrame:
+    """rows (chunk_id, doc_path, chunk_index, source_type, text, vector), queries (query_id, vector, expected_file, expected_text) -> (cut, least, summaries, and the measures of evaluated()).
+
+    Each setting's summaries are searched together with the leaves, by vectors, and its k best rows of each query are judged. A row with a null
+    setting is the search of the leaves alone. Leaves are searched once, and every document's tree is built once, for all settings.
+    """
+    trees = dendrograms(rows, max(cut for cut, _ in settings), min(least for _, least in settings))
+    texts = rows.select("doc_path", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+    member = F.struct("chunk_index", "text")
+    gathered = cuts(trees, settings).join(texts, ["doc_path", "chunk_index"]).groupBy("cut", "least", "doc_path", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"))
+    made = gathered.select("cut", "least", "doc_path", summarizer(F.col("m.text")).alias("text"), F.xxhash64("cut", "least", "doc_path", "cluster").alias("id")).where(F.length("text") >= 20)
+    made = written(made.withColumn("vector", embedder(F.col("text"))).withColumn("setting", F.concat_ws("|", "cut", "least")), "summaries")
+    asked = queries.select("query_id", "vector")
+    leaves = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select(F.xxhash64("chunk_id").alias("id"), "doc_path", "text", "vector")
+    near = similarity.similar(leaves, asked, k=k).join(leaves.select("id", "doc_path", "text"), "id")
+    every = rows.sparkSession.createDataFrame([(f"{cut}|{least}", cut, least) for cut, least in settings], "setting string, cut double, least int")
+    alone = F.array(F.lit(None).cast("string"), *[F.lit(f"{cut}|{least}") for cut, least in settings])
+    found = near.select("query_id", "id", "similarity", "doc_path", "text", F.explode(alone).alias("setting"))
+    names = F.explode(F.array(*[F.lit(f"{cut}|{least}") for cut, least in settings]))
+    high = similarity.similar(made, asked.select("query_id", "vector", names.alias("setting")).withColumn("query_id", F.col("query_id")), k=k, group="setting", per_group=True)
+    high = high.join(made.select("id", "doc_path", "text", "setting"), "id").select("query_id", "id", "similarity", "doc_path", "text", "setting")
+    rank = F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("similarity"), "id"))
+    ranked = found.unionByName(high).withColumn("rank", rank).where(F.col("rank") <= k)
+    judged = curation.evaluated(ranked, queries, "setting")
+    sizes = made.groupBy("setting").agg(F.count("*").alias("summaries"))
+    named = judged.join(F.broadcast(every), "setting", "left").join(sizes, "setting", "left")
+    return named.select("cut", "least", F.coalesce("summaries", F.lit(0)).alias("summaries"), *[c for c in judged.columns if c != "setting"])

@@ -64,14 +64,14 @@ def bloated(merged: Column, existing: Column, new: Column) -> Column:
     return (merged > F.greatest(F.lit(BLOAT_FACTOR) * existing, F.lit(BLOAT_FLOOR))) & (merged > existing + new)
 
 
-def _measures(ranked: DataFrame, text_match: Column) -> DataFrame:
-    """(rank: null without a hit) per query -> n, hit_1, hit_3, hit_5, mrr, text_match_1, composite."""
+def _measures(ranked: DataFrame, text_match: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(rank: null without a hit) per query -> by, n, hit_1, hit_3, hit_5, mrr, text_match_1, composite."""
     share = lambda test: F.coalesce(F.avg(F.when(test, 1.0).otherwise(0.0)), F.lit(0.0))
     hits = [share(F.col("rank") <= k).alias(f"hit_{k}") for k in (1, 3, 5)]
     mean = F.coalesce(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), F.lit(0.0))
-    measured = ranked.agg(F.count("*").alias("n"), *hits, mean.alias("mrr"), share((F.col("rank") == 1) & text_match).alias("text_match_1"))
+    measured = (ranked.groupBy(*by) if by else ranked).agg(F.count("*").alias("n"), *hits, mean.alias("mrr"), share((F.col("rank") == 1) & text_match).alias("text_match_1"))
     composite = 0.4 * F.col("mrr") + 0.3 * F.col("hit_1") + 0.3 * F.col("text_match_1")
-    return measured.select("n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr", "text_match_1")], F.round(composite, 6).alias("composite"))
+    return measured.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "mrr", "text_match_1")], F.round(composite, 6).alias("composite"))
 
 
 def ranked_metrics(results: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
@@ -84,16 +84,22 @@ def ranked_metrics(results: DataFrame, expected: DataFrame, queries: DataFrame)
     return _measures(queries.select("query_id").join(first, "query_id", "left"), F.lit(True))
 
 
-def evaluated(results: DataFrame, queries: DataFrame) -> DataFrame:
+def evaluated(results: DataFrame, queries: DataFrame, by: str | None = None) -> DataFrame:
     """results (query_id, rank, doc_path, text), queries (query_id, expected_file, expected_text) -> the measures of ranked_metrics().
 
     A result is a hit if its path holds expected_file, and the first one counts; its text matches if it
     is the best result and holds expected_text in any case. An empty expected text always matches.
+    by: a column of results that tells several searches apart (null is one as well), each of which has a row.
     """
     asked = queries.select("query_id", "expected_file", F.lower(F.coalesce("expected_text", F.lit(""))).alias("expected_text"))
     hits = results.join(asked, "query_id").where(F.contains("doc_path", "expected_file"))
-    first = hits.groupBy("query_id").agg(F.min(F.struct("rank", F.contains(F.lower("text"), F.col("expected_text")).alias("matches"))).alias("first")).select("query_id", "first.*")
-    return _measures(asked.select("query_id").join(first, "query_id", "left"), F.coalesce("matches", F.lit(False)))
+    if by is None:
+        first = hits.groupBy("query_id").agg(F.min(F.struct("rank", F.contains(F.lower("text"), F.col("expected_text")).alias("matches"))).alias("first")).select("query_id", "first.*")
+        return _measures(asked.select("query_id").join(first, "query_id", "left"), F.coalesce("matches", F.lit(False)))
+    best = hits.groupBy(by, "query_id").agg(F.min(F.struct("rank", F.contains(F.lower("text"), F.col("expected_text")).alias("matches"))).alias("first")).select(F.col(by).alias("of"), F.col("query_id").alias("for"), "first.*")
+    every = results.select(by).distinct().crossJoin(asked.select("query_id"))  # a few searches, each with all queries
+    ranked = every.join(best, F.col(by).eqNullSafe(F.col("of")) & (F.col("query_id") == F.col("for")), "left")
+    return _measures(ranked, F.coalesce("matches", F.lit(False)), (by,))
 
 
 def holders(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -128,12 +128,13 @@ def cells_met(base: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     return asked.agg(F.count("*").alias("queries")).crossJoin(met).select("queries", F.lit(n_parts).alias("parts"), "met", (F.col("queries") * n_parts).alias("of"))  # one row each
 
 
-def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = 8192, group: str | None = None) -> DataFrame:
+def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = 8192, group: str | None = None, per_group: bool = False) -> DataFrame:
     """base (id, vector), queries (query_id, vector) -> (query_id, id, similarity), dot products rounded to 9 places.
 
     With k, each query's best k (ties by id); with least, only those at or above it: without
     k, that is every such pair. A row is never its own neighbour: pairs with query_id = id are
-    left out. Null vectors are skipped. With a group column on both sides, only rows of one group meet.
+    left out. Null vectors are skipped. With a group column on both sides, only rows of one group meet;
+    per_group: a query that is in several groups has its best k in each (ids must then tell the groups apart).
     """
     within = [group] if group else []
     own = [F.col(c).alias(c) for c in within]  # columns of its own, as both sides may come from one table
@@ -158,6 +159,18 @@ def similar(base: DataFrame, queries: DataFrame, k: int | None = None, least: fl
         return pa.table([pa.array(x) for x in found], names=names)
 
     cell = [*within, "p", "q"]
+    kept = [group] if group and per_group else []
+    named = {c: left.schema[c].dataType.simpleString() for c in kept}
+
+    def within_group(key: tuple, some: pa.Table, block_rows: pa.Table) -> pa.Table:
+        found = run(some, block_rows)
+        return found.append_column(group, pa.array([key[0].as_py()] * len(found), pa.string()))
+
+    if kept:
+        schema = f"query_id long, id long, similarity double, {group} {named[group]}"
+        found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(within_group, schema)
+        best = Window.partitionBy(group, "query_id").orderBy(F.desc("similarity"), "id")
+        return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query_id", "id", "similarity")
     out = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, "query_id long, id long, similarity double")
     if k is None:
         return out

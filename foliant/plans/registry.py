@@ -776,6 +776,14 @@ def _(spark, sf):
     return clusters.sweep(_chunked(spark, sf), [(0.4, 3), (0.5, 3), (0.6, 3), (0.7, 3), (0.8, 3), (1.0, 3), (0.6, 2), (0.6, 5), (0.8, 2), (0.8, 5)])
 
 
+@query("scored_sweep")
+def _(spark, sf):
+    """Questions are the texts of every twentieth document's first chunk; that document is what they ask for."""
+    rows = written(_chunked(spark, sf), "chunked")
+    first = rows.where("chunk_index = 0").select(F.regexp_extract("doc_path", "doc([0-9]+)[.]md$", 1).cast("long").alias("query_id"), "vector", F.regexp_extract("doc_path", "doc[0-9]+[.]md$", 0).alias("expected_file"), F.lit("").alias("expected_text"))
+    return clusters.scored_sweep(rows, first.where(F.col("query_id") % QUERY_STEP == 0), [(0.4, 3), (0.6, 3), (0.8, 3), (0.8, 5)])
+
+
 @query("embed_documents", f"with e0 as (select doc_id, {_places('text')} as ps from documents), e as (select doc_id, {_COUNTS} as c from e0), v as (select doc_id, {_UNIT} as v from e) select doc_id, array_to_string(list_transform(v, lambda x: round(x * 10000)::int), ',') as vector from v")
 def _(spark, sf):
     vector = F.transform(models.embed("text"), lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string"))
