@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 BUCKETS = 1 << 14
-#: Labels under which countries register names at the third level (fixed values).
-REGISTRIES = "ac ad asn co com csiro ed edu firm gen go gob gouv gov gv id info jus law ltd me mil mod muni net nhs nic nom or org plc police press pro res sch tm web".split()
+#: Labels under which most countries that do so register names at the third level, and those of single countries (fixed values).
+REGISTRIES = "ac co com edu gov mil net org".split()
+OF_COUNTRIES = {"ar": "gob int", "at": "gv or", "au": "asn id", "bo": "gob", "cl": "gob", "es": "gob nom", "fr": "asso gouv nom tm", "hu": "info", "id": "go or web", "il": "muni", "it": "gov", "jp": "ad ed go gr lg ne or", "ke": "go ne or", "kr": "go ne or re", "mx": "gob", "nz": "gen iwi school", "pe": "gob nom", "pl": "info", "ro": "info nom", "th": "go in mi or", "tr": "bel gen web", "tz": "go ne or", "uk": "ltd me nhs plc police sch", "ve": "gob web", "za": "law nom school web"}
 _SKIP = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1[^>]*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 
 
@@ -96,6 +97,10 @@ def _added(*columns: Column) -> Column:
     return total
 
 
+#: The name that someone registered: under a registry's label, or under the suffix.
+_DOMAIN = rf"[^.]+\.(?:(?:{'|'.join(REGISTRIES)})\.[a-z]{{2}}" + "".join(rf"|(?:{'|'.join(names.split())})\.{country}" for country, names in OF_COUNTRIES.items()) + r")$|[^.]+\.[^.]+$|^[^.]+$"
+
+
 def page_evidence(pages: DataFrame, model: TextModel, trust: int) -> DataFrame:
     """pages -> staged page_id, url, host, domain, suffix, declared, text (log likelihoods), soft (their softmax)."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
@@ -109,12 +114,12 @@ def page_evidence(pages: DataFrame, model: TextModel, trust: int) -> DataFrame:
     host = F.regexp_replace(host, r"\.$", "")
     number = host.rlike(r"^\[|^[0-9.]+$")  # an address in numbers has no domain above it
     known = F.array(*[F.lit(x) for x in model.languages])
-    said = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    said = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html(?=\s)[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     cut = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         host.alias("host"),
-        F.when(number, host).otherwise(F.regexp_extract(host, r"[^.]+\.(?:" + "|".join(REGISTRIES) + r")\.[a-z]{2}$|[^.]+\.[^.]+$|^[^.]+$", 0)).alias("domain"),
+        F.when(number, host).otherwise(F.regexp_extract(host, _DOMAIN, 0)).alias("domain"),
         F.when(number, "").otherwise(F.regexp_extract(host, r"([^.]*)$", 1)).alias("suffix"),
         F.when(said == "", "").when(F.array_contains(known, said), said).otherwise("other").alias("declared"),
         "html",
@@ -150,7 +155,7 @@ def page_languages(pages: DataFrame, docs: DataFrame, per_language: int = 1000,
     overall = evidence.agg(*[F.sum(F.get("soft", F.lit(i))).alias(f"n{i}") for i in range(n)]).first()
     total = [float(x or 0.0) for x in overall]
     share = F.array(*[F.lit((x + smoothing) / (sum(total) + n * smoothing)) for x in total])
-    per_language = F.array(*[F.lit(x) for x in total])
+    by_language = F.array(*[F.lit(x) for x in total])
 
     def less_own(counts: Column | str) -> Column:
         return F.zip_with(counts, "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
@@ -167,7 +172,7 @@ def page_languages(pages: DataFrame, docs: DataFrame, per_language: int = 1000,
         sums = _sums(evidence, key, f"{key}_n", n)
         values = max(sums.count(), 1)
         joined = joined.join(sums, key)
-        reliable.append(log_chance(less_own(f"{key}_n"), less_own(per_language), values))
+        reliable.append(log_chance(less_own(f"{key}_n"), less_own(by_language), values))
     for key in ("domain", "host"):
         joined = joined.join(_sums(evidence, key, f"{key}_n", n), key)
     priors = joined.withColumn("domain_p", leaning(less_own("domain_n"), share)).withColumn("host_p", leaning(less_own("host_n"), F.col("domain_p")))
