@@ -13,6 +13,7 @@ from foliant.operators import chunking, curation, models
 
 from .corpus import CHUNK_SCHEMA
 from .pointer import Pointer
+from .scratch import written
 
 #: A text's vector, and a line about a chunk from its document and its text.
 Embedder = Callable[[Column], Column]
@@ -100,20 +101,36 @@ def chunk_rows(files: DataFrame, created_at: str, version: str = "1.0.0", embedd
     )
 
 
-def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, created_at: str, embedder: Embedder = models.embed, context: Context | None = None) -> tuple[DataFrame, DataFrame]:
+def digests(files: DataFrame) -> DataFrame:
+    """files (doc_path, text, …) with content_hash instead of text, written once: all that diffs, manifests and outcomes need of a text.
+
+    Files are dealt by their path, for a table's files may hold very many in one row group, which is one task's.
+    """
+    rest = [c for c in files.columns if c != "text"]
+    return written(files.select(*rest, "text").repartition("doc_path").select(*rest, X.content_hash(F.col("text")).alias("content_hash")), "digests")
+
+
+def _digest(files: DataFrame) -> Column:
+    """The hash of a file: that of digests(), or else its text's."""
+    return F.col("content_hash") if "content_hash" in files.columns else X.content_hash(F.col("text"))
+
+
+def sync(files: DataFrame, manifest: DataFrame, stored: DataFrame | None, created_at: str, embedder: Embedder = models.embed, context: Context | None = None, hashed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files (doc_path, source_type, text, authored_at, seq), manifest (path, content_hash), stored chunks -> (chunks, statuses).
 
     Deleted and modified documents lose their rows before the new and modified ones come in,
     so a renamed file is no copy of itself. A backslash in a path counts as a slash, on every side.
+    hashed: digests() of the files, if they are there. Statuses and the new files' chunks are written on the way, so each is made once.
     """
     files = files.withColumn("doc_path", X.slashes(F.col("doc_path")))
     stored = stored if stored is None else stored.withColumn("doc_path", X.slashes(F.col("doc_path")))
-    hashed = files.select(F.col("doc_path").alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
-    status = curation.diff(hashed, manifest)
+    hashed = digests(files.select("doc_path", "text")) if hashed is None else hashed
+    status = written(curation.diff(hashed.select(F.col("doc_path").alias("path"), "content_hash"), manifest), "statuses")
     gone = status.where("status in ('deleted', 'modified', 'new')").select("path")
     left = curation.without_paths(stored, gone) if stored is not None else None
     wanted = files.join(status.where("status in ('new', 'modified')").select(F.col("path").alias("doc_path")), "doc_path", "left_semi")
-    fresh = curation.with_donors(chunk_rows(wanted, created_at, embedder=embedder, context=context), left).where("kept").select(*CHUNK_SCHEMA.names)
+    rows = written(chunk_rows(wanted, created_at, embedder=embedder, context=context), "rows")
+    fresh = curation.with_donors(rows, left).where("kept").select(*CHUNK_SCHEMA.names)
     return (fresh if left is None else left.unionByName(fresh)), status
 
 
@@ -131,10 +148,10 @@ def sync_manifest(files: DataFrame, manifest: DataFrame, chunks: DataFrame, stat
     """The manifest after sync(): (path, content_hash, chunk_count, ingested_at, updated_at, retrieval_count).
 
     manifest: the one before, whose times and counts stay where a file is unchanged; a file that was
-    modified keeps its first ingest. Deleted files and files without a chunk of their own are left out.
+    modified keeps its first ingest. Deleted files and files without a chunk of their own are left out. files: as for sync(), or their digests().
     """
     counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
-    hashed = files.select(X.slashes(F.col("doc_path")).alias("path"), X.content_hash(F.col("text")).alias("content_hash"))
+    hashed = files.select(X.slashes(F.col("doc_path")).alias("path"), _digest(files).alias("content_hash"))
     before = manifest.select(X.slashes(F.col("path")).alias("path"), *[(F.col(c) if c in manifest.columns else F.lit(None).cast(kind)).alias(f"old_{c}") for c, kind in (("ingested_at", "string"), ("updated_at", "string"), ("retrieval_count", "int"))])
     joined = hashed.join(counted, "path").join(statuses, "path").join(before, "path", "left")
     same = F.col("status") == "unchanged"
@@ -156,10 +173,11 @@ def without_files(chunks: DataFrame, manifest: DataFrame, paths: DataFrame) -> t
 def file_statuses(files: DataFrame, statuses: DataFrame, chunks: DataFrame) -> DataFrame:
     """sync()'s outcome for each file: (path, status, chunks): ingested, all_chunks_duplicate, empty, unchanged, pruned or error.
 
-    A file that could not be read has a null text and is an error.
+    A file that could not be read has a null text and is an error. files: as for sync(), or their digests().
     """
     counted = chunks.where("tier = 0").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").alias("chunks"))
-    texts = files.select(X.slashes(F.col("doc_path")).alias("path"), F.col("text").isNull().alias("unread"), (F.size(X.words(F.col("text"))) == 0).alias("blank"))
+    texts = files.select(X.slashes(F.col("doc_path")).alias("path"), _digest(files).alias("digest"))
+    texts = texts.select("path", F.col("digest").isNull().alias("unread"), (F.col("digest") == X.content_hash(F.lit(""))).alias("blank"))
     joined = statuses.join(counted, "path", "left").join(texts, "path", "left")
     outcome = F.when(F.col("status") == "deleted", "pruned").when(F.col("unread"), "error").when(F.col("status") == "unchanged", "unchanged").when(F.col("blank"), "empty").when(F.col("chunks") > 0, "ingested").otherwise("all_chunks_duplicate")
     return joined.select("path", outcome.alias("status"), F.when(F.col("status") == "deleted", 0).otherwise(F.coalesce("chunks", F.lit(0))).alias("chunks"))
