@@ -1,16 +1,21 @@
 """Markdown chunks with headings, code fences kept whole, overlap, and offsets into the source.
 
-Splitting carries an overlap from chunk to chunk, so it runs as a pandas UDF over whole texts;
-everything after it is DataFrame work.
+Splitting carries an overlap from chunk to chunk, so it runs in Python over whole texts, a few at a
+time; everything after it is DataFrame work.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliant.functions import text as X
 
@@ -18,7 +23,9 @@ MAX_TOKENS, OVERLAP_RATIO, MIN_SECTION_TOKENS = 256, 0.35, 10
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 _FENCE = re.compile(r"^```", re.M)
-CHUNK = "struct<text:string,heading:string,chunk_index:int,char_start:int,char_end:int,token_count:int>"
+CHUNK = "text string, heading string, chunk_index int, char_start int, char_end int, token_count int"
+#: Bytes of texts that are split at a time, but for single texts.
+SLICE_BYTES = 1 << 20
 
 
 def tokens(text: str) -> int:
@@ -87,13 +94,34 @@ def chunk_text(text: str | None, limit: int = MAX_TOKENS, ratio: float = OVERLAP
     return out
 
 
-def chunks(docs: DataFrame, limit: int = MAX_TOKENS, ratio: float = OVERLAP_RATIO, least: int = MIN_SECTION_TOKENS) -> DataFrame:
-    """Rows with doc_path and text -> their other columns with text, heading, chunk_index, char_start, char_end, token_count and content_hash of each chunk."""
+def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows, each of about so many bytes at most or a single larger row more."""
+    runs = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.diff(runs, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(np.append(starts, len(sizes))).tolist(), strict=True)
+
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, limit, ratio, least))
+def chunks(docs: DataFrame, limit: int = MAX_TOKENS, ratio: float = OVERLAP_RATIO, least: int = MIN_SECTION_TOKENS) -> DataFrame:
+    """Rows with doc_path and text -> their other columns with text, heading, chunk_index, char_start, char_end, token_count and content_hash of each chunk.
 
+    Documents are dealt by their path, for a table's files may hold very many in one row group, which is one task's.
+    """
     rest = [c for c in docs.columns if c != "text"]
-    cut = docs.select(*rest, F.explode(split("text")).alias("chunk")).select(*rest, "chunk.*")
+    piece = T.StructType.fromDDL(CHUNK)
+    made = T.StructType([*docs.select(*rest).schema.fields, *piece.fields])
+
+    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(piece)
+        for part in parts:
+            texts = part.column("text")
+            for at, n in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                cut = [chunk_text(t, limit, ratio, least) for t in texts.slice(at, n).to_pylist()]
+                flat = [c for some in cut for c in some]
+                if not flat:
+                    continue
+                owner = pa.array(np.repeat(np.arange(at, at + n), [len(some) for some in cut]))
+                columns = [part.column(c).take(owner) for c in rest] + [pa.array([c[name] for c in flat], shape.field(name).type) for name in piece.names]
+                yield pa.RecordBatch.from_arrays(columns, names=made.names)
+
+    cut = docs.select(*rest, "text").repartition("doc_path").mapInArrow(split, made)
     return cut.withColumn("content_hash", X.content_hash(F.col("text")))
