@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from foliant.sources.scratch import written
 from . import curation, models, similarity
 
 CUT, LEAST, MOST_CHUNKS = 0.8, 3, 15
+#: Documents whose trees are cut at a time.
+STEP_TREES = 256
 
 
 def merges(vectors: np.ndarray, most: float = CUT) -> list[tuple[int, int, float]]:
@@ -72,25 +75,39 @@ def average_linkage(vectors: np.ndarray, cut: float = CUT) -> np.ndarray:
     return cut_at(len(vectors), merges(vectors, cut), cut)
 
 
+def _trees(vectors: pa.Array, most: float) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+    """The number of vectors of each document and its merges, one document at a time."""
+    for at in range(len(vectors)):
+        rows = vectors.slice(at, 1).flatten()
+        n = len(rows)
+        yield n, merges(rows.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64), most)
+
+
+def _grouped(rows: DataFrame, least: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_path, m): each document's chunks in order as one array, with chunk_index, vector and the carried columns; sessions and documents under `least` chunks are left out."""
+    member = F.struct(F.col("chunk_index").cast("long").alias("chunk_index"), "vector", *carried)
+    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull())
+    return wanted.groupBy("doc_path").agg(F.sort_array(F.collect_list(member)).alias("m")).where(F.size("m") >= least)
+
+
 def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST, carried: tuple[str, ...] = ()) -> DataFrame:
     """rows (doc_path, chunk_index, vector, source_type) -> (doc_path, chunk_index, cluster, and the carried columns).
 
     Sessions and documents under `least` chunks are left out, as are smaller clusters. A group
-    is one document's chunks, which its length bounds.
+    is one document's chunks, which its length bounds; only their vectors are shown to Python.
     """
-    names = ["doc_path", "chunk_index", *carried]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk_index")
-        found = average_linkage(np.stack(group["vector"]).astype(np.float64), cut) if len(group) >= least else np.zeros(len(group), np.int64)
-        kept = np.bincount(found)[found] >= least
-        return group.assign(cluster=found)[kept][[*names, "cluster"]]
+    @F.arrow_udf("array<long>")
+    def place(vectors: pa.Array) -> pa.Array:
+        out = []
+        for n, made in _trees(vectors, cut):
+            found = cut_at(n, made, cut)
+            out.append(np.where(np.bincount(found)[found] >= least, found, -1))
+        return pa.array(out, pa.list_(pa.int64()))
 
-    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select(*names, "vector").withColumn("chunk_index", F.col("chunk_index").cast("long"))
-    size = F.count("*").over(Window.partitionBy("doc_path"))  # short documents never reach Python; the grouping reuses this shuffle
-    wanted = wanted.withColumn("n", size).where(F.col("n") >= least).drop("n")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select(*names).schema)
-    return wanted.groupBy("doc_path").applyInPandas(run, f"{shape}, cluster long")
+    placed = _grouped(rows, least, carried).withColumn("found", place("m.vector"))
+    each = placed.select("doc_path", F.explode(F.arrays_zip("m", "found")).alias("x")).where("x.found >= 0")
+    return each.select("doc_path", "x.m.chunk_index", *[f"x.m.{c}" for c in carried], F.col("x.found").alias("cluster"))
 
 
 def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST, summarizer: Callable[[Column], Column] = models.extract_summary) -> DataFrame:
@@ -135,22 +152,20 @@ def dendrograms(rows: DataFrame, most: float, least: int = LEAST) -> DataFrame:
     places: the chunks in order; merges: (one, other, height), by their place from 0. Sessions and documents under `least` chunks are left out.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk_index")
-        made = merges(np.stack(group["vector"]).astype(np.float64), most)
-        return pd.DataFrame({"doc_path": [group["doc_path"].iloc[0]], "places": [group["chunk_index"].tolist()], "merges": [[{"one": i, "other": j, "height": h} for i, j, h in made]]})
+    node = pa.struct([("one", pa.int32()), ("other", pa.int32()), ("height", pa.float64())])
+
+    @F.arrow_udf("array<struct<one: int, other: int, height: double>>")
+    def grow(vectors: pa.Array) -> pa.Array:
+        return pa.array([[{"one": i, "other": j, "height": h} for i, j, h in made] for _, made in _trees(vectors, most)], pa.list_(node))
 
-    wanted = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select("doc_path", F.col("chunk_index").cast("long").alias("chunk_index"), "vector")
-    size = F.count("*").over(Window.partitionBy("doc_path"))
-    wanted = wanted.withColumn("n", size).where(F.col("n") >= least).drop("n")
-    return wanted.groupBy("doc_path").applyInPandas(run, "doc_path string, places array<long>, merges array<struct<one: int, other: int, height: double>>")
+    return _grouped(rows, least).select("doc_path", F.col("m.chunk_index").alias("places"), grow("m.vector").alias("merges"))
 
 
 def cuts(trees: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
     """dendrograms() -> (cut, least, doc_path, chunk_index, cluster) of the chunks that each (cut, least) puts into a cluster of `least` or more."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole.iloc[at : at + STEP_TREES] for whole in parts for at in range(0, len(whole), STEP_TREES)):
             out = []
             for row in part.itertuples(index=False):
                 made = [(m["one"], m["other"], m["height"]) for m in row.merges]
