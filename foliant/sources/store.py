@@ -22,7 +22,8 @@ from .corpus import CHUNK_SCHEMA
 from .pointer import Pointer
 from .scratch import written
 
-BUCKETS = 64
+#: Buckets of a store, and files of a bucket that one commit writes at most.
+BUCKETS, SPLITS = 64, 2
 #: A document's chunks that are compared with the rows that came last, how many of these, and from which similarity on a warning is given.
 FIRST_CHUNKS, LAST_ROWS, NEAR, SHOWN = 3, 500, 0.9, 5
 STORED = T.StructType([*CHUNK_SCHEMA.fields, T.StructField("ingest_seq", T.LongType())])
@@ -78,7 +79,8 @@ class ChunkStore:
     def _rewrite(self, kind: str, rows: DataFrame, path: str, order: str) -> dict[str, str]:
         """rows written by bucket in a new folder -> bucket: folder of those that have rows."""
         name, width = uuid.uuid4().hex, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("bucket", self._bucket(F.col(path))).repartitionByRange(width, "bucket", order).sortWithinPartitions("bucket", order)
+        # a bucket is several tasks', and nothing is read twice for the sake of ranges; files are sorted, so row groups still tell their numbers
+        dealt = rows.withColumn("bucket", self._bucket(F.col(path))).repartition(width, "bucket", F.pmod(F.hash(path), F.lit(SPLITS))).sortWithinPartitions("bucket", order)
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{name}")
         made = [s.getPath().getName() for s in self.pointer.files.listStatus(self.pointer.at(f"{kind}/{name}")) if s.isDirectory()]
         return {b.removeprefix("bucket="): f"{name}/{b}" for b in made if b.startswith("bucket=")}
@@ -92,7 +94,7 @@ class ChunkStore:
         if batch is not None and state["batches"].get(batch[0], -1) >= batch[1]:
             return state["version"]
         fresh, following = numbered(fresh, order, state["next"])
-        fresh, entries = written(fresh.select(*STORED.names), "fresh"), written(entries.select(*MANIFEST.names), "entries")
+        fresh, entries = fresh.select(*STORED.names), written(entries.select(*MANIFEST.names), "entries")
         paths = gone.select("path").unionByName(fresh.select(F.col("doc_path").alias("path"))).unionByName(entries.select("path"))
         touched = written(paths.distinct().withColumn("bucket", self._bucket(F.col("path"))), "touched")
         hit = sorted(str(r["bucket"]) for r in touched.select("bucket").distinct().collect())  # as many as there are buckets at most
