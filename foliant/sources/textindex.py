@@ -31,6 +31,16 @@ def gain(idf: Column, tf: Column, length: Column, mean: float) -> Column:
     return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean)))
 
 
+def counted_terms(added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """added (id, text) -> (id, length), (term, id, length, tf).
+
+    Texts are dealt by id, for a table's files may hold very many in one row group; terms are then counted where they are, and no token moves.
+    """
+    listed = added.select("id", "text").repartition("id").select("id", X.terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    tokens = listed.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return listed.select("id", F.size("terms").alias("length")), tokens.groupBy("term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
+
+
 class TextIndex:
     """fold() what came and went, search() as operators.fulltext.search would over the documents that are there."""
 
@@ -72,10 +82,7 @@ class TextIndex:
             gone = self.spark.read.parquet(f"{self.path}/gone/part={version}")
             row = before.join(gone, "id", "left_semi").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
             lost = row.asDict()
-        listed = added.select("id", X.terms(F.coalesce("text", F.lit(""))).alias("terms"))
-        tokens = listed.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        counted = tokens.groupBy("term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
-        size = self._write(version, listed.select("id", F.size("terms").alias("length")), counted)
+        size = self._write(version, *counted_terms(added))
         removals = state["removed"] + ([version] if lost["docs"] else [])
         self._commit({
             "version": version, "parts": state["parts"] | {str(version): size["windows"]}, "removed": removals,
