@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -204,15 +205,15 @@ def scored_sweep(rows: DataFrame, queries: DataFrame, settings: list[tuple[float
     made = written(made.withColumn("vector", embedder(F.col("text"))).withColumn("setting", F.concat_ws("|", "cut", "least")), "summaries")
     asked = queries.select("query_id", "vector")
     leaves = rows.where((F.col("source_type") != "session") & F.col("vector").isNotNull()).select(F.xxhash64("chunk_id").alias("id"), "doc_path", "text", "vector")
-    near = similarity.similar(leaves, asked, k=k).join(leaves.select("id", "doc_path", "text"), "id")
     every = rows.sparkSession.createDataFrame([(f"{cut}|{least}", cut, least) for cut, least in settings], "setting string, cut double, least int")
-    alone = F.array(F.lit(None).cast("string"), *[F.lit(f"{cut}|{least}") for cut, least in settings])
-    found = near.select("query_id", "id", "similarity", "doc_path", "text", F.explode(alone).alias("setting"))
-    names = F.explode(F.array(*[F.lit(f"{cut}|{least}") for cut, least in settings]))
-    high = similarity.similar(made, asked.select("query_id", "vector", names.alias("setting")).withColumn("query_id", F.col("query_id")), k=k, group="setting", per_group=True)
-    high = high.join(made.select("id", "doc_path", "text", "setting"), "id").select("query_id", "id", "similarity", "doc_path", "text", "setting")
+    names = [F.lit(f"{cut}|{least}") for cut, least in settings]
+    near = similarity.similar(leaves, asked, k=k).select("query_id", "id", "similarity", F.explode(F.array(F.lit(None).cast("string"), *names)).alias("setting"), F.lit(True).alias("leaf"))
+    high = similarity.similar(made, asked.withColumn("setting", F.explode(F.array(*names))), k=k, group="setting", per_group=True).join(made.select("id", "setting"), "id").select("query_id", "id", "similarity", "setting", F.lit(False).alias("leaf"))
     rank = F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("similarity"), "id"))
-    ranked = found.unionByName(high).withColumn("rank", rank).where(F.col("rank") <= k)
+    # written, for it is read for its texts and for its settings, and holds all searches
+    best = written(near.unionByName(high).withColumn("rank", rank).where(F.col("rank") <= k), "ranked")
+    texts = (best.where(F.col("leaf") == leaf).join(of.select("id", "doc_path", "text"), "id") for leaf, of in ((True, leaves), (False, made)))
+    ranked = functools.reduce(DataFrame.unionByName, texts)
     judged = curation.evaluated(ranked, queries, "setting")
     sizes = made.groupBy("setting").agg(F.count("*").alias("summaries"))
     named = judged.join(F.broadcast(every), "setting", "left").join(sizes, "setting", "left")

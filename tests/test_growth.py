@@ -82,3 +82,46 @@ def test_terms_are_counted_where_their_text_is(spark):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
     assert {tuple(r) for r in counted.collect()} == {("a", 1, 3, 2), ("b", 1, 3, 1)} and {tuple(r) for r in lengths.collect()} == {(1, 3), (2, 0)}
+
+
+def test_cells_follow_the_input_and_not_the_partitions():
+    """Before, a search had as many parts as Spark has shuffle partitions, and each part gave every query's best k: queries times partitions, which both grow."""
+    moved = lambda n: (lambda parts, blocks: 20 * n * blocks + n * parts)(*similarity._layout(20 * n, n, n // 250, similarity.BLOCK))
+    assert moved(100_000) / moved(10_000) < 10**1.6
+    for n, m, cells in ((0, 0, 200), (1, 1, 200), (1000, 50, 200), (5_000_000, 10, 200), (100, 1_000_000, 200), (4_000_000, 200_000, 600), (10**8, 5 * 10**6, 4)):
+        parts, blocks = similarity._layout(n, m, cells, similarity.BLOCK)
+        assert n / parts <= similarity.PART_ROWS and m / blocks <= similarity.BLOCK and n * m / (parts * blocks) <= similarity.MOST_PAIRS
+        assert n * m >= similarity.FEWEST_PAIRS or parts * blocks <= 20
+
+
+def test_cells_are_tasks_of_their_own(spark):
+    """Before, Spark put cells together by their bytes, which say little of their work."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, vector array<float>")
+    plan = similarity.similar(rows, rows.withColumnRenamed("id", "query_id"), k=2)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(p#\d+, q#\d+, \d+\), REPARTITION_BY_NUM", plan)) == 2 and len(re.findall(r"Exchange hashpartitioning\(p#", plan)) == 2
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_best_of_a_cell_over_several_steps(kind):
+    """More rows and more queries than one product holds, with copies and a query set that holds rows of its own."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(2500, 8)), np.repeat(rng.normal(size=(3, 8)), 40, axis=0)]).astype(kind)
+    ids = rng.permutation(9000)[: len(vectors)]
+    at = rng.permutation(len(vectors))[:1100]
+    names = np.concatenate([ids[at[:40]], np.arange(10_000, 10_000 + len(at) - 40)])
+    q, b, s = similarity._compare(ids, vectors, names, vectors[at], 5, None)
+    by = np.lexsort((b, -s, q))
+    starts = dict(zip(*(x.tolist() for x in np.unique(q[by], return_index=True)), strict=True))
+    for name, best in plain(ids, vectors, names, vectors[at], 5, None).items():
+        first = by[starts[name] : starts[name] + 5]
+        assert [(-x, i) for x, i in zip(s[first], b[first], strict=True)] == best
+
+
+def test_searches_of_a_sweep_run_once(spark):
+    """Before, the settings that gave results and the results themselves were read from searches of their own."""
+    texts = ["apple pear plum fruit bowl.", "apple pear plum fruit basket.", "apple pear plum fruit salad."]
+    rows = spark.createDataFrame([(f"{p}{i}", f"{p}.md", i, "docs", t, [1.0, float(i)]) for p in "ab" for i, t in enumerate(texts)], "chunk_id string, doc_path string, chunk_index int, source_type string, text string, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.5], "a.md", "apple")], "query_id long, vector array<float>, expected_file string, expected_text string")
+    found = clusters.scored_sweep(rows, queries, [(1.5, 3)], k=2, embedder=lambda text: F.array(F.lit(1.0), F.lit(0.5)))
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["cut"], r["summaries"], r["n"]) for r in found.collect()} == {(None, 0, 1), (1.5, 2, 1)}
