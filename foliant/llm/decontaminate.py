@@ -28,6 +28,8 @@ _LETTERS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <=
 
 INDEX_SCHEMA = "block long, doc_ids array<long>, doc_ends binary, terms array<binary>, counts binary, deltas binary"
 INDEX = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.binary()), ("terms", pa.list_(pa.binary())), ("counts", pa.binary()), ("deltas", pa.binary())])
+#: Bytes of a row group of the stored index, about. A row is a block of some megabytes, and Parquet's writer looks at its sizes every 100 rows only unless it is told.
+GROUP_BYTES = 8_000_000
 Phrase = tuple[bytes, ...]
 
 
@@ -53,7 +55,10 @@ def _index_block(block: int, ids: list, terms: list[bytes], tokens: np.ndarray,
 
 
 def build_index(docs: DataFrame, block_words: int = 250_000) -> DataFrame:
-    """documents -> the stored index, in blocks of whole documents of about block_words words of six bytes; a longer document is a block alone."""
+    """documents -> the stored index, in blocks of whole documents of about block_words words of six bytes; a longer document is a block alone.
+
+    Row groups are of GROUP_BYTES or one block, so what a task holds of the index to write or read it does not follow the size of its input.
+    """
     block_bytes = 6 * block_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +72,8 @@ def build_index(docs: DataFrame, block_words: int = 250_000) -> DataFrame:
                 block += 1
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    return stage(source.mapInArrow(run, INDEX_SCHEMA), "postings")
+    groups = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    return stage(source.mapInArrow(run, INDEX_SCHEMA), "postings", **groups)
 
 
 class _Block:

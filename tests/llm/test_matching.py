@@ -334,3 +334,17 @@ def test_rows_joined_with_long_values(spark, monkeypatch):
         joined = common.joined_rows(docs, keys, "inner")
         results.append((sorted(map(str, joined.collect())), "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()))
     assert results[0][0] == results[1][0] and len(results[0][0]) == 26 and results[0][1]
+
+
+def test_index_row_groups_follow_blocks(spark, monkeypatch):
+    """Before, Parquet's writer looked at its size every 100 rows only, so a task held all blocks of its input, to write as to read them."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 100_000)
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(4000))) for i in range(40)]
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_words=4000)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in groups for i in range(m.num_row_groups)]
+    assert sum(n for n, _ in sizes) == index.count() == 40
+    assert max(n for n, _ in sizes) <= 5 and max(size for _, size in sizes) <= 3 * 100_000
