@@ -2,14 +2,15 @@
 
 Documents of a part are dealt into windows of about WINDOW by a hash of their id. A block holds the postings of one term in one window, with
 its count, greatest frequency and least length, from which the most that the term can add to a score there
-follows for any mean length. Blocks lie in folders by a hash of their term and sorted by it, so a search opens
-the folders of its terms only, and row groups that may hold them. Each fold writes one part: the blocks
+follows for any mean length. A task makes all blocks of its windows, so no posting moves, and writes them in folders by a hash of
+their term and sorted by it: a search opens the folders of its terms only, and pages that may hold them. Each fold writes one part: the blocks
 of what came, and the ids that went, which no longer count in parts before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from .pointer import Pointer
 from .scratch import written
 
 #: Documents of a window, on average; folders of a part; windows of a query that are scored before any is left out.
-WINDOW, BUCKETS, SEEDS = 1024, 64, 4
+WINDOW, BUCKETS, SEEDS = 1024, 8, 4
+#: Windows of a task at most, on average, and folders of indexes whose pointer does not name their number.
+TASK_WINDOWS, OLD_BUCKETS = 4, 64
 #: Terms that are named in the filter of a scan at most, and parts that a fold leaves uncompacted.
 LITERALS, MOST_PARTS = 5000, 16
 
@@ -31,14 +34,35 @@ def gain(idf: Column, tf: Column, length: Column, mean: float) -> Column:
     return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean)))
 
 
-def counted_terms(added: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """added (id, text) -> (id, length), (term, id, length, tf).
+def placed(rows: DataFrame, windows: int) -> DataFrame:
+    """rows (id, ...) with their window, each window in one task, and as many windows in each task, named by the column task."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(windows, max(width, math.ceil(windows / TASK_WINDOWS)))
+    marked = rows.withColumn("window", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")).withColumn("task", F.col("window") % tasks)
+    return marked.repartitionById(tasks, "task")
 
-    Texts are dealt by id, for a table's files may hold very many in one row group; terms are then counted where they are, and no token moves.
+
+def counted_terms(added: DataFrame, windows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """added (id, text) -> (id, length), (term, id, length, tf), the latter with window and task if windows are to be dealt out.
+
+    Texts are dealt by id, or by window, for a table's files may hold very many in one row group; terms are then counted where they are, and no
+    token moves. Lengths alone are taken where texts lie, as that moves nothing.
     """
-    listed = added.select("id", "text").repartition("id").select("id", X.terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    tokens = listed.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return listed.select("id", F.size("terms").alias("length")), tokens.groupBy("term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
+    terms = X.terms(F.coalesce("text", F.lit("")))
+    dealt = added.select("id", "text").repartition("id") if windows is None else placed(added.select("id", "text"), windows)
+    place = [c for c in dealt.columns if c not in ("id", "text")]
+    listed = dealt.select("id", *place, terms.alias("terms"))
+    tokens = listed.select("id", *place, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    lengths = added.select("id", F.size(terms).alias("length"))
+    return lengths, tokens.groupBy("term", "id", "length", *place).agg(F.count("*").cast("int").alias("tf")).select("term", "id", "length", "tf", *place)
+
+
+def blocks_of(counted: DataFrame) -> DataFrame:
+    """counted (term, id, length, tf, window, task), as placed() deals it -> the blocks, made where their window is."""
+    rows = F.sort_array(F.collect_list(F.struct("id", "tf", "length")))  # at most a window's documents
+    return counted.groupBy("task", "term", "window").agg(rows.alias("x")).select(
+        "term", "window", F.size("x").alias("n"), F.array_max("x.tf").alias("max_tf"), F.array_min("x.length").alias("min_length"), F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths")
+    )
 
 
 class TextIndex:
@@ -50,13 +74,14 @@ class TextIndex:
         self.path = self.pointer.path
 
     def state(self) -> dict:
-        return self.pointer.read() or {"version": 0, "parts": {}, "removed": [], "docs": 0, "tokens": 0, "folders": []}
+        empty = {"version": 0, "parts": {}, "removed": [], "docs": 0, "tokens": 0, "folders": [], "buckets": self.buckets}
+        return {"buckets": OLD_BUCKETS} | (self.pointer.read() or empty)
 
     def _table(self, kind: str, parts: list[int]) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/part={p}" for p in parts])
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
+    def _bucket(self, state: dict) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(state["buckets"])).cast("int").alias("bucket")
 
     def documents(self) -> DataFrame | None:
         """(id, length, part) of the documents that are there; none before the first fold."""
@@ -82,11 +107,11 @@ class TextIndex:
             gone = self.spark.read.parquet(f"{self.path}/gone/part={version}")
             row = before.join(gone, "id", "left_semi").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
             lost = row.asDict()
-        size = self._write(version, *counted_terms(added))
+        size = self._write(state, version, counted_terms(added)[0], lambda windows: counted_terms(added, windows)[1])
         removals = state["removed"] + ([version] if lost["docs"] else [])
         self._commit({
             "version": version, "parts": state["parts"] | {str(version): size["windows"]}, "removed": removals,
-            "docs": state["docs"] + size["docs"] - lost["docs"], "tokens": state["tokens"] + size["tokens"] - lost["tokens"],
+            "docs": state["docs"] + size["docs"] - lost["docs"], "tokens": state["tokens"] + size["tokens"] - lost["tokens"], "buckets": state["buckets"],
         })
         return self.compact() if len(state["parts"]) >= MOST_PARTS else version
 
@@ -94,19 +119,13 @@ class TextIndex:
         folders = [f"{kind}/part={p}" for p in state["parts"] for kind in ("docs", "postings")] + [f"gone/part={p}" for p in state["removed"]]
         self.pointer.commit(state | {"folders": folders})
 
-    def _write(self, version: int, docs: DataFrame, counted: DataFrame) -> dict[str, int]:
-        """docs (id, length) and their counted terms (term, id, length, tf) as a part."""
+    def _write(self, state: dict, version: int, docs: DataFrame, counted: Callable[[int], DataFrame]) -> dict[str, int]:
+        """docs (id, length), and by the number of windows their counted terms (term, id, length, tf, window, task), as placed() deals them, as a part."""
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/part={version}")
         size = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/part={version}").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first().asDict()
         windows = max(1, math.ceil(size["docs"] / self.window))
-        placed = counted.withColumn("window", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int"))
-        rows = F.sort_array(F.collect_list(F.struct("id", "tf", "length")))  # at most a window's documents
-        blocks = placed.groupBy("term", "window").agg(rows.alias("x")).select(
-            self._bucket(), "term", "window", F.size("x").alias("n"), F.array_max("x.tf").alias("max_tf"), F.array_min("x.length").alias("min_length"), F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths")
-        )
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = blocks.repartitionByRange(width, "bucket", "term", "window").sortWithinPartitions("bucket", "term", "window")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/part={version}")
+        blocks = blocks_of(counted(windows)).select(self._bucket(state), "*")
+        blocks.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/part={version}")
         return size | {"windows": windows}
 
     def compact(self) -> int:
@@ -116,8 +135,8 @@ class TextIndex:
         if blocks is None:
             return state["version"]
         counted = blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x")).select("term", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"), F.col("x.tfs").alias("tf"))
-        size = self._write(version, self.documents().select("id", "length"), counted)
-        self._commit({"version": version, "parts": {str(version): size["windows"]}, "removed": [], "docs": size["docs"], "tokens": size["tokens"]})
+        size = self._write(state, version, self.documents().select("id", "length"), lambda windows: placed(counted, windows))
+        self._commit({"version": version, "parts": {str(version): size["windows"]}, "removed": [], "docs": size["docs"], "tokens": size["tokens"], "buckets": state["buckets"]})
         return version
 
     def clean_up(self, older_than_seconds: float = 86_400.0) -> int:
@@ -132,10 +151,10 @@ class TextIndex:
         if terms is not None:
             names = [r["term"] for r in terms.distinct().limit(LITERALS + 1).collect()]
             if len(names) <= LITERALS:
-                buckets = [r["bucket"] for r in self.spark.createDataFrame([(x,) for x in names] or [("",)], "term string").select(self._bucket()).distinct().collect()]
+                buckets = [r["bucket"] for r in self.spark.createDataFrame([(x,) for x in names] or [("",)], "term string").select(self._bucket(state)).distinct().collect()]
                 found = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(names))
             else:
-                found = found.join(terms.distinct().select("term", self._bucket()), ["bucket", "term"], "left_semi")
+                found = found.join(terms.distinct().select("term", self._bucket(state)), ["bucket", "term"], "left_semi")
         if not state["removed"]:
             return found
         # the windows that ids which went would lie in, for each part before they did

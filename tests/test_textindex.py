@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from foliant.operators import fulltext
+from foliant.sources import textindex
 from foliant.sources.textindex import TextIndex
 
 
@@ -68,3 +71,34 @@ def test_windows_that_cannot_reach_are_left_out(spark, tmp_path):
     assert rows(index.search(q, 3)) == rows(fulltext.search(spark.createDataFrame(docs, "id long, text string"), q, 3))
     (row,) = index.pruned(q, 3).collect()
     assert row["windows"] > 60 and row["scored"] <= 8
+
+
+def test_postings_do_not_move(spark):
+    """Before, postings went through two shuffles on their way from texts to folders, each larger than the texts, which were dealt out twice."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 5}") for i in range(40)], "id long, text string")
+    lengths, counted = textindex.counted_terms(docs, 6)
+    blocks = textindex.blocks_of(counted)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (lengths, blocks)]
+    assert [p.count("Exchange ") for p in plans] == [0, 1]
+    found = {(r["term"], i, tf, n) for r in blocks.collect() for i, tf, n in zip(r["ids"], r["tfs"], r["lengths"], strict=True)}
+    assert found == {(f"w{k}", i, [f"w{i % 7}", f"w{i % 5}", f"w{i % 5}"].count(f"w{k}"), 3) for i in range(40) for k in {i % 7, i % 5}}
+    assert len({(r["term"], r["window"]) for r in blocks.collect()}) == blocks.count()
+
+
+def test_windows_are_dealt_evenly(spark):
+    ids = spark.range(3000)
+    placed = textindex.placed(ids, 10)
+    assert {r["n"] for r in placed.groupBy("task").agg(F.countDistinct("window").alias("n")).collect()} <= {2, 3}
+    assert placed.rdd.getNumPartitions() == 4 and textindex.placed(ids, 100).rdd.getNumPartitions() == 25
+
+
+def test_folders_of_older_indexes_are_found(spark, tmp_path):
+    """An index whose pointer does not say how many folders it has was written with 64."""
+    docs, q = spark.createDataFrame(corpus(spark)[:120], "id long, text string"), asked(spark)
+    old = TextIndex(spark, str(tmp_path / "index"), window=16, buckets=64)
+    old.fold(docs)
+    old.pointer.commit({k: v for k, v in old.state().items() if k != "buckets"} | {"version": 2})
+    index = TextIndex(spark, str(tmp_path / "index"), window=16)
+    assert index.state()["buckets"] == 64 != index.buckets and rows(index.search(q, 5)) == rows(fulltext.search(docs, q, 5))
+    index.fold(spark.createDataFrame([(900, "w1 rare w50")], "id long, text string"))
+    assert rows(index.search(q, 5)) == rows(fulltext.search(docs.union(spark.createDataFrame([(900, "w1 rare w50")], "id long, text string")), q, 5))
