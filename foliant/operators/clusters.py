@@ -17,7 +17,7 @@ from foliant.sources.scratch import written
 
 from . import curation, models, similarity
 
-CUT, LEAST, MOST_CHUNKS = 0.8, 3, 15
+CUT, LEAST = 0.8, 3
 #: Documents whose trees are cut at a time.
 STEP_TREES = 256
 
@@ -112,10 +112,10 @@ def clusters(rows: DataFrame, cut: float = CUT, least: int = LEAST, carried: tup
 
 
 def summaries(rows: DataFrame, cut: float = CUT, least: int = LEAST, summarizer: Callable[[Column], Column] = models.extract_summary) -> DataFrame:
-    """Tier-1 rows, one per cluster of three or more chunks: text, heading, parents, token count. Rows are read once."""
+    """Tier-1 rows, one per cluster of three or more chunks: text, heading, parents, token count, of all its chunks. Rows are read once."""
     placed = clusters(rows, cut, least, ("chunk_id", "text", "heading", "source_type"))
     member = F.struct("chunk_index", "chunk_id", "text", "heading")
-    gathered = placed.groupBy("doc_path", "source_type", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"), F.count("*").alias("n_chunks"))
+    gathered = placed.groupBy("doc_path", "source_type", "cluster").agg(F.array_sort(F.collect_list(member)).alias("m"), F.count("*").alias("n_chunks"))
     text = summarizer(F.col("m.text"))
     made = gathered.select(
         "doc_path",
@@ -200,7 +200,7 @@ def scored_sweep(rows: DataFrame, queries: DataFrame, settings: list[tuple[float
     trees = dendrograms(rows, max(cut for cut, _ in settings), min(least for _, least in settings))
     texts = rows.select("doc_path", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
     member = F.struct("chunk_index", "text")
-    gathered = cuts(trees, settings).join(texts, ["doc_path", "chunk_index"]).groupBy("cut", "least", "doc_path", "cluster").agg(F.slice(F.array_sort(F.collect_list(member)), 1, MOST_CHUNKS).alias("m"))
+    gathered = cuts(trees, settings).join(texts, ["doc_path", "chunk_index"]).groupBy("cut", "least", "doc_path", "cluster").agg(F.array_sort(F.collect_list(member)).alias("m"))
     made = gathered.select("cut", "least", "doc_path", summarizer(F.col("m.text")).alias("text"), F.xxhash64("cut", "least", "doc_path", "cluster").alias("id")).where(F.length("text") >= 20)
     made = written(made.withColumn("vector", embedder(F.col("text"))).withColumn("setting", F.concat_ws("|", "cut", "least")), "summaries")
     asked = queries.select("query_id", "vector")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.operators import clusters, models
 
@@ -59,3 +60,15 @@ def test_settings_are_scored(spark):
             hit += bool(places and places[0] == 1)
             text += bool(places and places[0] == 1 and wanted.lower() in best[0][1].lower())
         assert (row["n"], row["mrr"], row["hit_1"], row["text_match_1"]) == (4, pytest.approx(rank / 4, abs=1e-6), pytest.approx(hit / 4), pytest.approx(text / 4))
+
+
+def test_all_chunks_of_a_cluster_are_summarised(spark):
+    """Before, a summary had the first 15 chunks of its cluster, as parents, for its heading and for its text."""
+    rows = spark.createDataFrame([(f"c{i:02}", "a.md", i, "docs", f"chunk {i} of forty." + (" needle" if i == 38 else ""), "Late" if i > 30 else "(no heading)", [1.0, i / 1000]) for i in range(40)], "chunk_id string, doc_path string, chunk_index int, source_type string, text string, heading string, vector array<float>")
+    (row,) = clusters.summaries(rows, summarizer=lambda texts: F.array_join(texts, " ")).collect()
+    assert row["parent_id"] == [f"c{i:02}" for i in range(40)] and row["n_chunks"] == 40
+    assert row["heading"] == "Late" and "needle" in row["text"] and row["text"].count("of forty.") == 40
+    # the same in a sweep: the summary that a query finds first holds what only its 39th chunk says
+    queries = spark.createDataFrame([(1, [0.0, 1.0], "a.md", "needle")], "query_id long, vector array<float>, expected_file string, expected_text string")
+    scored = clusters.scored_sweep(rows, queries, [(0.8, 3)], k=1, summarizer=lambda texts: F.array_join(texts, " "), embedder=lambda text: F.array(F.lit(0.0), F.lit(1.0)))
+    assert {(r["cut"], r["summaries"], r["text_match_1"]) for r in scored.collect()} == {(None, 0, 0.0), (0.8, 1, 1.0)}
