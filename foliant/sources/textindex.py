@@ -10,7 +10,6 @@ of what came, and the ids that went, which no longer count in parts before it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from .scratch import written
 WINDOW, BUCKETS, SEEDS = 1024, 8, 4
 #: Windows of a task at most, on average, and folders of indexes whose pointer does not name their number.
 TASK_WINDOWS, OLD_BUCKETS = 4, 64
+#: No text has this term. Its blocks have all documents of their windows.
+EVERY = ""
 #: Terms that are named in the filter of a scan at most, and parts that a fold leaves uncompacted.
 LITERALS, MOST_PARTS = 5000, 16
 
@@ -42,17 +43,17 @@ def placed(rows: DataFrame, windows: int) -> DataFrame:
     return marked.repartitionById(tasks, "task")
 
 
-def counted_terms(added: DataFrame, windows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def counted_terms(added: DataFrame, windows: int | None = None, each: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """added (id, text) -> (id, length), (term, id, length, tf), the latter with window and task if windows are to be dealt out.
 
     Texts are dealt by id, or by window, for a table's files may hold very many in one row group; terms are then counted where they are, and no
-    token moves. Lengths alone are taken where texts lie, as that moves nothing.
+    token moves. Lengths alone are taken where texts lie, as that moves nothing. each: terms that all documents get besides, whatever their length.
     """
     terms = X.terms(F.coalesce("text", F.lit("")))
     dealt = added.select("id", "text").repartition("id") if windows is None else placed(added.select("id", "text"), windows)
     place = [c for c in dealt.columns if c not in ("id", "text")]
     listed = dealt.select("id", *place, terms.alias("terms"))
-    tokens = listed.select("id", *place, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    tokens = listed.select("id", *place, F.size("terms").alias("length"), F.explode(F.concat("terms", F.array(*map(F.lit, each))) if each else F.col("terms")).alias("term"))
     lengths = added.select("id", F.size(terms).alias("length"))
     return lengths, tokens.groupBy("term", "id", "length", *place).agg(F.count("*").cast("int").alias("tf")).select("term", "id", "length", "tf", *place)
 
@@ -80,8 +81,8 @@ class TextIndex:
     def _table(self, kind: str, parts: list[int]) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/part={p}" for p in parts])
 
-    def _bucket(self, state: dict) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(state["buckets"])).cast("int").alias("bucket")
+    def _bucket(self, state: dict, term: Column | str = "term") -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(state["buckets"])).cast("int").alias("bucket")
 
     def documents(self) -> DataFrame | None:
         """(id, length, part) of the documents that are there; none before the first fold."""
@@ -107,7 +108,8 @@ class TextIndex:
             gone = self.spark.read.parquet(f"{self.path}/gone/part={version}")
             row = before.join(gone, "id", "left_semi").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
             lost = row.asDict()
-        size = self._write(state, version, counted_terms(added)[0], lambda windows: counted_terms(added, windows)[1])
+        windows = self._windows(added.count())
+        size = self._write(state, version, windows, counted_terms(added, windows, (EVERY,))[1])
         removals = state["removed"] + ([version] if lost["docs"] else [])
         self._commit({
             "version": version, "parts": state["parts"] | {str(version): size["windows"]}, "removed": removals,
@@ -119,14 +121,19 @@ class TextIndex:
         folders = [f"{kind}/part={p}" for p in state["parts"] for kind in ("docs", "postings")] + [f"gone/part={p}" for p in state["removed"]]
         self.pointer.commit(state | {"folders": folders})
 
-    def _write(self, state: dict, version: int, docs: DataFrame, counted: Callable[[int], DataFrame]) -> dict[str, int]:
-        """docs (id, length), and by the number of windows their counted terms (term, id, length, tf, window, task), as placed() deals them, as a part."""
+    def _windows(self, docs: int) -> int:
+        return max(1, math.ceil(docs / self.window))
+
+    def _write(self, state: dict, version: int, windows: int, counted: DataFrame) -> dict[str, int]:
+        """counted (term, id, length, tf, window, task), as placed() deals it and with EVERY, as a part: its blocks, and from those of EVERY its documents."""
+        blocks = blocks_of(counted).select(self._bucket(state), "*")
+        at = f"{self.path}/postings/part={version}"
+        blocks.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at)
+        every = self.spark.read.schema(blocks.schema).parquet(at).where((F.col("term") == EVERY) & (F.col("bucket") == self._bucket(state, F.lit(EVERY))))
+        docs = every.select(F.explode(F.arrays_zip("ids", "lengths", "tfs")).alias("x")).select(F.explode(F.array_repeat(F.struct(F.col("x.ids").alias("id"), F.col("x.lengths").alias("length")), F.col("x.tfs"))).alias("x")).select("x.*")  # repeated rows each
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/part={version}")
-        size = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/part={version}").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first().asDict()
-        windows = max(1, math.ceil(size["docs"] / self.window))
-        blocks = blocks_of(counted(windows)).select(self._bucket(state), "*")
-        blocks.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/part={version}")
-        return size | {"windows": windows}
+        size = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/part={version}").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+        return size.first().asDict() | {"windows": windows}
 
     def compact(self) -> int:
         """A new version of the same documents in one part, without a trace of those that went."""
@@ -135,7 +142,8 @@ class TextIndex:
         if blocks is None:
             return state["version"]
         counted = blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x")).select("term", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"), F.col("x.tfs").alias("tf"))
-        size = self._write(state, version, self.documents().select("id", "length"), lambda windows: placed(counted, windows))
+        every = self.documents().select(F.lit(EVERY).alias("term"), "id", "length", F.lit(1).alias("tf"))
+        size = self._write(state, version, windows := self._windows(state["docs"]), placed(counted.where(F.col("term") != EVERY).unionByName(every), windows))
         self._commit({"version": version, "parts": {str(version): size["windows"]}, "removed": [], "docs": size["docs"], "tokens": size["tokens"], "buckets": state["buckets"]})
         return version
 

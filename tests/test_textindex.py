@@ -102,3 +102,20 @@ def test_folders_of_older_indexes_are_found(spark, tmp_path):
     assert index.state()["buckets"] == 64 != index.buckets and rows(index.search(q, 5)) == rows(fulltext.search(docs, q, 5))
     index.fold(spark.createDataFrame([(900, "w1 rare w50")], "id long, text string"))
     assert rows(index.search(q, 5)) == rows(fulltext.search(docs.union(spark.createDataFrame([(900, "w1 rare w50")], "id long, text string")), q, 5))
+
+
+def test_repeated_rows_and_texts_without_terms(spark, tmp_path):
+    """The documents of a part come from its blocks: those without a term are there, and repeated rows and ids count each, as they do in a search over the documents."""
+    some = [(1, "a b"), (2, None), (3, ""), (4, "..."), (5, "a"), (5, "a"), (6, "b a"), (6, "c b b"), (7, "d"), (4, "...")]
+    docs = spark.createDataFrame(some, "id long, text string")
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.fold(docs)
+    q = spark.createDataFrame([(1, "a"), (2, ""), (3, "b c")], "query_id long, text string")
+    for _ in range(2):
+        assert sorted(tuple(r) for r in index.documents().select("id", "length").collect()) == [(1, 2), (2, 0), (3, 0), (4, 0), (4, 0), (5, 1), (5, 1), (6, 2), (6, 3), (7, 1)]
+        assert (index.state()["docs"], index.state()["tokens"]) == (10, 10)
+        assert rows(index.search(q)) == rows(fulltext.search(docs, q))
+        index.compact()
+    more = spark.createDataFrame([(8, None)], "id long, text string")
+    index.fold(more, spark.createDataFrame([(1,)], "id long"))
+    assert rows(index.search(q)) == rows(fulltext.search(docs.where("id <> 1").union(more), q))
