@@ -119,3 +119,11 @@ def test_repeated_rows_and_texts_without_terms(spark, tmp_path):
     more = spark.createDataFrame([(8, None)], "id long, text string")
     index.fold(more, spark.createDataFrame([(1,)], "id long"))
     assert rows(index.search(q)) == rows(fulltext.search(docs.where("id <> 1").union(more), q))
+
+
+def test_a_fold_shuffles_its_texts_only(spark, tmp_path):
+    """Before, a fold made five shuffles, two of texts and two of postings among them; now one of texts, and those of two counts."""
+    docs, made = spark.createDataFrame(corpus(spark), "id long, text string"), spark.sparkContext._jsc.sc()
+    index, first = TextIndex(spark, str(tmp_path / "index")), made.newShuffleId()
+    index.fold(docs)
+    assert made.newShuffleId() - first - 1 <= 3
